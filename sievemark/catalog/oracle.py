@@ -337,8 +337,8 @@ def _sql() -> dict[str, str]:
         "normalize_model_id": "SELECT p_partkey, lower(replace("
         "p_name || '_/' || p_type, '_', '-')) AS model_id FROM part",
         "model_name_from_path": "SELECT p_partkey, 'title_' || p_partkey || 'd' AS model FROM part",
-        "text_stats": p + "SELECT job_posting_id, length(description) AS original_chars, "
-        f"length({strip('description')}) AS stripped_chars FROM postings",
+        "text_stats": p + "SELECT job_posting_id, coalesce(length(description), -1) AS original_chars, "
+        f"coalesce(length({strip('description')}), -1) AS stripped_chars FROM postings",
         "strip_equals": p + "SELECT job_posting_id, 1 AS same_text, "
         f"CAST(NOT {not_blank('description')} AS INT) AS empty_text FROM postings",
         "regex_multilabel": f"WITH {POSTINGS}, {TITLE_LABELS} SELECT * FROM title_labels",
@@ -417,9 +417,10 @@ def _sql() -> dict[str, str]:
         f"CASE WHEN {inside} AND title IS NOT NULL THEN upper(title) ELSE {old} END AS summary "
         "FROM numbered"
     )
+    prompt = "'Summary: ' || coalesce(title, '') || ' | ' || coalesce(description, '')"
     out["summary_fill_job"] = (
         f"WITH {POSITIONS} SELECT job_posting_id, CASE WHEN position >= 700 AND position < 1000 "
-        f"THEN {strip(chr(32).join(['upper(coalesce(title,', chr(39) * 2 + ')', '||', lit(' | '), '||', 'coalesce(description,', chr(39) * 2 + '))']))} "
+        f"THEN {strip(prompt)} "
         f"ELSE {old} END AS summary FROM numbered"
     )
     out["query_vector_lookup"] = (
@@ -554,7 +555,7 @@ def _sql() -> dict[str, str]:
         f"WITH {SUBSETS}, dim(category, description) AS (VALUES "
         + ", ".join(f"({lit(k)}, {lit(v)})" for k, v in LABEL_DESCRIPTIONS.items())
         + ") SELECT d.category, d.description, count(s.category) AS n_rows, "
-        "'category=' || d.category AS file, 0 AS chunk, "
+        "'category=' || d.category AS file, 0::BIGINT AS chunk, "
         "coalesce(string_agg(s.job_posting_id::VARCHAR, ',' ORDER BY s.job_posting_id), '') AS ids, "
         "'labels' AS method, '42' AS shuffle_seed "
         "FROM dim d LEFT JOIN subsets s USING (category) GROUP BY d.category, d.description"
@@ -567,4 +568,30 @@ def _sql() -> dict[str, str]:
     return out
 
 
-ORACLE_SQL = _sql()
+# Columns that Spark counts in 32 bits and DuckDB in 64.
+INT_COLUMNS = {
+    "text_stats": ["original_chars", "stripped_chars"],
+    "category_ids": ["n_ids"],
+    "union_append": ["n_chars"],
+    "l2_normalize": ["position"],
+    "truncate_dim": ["position"],
+    "cosine_topk": ["rank"],
+    "rank_hits": ["rank"],
+    "hit_flag": ["rank"],
+    "hits_with_metadata": ["rank"],
+    "retrieve_by_text_top10": ["rank"],
+    "text_encode_job": ["position"],
+    "model_label_job": ["internship", "entry_level"],
+    "model_label_job_per_category": ["internship", "marketing"],
+}
+
+
+def _with_int_columns(name: str, sql: str) -> str:
+    columns = INT_COLUMNS.get(name)
+    if not columns:
+        return sql
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
+ORACLE_SQL = {name: _with_int_columns(name, sql) for name, sql in _sql().items()}

@@ -156,14 +156,14 @@ def clean_postings_all(spark, sf):
 
 @register
 def clean_description(spark, sf):
-    pages = T.table(spark, sf, "pages")
-    return pages.select("page_id", markup.clean_description(F.col("html")).alias("description"))
+    pages = T.table(spark, sf, "pages").select("page_id", F.col("html").alias("description"))
+    return markup.clean_description(pages, "description")
 
 
 @register
 def clean_description_markdown(spark, sf):
-    raw = T.marked_up_postings(spark, sf)
-    return raw.select(ID, markup.clean_description(F.col("description")).alias("description"))
+    raw = T.marked_up_postings(spark, sf).select(ID, "description")
+    return markup.clean_description(raw, "description")
 
 
 @register
@@ -237,8 +237,10 @@ def text_stats(spark, sf):
     df = T.postings(spark, sf)
     return df.select(
         ID,
-        strings.text_length(F.col("description")).alias("original_chars"),
-        strings.text_length(strings.strip(F.col("description"))).alias("stripped_chars"),
+        F.coalesce(strings.text_length(F.col("description")), F.lit(-1)).alias("original_chars"),
+        F.coalesce(strings.text_length(strings.strip(F.col("description"))), F.lit(-1)).alias(
+            "stripped_chars"
+        ),
     )
 
 
@@ -550,7 +552,8 @@ def _models(spark, sf):
 
 def _hits(spark, sf, k=100):
     models = {"unit_64d": _models(spark, sf)["unit_64d"]}
-    return search_models(models, k, id_col=ID)
+    hits, _ = search_models(models, k, id_col=ID)
+    return hits
 
 
 @register
@@ -566,14 +569,14 @@ def cosine_topk(spark, sf):
 
 @register
 def rank_hits(spark, sf):
-    hits, _, _ = _hits(spark, sf)
+    hits = _hits(spark, sf)
     return hits.select("category", "rank", ID)
 
 
 @register
 def hit_flag(spark, sf):
-    hits, _, bound = _hits(spark, sf)
-    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], bound)
+    hits = _hits(spark, sf)
+    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], hits.count())
     return flagged.select(
         "category", "rank", ID, F.col("correct_output").cast("int").alias("correct_output")
     )
@@ -581,15 +584,15 @@ def hit_flag(spark, sf):
 
 @register
 def true_match_total(spark, sf):
-    hits, _, bound = _hits(spark, sf)
-    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], bound)
+    hits = _hits(spark, sf)
+    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], hits.count())
     return metrics.match_totals(flagged)
 
 
 @register
 def hits_with_metadata(spark, sf):
-    hits, _, bound = _hits(spark, sf, 10)
-    rows = joins.with_metadata(hits, T.postings(spark, sf), ID, bound)
+    hits = _hits(spark, sf, 10)
+    rows = joins.with_metadata(hits, T.postings(spark, sf), ID, hits.count())
     return rows.select("category", "rank", ID, r6("score"), "title", "location")
 
 
@@ -655,7 +658,7 @@ def demo_binary_labeller(prompts: list[str]) -> list[str]:
 
 
 def demo_summarizer(prompts: list[str]) -> list[str | None]:
-    return [p.upper() for p in prompts]
+    return ["Summary: " + p for p in prompts]
 
 
 @register

@@ -1,4 +1,4 @@
-"""HTML and markdown to flat text, as built-in expressions only.
+"""HTML and markdown to flat text, with built-in expressions only.
 
 Every pattern is written so that its cost grows linearly with the text and no
 Java regex group repeats without a bound: a repeated group recurses, and one huge
@@ -10,7 +10,7 @@ from __future__ import annotations
 import html.entities
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.strings import strip
@@ -46,6 +46,12 @@ TAG = (
 BLOCK_TAG = r"(?i)(<(?:br|p|li|h[1-6])(?:[\s/][^>]*)?>)"
 
 
+# What follows "&": a name, or "#" and a number that no further digit follows.
+REFERENCE = (
+    r"^(?:[a-zA-Z][-.a-zA-Z0-9]*|#(?:[0-9]++|[xX][0-9a-fA-F]++)(?![0-9a-fA-F]))"
+)
+
+
 def _entity_table() -> str:
     """Named references as a JSON object: the HTML 4 names first, then all others."""
     table = {}
@@ -75,59 +81,63 @@ def _code_point_text(digits: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode character references once, left to right.
+    """Decode character references once, left to right. ``c`` must be a plain column.
 
-    The text is cut at ``&``; each following piece starts with a reference or not.
-    Unknown names stay, without their semicolon.
+    The text is cut at ``&``; each following piece is split into a reference (which may
+    be empty) and the rest. Unknown names stay, without their semicolon.
     """
     table = F.from_json(F.lit(_entity_table()), "map<string,string>")
 
-    def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^[a-zA-Z][-.a-zA-Z0-9]*", 0)
-        digits = F.regexp_extract(piece, r"^#([0-9]++|[xX][0-9a-fA-F]++)(?![0-9a-fA-F])", 1)
-        named = F.concat(
-            F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name)),
-            F.regexp_replace(piece, r"^[a-zA-Z][-.a-zA-Z0-9]*;?", ""),
-        )
-        numbered = F.concat(
-            _code_point_text(digits), F.regexp_replace(piece, r"^#[xX]?[0-9a-fA-F]+;?", "")
-        )
-        return (
-            F.when(name != "", named)
-            .when(digits != "", numbered)
-            .otherwise(F.concat(F.lit("&"), piece))
+    def split_piece(piece: Column) -> Column:
+        return F.struct(F.regexp_extract(piece, REFERENCE, 0).alias("ref"), piece.alias("piece"))
+
+    def decode(part: Column) -> Column:
+        ref, piece = part["ref"], part["piece"]
+        rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
+        rest = F.when(rest.startswith(";"), F.substring(rest, F.lit(2), F.length(rest))).otherwise(
+            rest
         )
+        char = F.when(
+            ref.startswith("#"), _code_point_text(F.substring(ref, F.lit(2), F.length(ref)))
+        ).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref)))
+        return F.when(ref == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
     pieces = F.split(c, "&", -1)
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode)
-    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+    parts = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), split_piece)
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(parts, decode), ""))
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
-def strip_html(c: Column) -> Column:
+def strip_tags(c: Column) -> Column:
     """Text nodes joined by one space, a newline before br, p, li and h1-h6."""
     out = F.regexp_replace(c, INVISIBLE, SEAM)
     out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$1")
     out = F.regexp_replace(out, TAG, SEAM)
     out = F.btrim(out, F.lit(SEAM))
-    out = F.regexp_replace(out, SEAM + "+", " ")
-    return decode_entities(out)
+    return F.regexp_replace(out, SEAM + "+", " ")
 
 
-def strip_markdown(c: Column) -> Column:
-    """Drop markdown marks and flatten to one line."""
-    # Blank lines never survive the flattening below. Dropping them first keeps the
+def strip_marks(c: Column) -> Column:
+    """Drop escapes, headings and emphasis."""
+    # Blank lines never survive the flattening later on. Dropping them first keeps the
     # line-start patterns from rescanning long runs of empty lines.
     out = F.regexp_replace(c, r"(?U)\n" + WS + r"*\n", "\n")
     out = F.regexp_replace(out, r"(?d)\\(.)", "$1")
     out = F.regexp_replace(out, r"(?dmU)^[=\-]{2,}" + WS + r"*$", "")
     out = F.regexp_replace(out, r"(?dmU)^#{1,6}" + WS + r"+", "")
     out = F.regexp_replace(out, r"(?s)\*{1,3}(.+?)\*{1,3}", "$1")
-    out = F.regexp_replace(out, r"(?s)_{1,2}(.+?)_{1,2}", "$1")
-    out = F.when(
-        F.contains(out, F.lit("](")), F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    ).otherwise(out)
-    out = F.regexp_replace(out, r"`([^`]*)`", "$1")
+    return F.regexp_replace(out, r"(?s)_{1,2}(.+?)_{1,2}", "$1")
+
+
+def strip_links(c: Column) -> Column:
+    """``[label](url)`` to its label; the pattern runs only where a link can be."""
+    labelled = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.when(F.contains(c, F.lit("](")), labelled).otherwise(c)
+
+
+def flatten_lines(c: Column) -> Column:
+    """Drop inline code and list marks, put all lines into one."""
+    out = F.regexp_replace(c, r"`([^`]*)`", "$1")
     out = F.regexp_replace(out, r"(?dmU)^" + WS + r"*+[*\-+]" + WS + r"+", "")
     out = F.regexp_replace(out, r"(?dmU)^" + WS + r"*+\d+\." + WS + r"+", "")
     out = F.regexp_replace(out, r" {2,}", " ")
@@ -139,10 +149,22 @@ def strip_markdown(c: Column) -> Column:
     return strip(out)
 
 
-def clean_description(c: Column) -> Column:
-    """Raw HTML or markdown to flat text; null stays null.
+def clean_description(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Raw HTML or markdown in ``column`` to flat text in ``out``; null stays null.
 
     The HTML pass runs only where a tag is found, so ``R&amp;D`` without a tag keeps
-    its reference.
+    its reference. The steps are separate columns because a step that names its input
+    more than once would otherwise repeat all steps before it.
     """
-    return strip_markdown(F.when(c.rlike(HTML_TAG), strip_html(c)).otherwise(c))
+    out = out or column
+    c, step = F.col(column), F.col("clean_step")
+    return (
+        df.withColumn("clean_step", F.when(c.rlike(HTML_TAG), strip_tags(c)))
+        .withColumn("clean_step", F.coalesce(decode_entities(step), c))
+        .withColumn("clean_step", strip_marks(step))
+        # A generated column: later filters on it stay above it and do not clean twice.
+        .withColumn("clean_done", F.explode(F.array(flatten_lines(strip_links(step)))))
+        .drop("clean_step")
+        .withColumn(out, F.col("clean_done"))
+        .drop("clean_done")
+    )

@@ -34,6 +34,12 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1.0)
 
 
+def _to_matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 class _Best:
     """Running best k of each query inside one task."""
 
@@ -163,15 +169,15 @@ def cosine_topk(
     block_of = F.pmod(F.xxhash64(*query_cols), F.lit(n_blocks))
     narrow = corpus.where(F.size(vector_col) == high).select(id_col, vector_col)
     schema = to_arrow_schema(out_type)
-    key_schema = pa.schema([schema.field(i) for i in range(len(query_cols))])
     partials = []
     for block in range(n_blocks):
-        rows = asked.where(block_of == block).orderBy(*query_cols).collect()
-        if rows:
-            matrix = _unit_rows(np.array([r[-1] for r in rows], dtype=np.float64))
-            keys = pa.RecordBatch.from_pylist(
-                [{c: r[c] for c in query_cols} for r in rows], schema=key_schema
+        rows = asked if n_blocks == 1 else asked.where(block_of == block)
+        found = rows.toArrow().combine_chunks()  # at most about block_bytes
+        if found.num_rows:
+            keys = found.select(query_cols).cast(
+                pa.schema([schema.field(c) for c in query_cols])
             )
-            scan = _scanner(keys, matrix, k, schema)
+            matrix = _unit_rows(_to_matrix(found.column(vector_col).combine_chunks(), high))
+            scan = _scanner(keys.to_batches()[0], matrix, k, schema)
             partials.append(narrow.mapInArrow(scan, out_type))
     return merge_topk(reduce(DataFrame.unionAll, partials), query_cols, id_col, k)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sievemark.constants import ROW_LIMIT, SHUFFLE_SEED
 from sievemark.functions.markup import clean_description
@@ -40,5 +39,4 @@ def clean_postings(
     Rows that are blank before or become blank by cleaning are dropped.
     """
     unique = keep_first(drop_blank(df, "description"), keys, [id_col])
-    cleaned = unique.withColumn("description", clean_description(F.col("description")))
-    return drop_blank(cleaned, "description")
+    return drop_blank(clean_description(unique, "description"), "description")
