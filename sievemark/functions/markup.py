@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from sievemark.functions.strings import strip
 
 WS = r"[\s\x1C-\x1F]"
 LINE_BREAK = r"[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-BLANK_IN_LINE = r"[\s\x1F&&[^\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]]"
 
 # One character that stands for "a tag was here". U+FDD0 is a noncharacter,
 # reserved by Unicode for such internal use.
@@ -28,22 +28,39 @@ HTML_TAG = r"<[a-zA-Z/][^>]*>"
 # Elements whose text is not part of the page text, comments and declarations.
 # A script or style that never ends swallows the rest, as in a browser.
 INVISIBLE = (
-    r"(?is)<!--.*?-->"
-    r"|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
-    r"|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
-    r"|<template(?:[\s/][^>]*)?>.*?</template\s*>"
-    r"|<rt(?:[\s/][^>]*)?>.*?</rt\s*>"
-    r"|<rp(?:[\s/][^>]*)?>.*?</rp\s*>"
-    r"|<![a-z\[][^>]*>|<\?[^>]*>"
+    r"(?is)<(?:!--.*?-->"
+    r"|script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
+    r"|style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
+    r"|template(?:[\s/][^>]*)?>.*?</template\s*>"
+    r"|rt(?:[\s/][^>]*)?>.*?</rt\s*>"
+    r"|rp(?:[\s/][^>]*)?>.*?</rp\s*>"
+    r"|![a-z\[][^>]*>|\?[^>]*>)"
 )
 
 # A tag, with quoted attribute values that may hold ">". The repetition is bounded
 # (see module note); the second branch takes tags with more attributes than that.
 TAG = (
-    r"<[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+){0,200}+>"
-    r"|" + HTML_TAG
+    r"<(?:[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+){0,200}+>"
+    r"|[a-zA-Z/][^>]*+>)"
 )
-BLOCK_TAG = r"(?i)(<(?:br|p|li|h[1-6])(?:[\s/][^>]*)?>)"
+BLOCK_TAG = r"<(?i:br|p|li|h[1-6])(?:[\s/][^>]*)?>"
+
+# Markdown marks in the order they are removed: (texts of which one must occur,
+# pattern, replacement). The cheap text search spares most texts the pattern.
+MARKS = [
+    # Blank lines never survive the flattening. Dropping them first keeps the
+    # line-start patterns from rescanning long runs of empty lines.
+    (["\n"], r"(?U)\n" + WS + r"*\n", "\n"),
+    (["\\"], r"(?d)\\(.)", "$1"),
+    (["==", "--", "=-", "-="], r"(?dmU)^[=\-]{2,}" + WS + r"*$", ""),
+    (["#"], r"(?dmU)^#{1,6}" + WS + r"+", ""),
+    (["*"], r"(?s)\*{1,3}(.+?)\*{1,3}", "$1"),
+    (["_"], r"(?s)_{1,2}(.+?)_{1,2}", "$1"),
+    (["]("], r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (["`"], r"`([^`]*)`", "$1"),
+    (["*", "-", "+"], r"(?dmU)^" + WS + r"*+[*\-+]" + WS + r"+", ""),
+    (["."], r"(?dmU)^" + WS + r"*+\d+\." + WS + r"+", ""),
+]
 
 
 # What follows "&": a name, or "#" and a number that no further digit follows.
@@ -111,60 +128,35 @@ def decode_entities(c: Column) -> Column:
 def strip_tags(c: Column) -> Column:
     """Text nodes joined by one space, a newline before br, p, li and h1-h6."""
     out = F.regexp_replace(c, INVISIBLE, SEAM)
-    out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$1")
+    out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$0")
     out = F.regexp_replace(out, TAG, SEAM)
     out = F.btrim(out, F.lit(SEAM))
     return F.regexp_replace(out, SEAM + "+", " ")
 
 
-def strip_marks(c: Column) -> Column:
-    """Drop escapes, headings and emphasis."""
-    # Blank lines never survive the flattening later on. Dropping them first keeps the
-    # line-start patterns from rescanning long runs of empty lines.
-    out = F.regexp_replace(c, r"(?U)\n" + WS + r"*\n", "\n")
-    out = F.regexp_replace(out, r"(?d)\\(.)", "$1")
-    out = F.regexp_replace(out, r"(?dmU)^[=\-]{2,}" + WS + r"*$", "")
-    out = F.regexp_replace(out, r"(?dmU)^#{1,6}" + WS + r"+", "")
-    out = F.regexp_replace(out, r"(?s)\*{1,3}(.+?)\*{1,3}", "$1")
-    return F.regexp_replace(out, r"(?s)_{1,2}(.+?)_{1,2}", "$1")
-
-
-def strip_links(c: Column) -> Column:
-    """``[label](url)`` to its label; the pattern runs only where a link can be."""
-    labelled = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.when(F.contains(c, F.lit("](")), labelled).otherwise(c)
-
-
 def flatten_lines(c: Column) -> Column:
-    """Drop inline code and list marks, put all lines into one."""
-    out = F.regexp_replace(c, r"`([^`]*)`", "$1")
-    out = F.regexp_replace(out, r"(?dmU)^" + WS + r"*+[*\-+]" + WS + r"+", "")
-    out = F.regexp_replace(out, r"(?dmU)^" + WS + r"*+\d+\." + WS + r"+", "")
-    out = F.regexp_replace(out, r" {2,}", " ")
-    out = F.regexp_replace(
-        out,
-        r"(?U)(?<!" + BLANK_IN_LINE + r")" + BLANK_IN_LINE + r"*+" + LINE_BREAK + WS + r"*+",
-        " ",
-    )
-    return strip(out)
+    """Lines stripped, empty ones dropped, the rest joined by one space."""
+    lines = F.transform(F.split(c, LINE_BREAK), strip)
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
-def clean_description(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Raw HTML or markdown in ``column`` to flat text in ``out``; null stays null.
+def clean_description(df: DataFrame, column: str) -> DataFrame:
+    """Raw HTML or markdown in ``column`` to flat text; null stays null.
 
     The HTML pass runs only where a tag is found, so ``R&amp;D`` without a tag keeps
     its reference. The steps are separate columns because a step that names its input
     more than once would otherwise repeat all steps before it.
     """
-    out = out or column
+    order = df.columns
     c, step = F.col(column), F.col("clean_step")
-    return (
-        df.withColumn("clean_step", F.when(c.rlike(HTML_TAG), strip_tags(c)))
-        .withColumn("clean_step", F.coalesce(decode_entities(step), c))
-        .withColumn("clean_step", strip_marks(step))
-        # A generated column: later filters on it stay above it and do not clean twice.
-        .withColumn("clean_done", F.explode(F.array(flatten_lines(strip_links(step)))))
-        .drop("clean_step")
-        .withColumn(out, F.col("clean_done"))
-        .drop("clean_done")
-    )
+    out = df.withColumn("clean_step", F.when(c.rlike(HTML_TAG), strip_tags(c)))
+    out = out.withColumn("clean_step", F.coalesce(decode_entities(step), c)).drop(column)
+    for texts, pattern, to in MARKS:
+        occurs = reduce(Column.__or__, [F.contains(step, F.lit(t)) for t in texts])
+        out = out.withColumn(
+            "clean_step", F.when(occurs, F.regexp_replace(step, pattern, to)).otherwise(step)
+        )
+    out = out.withColumn("clean_step", flatten_lines(step))
+    # A generated column: later filters on it stay above it and do not clean twice.
+    single = F.array(F.regexp_replace(step, r" {2,}", " "))
+    return out.withColumn(column, F.explode(single)).select(*order)

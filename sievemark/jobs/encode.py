@@ -27,10 +27,12 @@ def hashing_encoder(dim: int) -> ModelFunction:
     """Offline stand-in for a model: token counts in ``dim`` hash buckets."""
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts):
-            np.add.at(row, [_token_number(t) % dim for t in text.lower().split()], 1.0)
-        return list(out)
+        out = []
+        for text in texts:
+            buckets = [_token_number(t) % dim for t in text.lower().split()]
+            counts = np.bincount(np.array(buckets, dtype=np.int64), minlength=dim)
+            out.append(counts.astype(np.float64))
+        return out
 
     return encode
 
