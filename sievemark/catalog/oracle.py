@@ -406,7 +406,7 @@ def _sql() -> dict[str, str]:
     ):
         out[key] = p + f"SELECT job_posting_id, title FROM postings WHERE {RULES[category]}"
 
-    old = "CASE WHEN job_posting_id % 5 = 0 THEN 'old ' || job_posting_id END"
+    old = "CASE WHEN description IS NULL THEN 'old ' || job_posting_id END"
     inside = "position >= 100 AND position < 700"
     out["fill_range"] = (
         f"WITH {POSITIONS} SELECT job_posting_id, "
@@ -450,12 +450,12 @@ def _sql() -> dict[str, str]:
         "FROM units u JOIN asked a USING (category)"
     )
     out["dim_check"] = (
-        "SELECT vec_id AS job_posting_id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE 40 END AS found_dim "
-        "FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0"
+        "SELECT vec_id AS job_posting_id, CASE label WHEN 3 THEN -1 ELSE 40 END AS found_dim "
+        "FROM embeddings WHERE label IN (3, 5)"
     )
     out["valid_vectors"] = (
         "SELECT vec_id AS job_posting_id, 'label_' || label AS category FROM embeddings "
-        "WHERE vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND len(embedding) = 64"
+        "WHERE label NOT IN (3, 5) AND len(embedding) = 64"
     )
     out["dim_to_model_slot"] = (
         "SELECT vec_id AS job_posting_id, CASE len(embedding) WHEN 64 THEN 'embedding1' END AS slot, "
@@ -561,8 +561,10 @@ def _sql() -> dict[str, str]:
         "FROM dim d LEFT JOIN subsets s USING (category) GROUP BY d.category, d.description"
     )
     out["vector_append"] = (
-        "SELECT vec_id AS job_posting_id, 'label_' || label AS category, len(embedding) AS dim "
-        "FROM embeddings"
+        "SELECT coalesce(vec_id, doc_id) AS job_posting_id, "
+        "CASE WHEN vec_id IS NULL THEN 'stale' ELSE 'label_' || label END AS category, "
+        "CASE WHEN vec_id IS NULL THEN -1 ELSE len(embedding) END AS dim "
+        "FROM documents FULL JOIN embeddings ON doc_id = vec_id"
     )
     out["source_fallback"] = "SELECT doc_id, quality, toxic FROM labels"
     return out
@@ -581,6 +583,7 @@ INT_COLUMNS = {
     "hits_with_metadata": ["rank"],
     "retrieve_by_text_top10": ["rank"],
     "text_encode_job": ["position"],
+    "vector_append": ["dim"],
     "model_label_job": ["internship", "entry_level"],
     "model_label_job_per_category": ["internship", "marketing"],
 }

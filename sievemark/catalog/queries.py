@@ -299,8 +299,7 @@ def extract_json(spark, sf):
 
 @register
 def parse_multilabel(spark, sf):
-    parsed = responses.parse_multilabel(F.col("raw"), LABEL_CATEGORIES)
-    return T.responses(spark, sf).select(ID, *parsed)
+    return responses.parse_multilabel(T.responses(spark, sf), "raw", LABEL_CATEGORIES)
 
 
 @register
@@ -399,7 +398,8 @@ def upsert_by_id(spark, sf):
 
 def _summary_master(spark, sf):
     return T.postings(spark, sf).withColumn(
-        "summary", F.when(F.col(ID) % 5 == 0, F.concat(F.lit("old "), F.col(ID).cast("string")))
+        "summary",
+        F.when(F.col("description").isNull(), F.concat(F.lit("old "), F.col(ID).cast("string"))),
     )
 
 
@@ -509,7 +509,7 @@ def truncate_dim(spark, sf):
 def inner_product(spark, sf):
     """Each vector with the query of its own category."""
     q = T.query_vectors(spark, sf).select("category", F.col("embedding").alias("query"))
-    pairs = T.vectors(spark, sf).join(F.broadcast(q), "category")
+    pairs = T.vectors(spark, sf).join(q, "category")
     cosine = V.inner_product(
         V.l2_normalize(F.col("embedding")), V.l2_normalize(F.col("query"))
     )
@@ -517,9 +517,10 @@ def inner_product(spark, sf):
 
 
 def _mixed_vectors(spark, sf):
-    """Vectors of which some are cut short and some are missing."""
-    v = F.col("embedding")
-    cut = F.when(F.col(ID) % 7 == 0, None).when(F.col(ID) % 5 == 0, F.slice(v, 1, 40)).otherwise(v)
+    """All vectors, those of one category cut short and those of another missing."""
+    v, category = F.col("embedding"), F.col("category")
+    cut = F.when(category == "label_3", None).when(category == "label_5", F.slice(v, 1, 40))
+    cut = F.when(category.isin("label_3", "label_5"), cut).otherwise(v)
     return T.vectors(spark, sf).withColumn("embedding", cut)
 
 
@@ -541,26 +542,31 @@ def dim_to_model_slot(spark, sf):
     return wide.select(ID, slot.alias("slot"), model.alias("model_name"))
 
 
-def _models(spark, sf):
-    corpus, queries = T.corpus_vectors(spark, sf), T.query_vectors(spark, sf)
+def _models(spark, sf, names=("unit_64d", "unit_32d")):
+    """({model: (corpus, queries)}, truth)."""
+    queries = T.query_vectors(spark, sf)
+    corpus = T.corpus_vectors(spark, sf, queries)
     half = V.truncate_dim(F.col("embedding"), T.MODEL_DIMS["unit_32d"])
-    return {
+    models = {
         "unit_64d": (corpus, queries),
         "unit_32d": (corpus.withColumn("embedding", half), queries.withColumn("embedding", half)),
     }
+    return {n: models[n] for n in names}, corpus.select("category", ID)
 
 
 def _hits(spark, sf, k=100):
-    models = {"unit_64d": _models(spark, sf)["unit_64d"]}
+    """(hits of the 64-wide model, truth)."""
+    models, truth = _models(spark, sf, ["unit_64d"])
     hits, _ = search_models(models, k, id_col=ID)
-    return hits
+    return hits, truth
 
 
 @register
 def cosine_topk(spark, sf):
+    queries = T.query_vectors(spark, sf)
     return topk.cosine_topk(
-        T.corpus_vectors(spark, sf),
-        T.query_vectors(spark, sf),
+        T.corpus_vectors(spark, sf, queries),
+        queries,
         10,
         id_col=ID,
         query_cols=["category"],
@@ -569,14 +575,14 @@ def cosine_topk(spark, sf):
 
 @register
 def rank_hits(spark, sf):
-    hits = _hits(spark, sf)
+    hits, _ = _hits(spark, sf)
     return hits.select("category", "rank", ID)
 
 
 @register
 def hit_flag(spark, sf):
-    hits = _hits(spark, sf)
-    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], hits.count())
+    hits, truth = _hits(spark, sf)
+    flagged = metrics.flag_hits(hits, truth, ["category", ID], hits.count())
     return flagged.select(
         "category", "rank", ID, F.col("correct_output").cast("int").alias("correct_output")
     )
@@ -584,21 +590,21 @@ def hit_flag(spark, sf):
 
 @register
 def true_match_total(spark, sf):
-    hits = _hits(spark, sf)
-    flagged = metrics.flag_hits(hits, T.truth(spark, sf), ["category", ID], hits.count())
+    hits, truth = _hits(spark, sf)
+    flagged = metrics.flag_hits(hits, truth, ["category", ID], hits.count())
     return metrics.match_totals(flagged)
 
 
 @register
 def hits_with_metadata(spark, sf):
-    hits = _hits(spark, sf, 10)
+    hits, _ = _hits(spark, sf, 10)
     rows = joins.with_metadata(hits, T.postings(spark, sf), ID, hits.count())
     return rows.select("category", "rank", ID, r6("score"), "title", "location")
 
 
 def _metrics(spark, sf, ks):
-    models = {"unit_64d": _models(spark, sf)["unit_64d"]}
-    return compare_models(models, T.truth(spark, sf), ks, id_col=ID)
+    models, truth = _models(spark, sf, ["unit_64d"])
+    return compare_models(models, truth, ks, id_col=ID)
 
 
 @register
@@ -628,7 +634,7 @@ def multi_k_from_one_search(spark, sf):
 
 @register
 def model_comparison(spark, sf):
-    found = compare_models(_models(spark, sf), T.truth(spark, sf), id_col=ID)
+    found = compare_models(*_models(spark, sf), id_col=ID)
     return found.select(
         "model", "category", "k", r6("recall"), r6("precision"), r6("f1"), r6("ndcg")
     )
@@ -636,7 +642,7 @@ def model_comparison(spark, sf):
 
 @register
 def metrics_wide(spark, sf):
-    found = compare_models(_models(spark, sf), T.truth(spark, sf), id_col=ID)
+    found = compare_models(*_models(spark, sf), id_col=ID)
     wide = metrics.metrics_wide(found)
     values = [c for c in wide.columns if "@" in c]
     return wide.select("model", "category", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in values])
@@ -765,12 +771,13 @@ def manifest_written(spark, sf):
 
 @register
 def vector_append(spark, sf):
-    """Two versions of a vector table: first the even ids, then all ids over them."""
+    """Two versions of a table: first all documents, then all vectors over them."""
     base = scratch_path(spark, "vectors")
-    rows = T.vectors(spark, sf).select(ID, "category", F.size("embedding").alias("dim"))
-    sinks.append_version(
-        rows.where(F.col(ID) % 2 == 0).withColumn("category", F.lit("stale")), base, [ID]
+    old = T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias(ID), F.lit("stale").alias("category"), F.lit(-1).alias("dim")
     )
+    rows = T.vectors(spark, sf).select(ID, "category", F.size("embedding").alias("dim"))
+    sinks.append_version(old, base, [ID])
     sinks.append_version(rows, base, [ID])
     return sinks.read_version(spark, base)
 

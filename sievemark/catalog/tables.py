@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemark.session import materialize
+
 ID = "job_posting_id"
 
 # Title vocabulary (fixed test values, index 10 is a missing title).
@@ -120,19 +122,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per category: its vector with the lowest id."""
-    return (
+    """One query per category: its vector with the lowest id. Stored, so that joins
+    with it are planned on its true size."""
+    lowest = (
         vectors(spark, sf_dir)
         .groupBy("category")
         .agg(F.min(ID).alias("query_id"), F.min_by("embedding", ID).alias("embedding"))
     )
+    return materialize(lowest, "query-vectors")
 
 
-def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors but the queries (one per label, so few)."""
-    used = query_vectors(spark, sf_dir).select(F.col("query_id").alias(ID))
-    return vectors(spark, sf_dir).join(F.broadcast(used), ID, "left_anti")
-
-
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_vectors(spark, sf_dir).select("category", ID)
+def corpus_vectors(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
+    """All vectors but the queries."""
+    used = queries.select(F.col("query_id").alias(ID))
+    return vectors(spark, sf_dir).join(used, ID, "left_anti")

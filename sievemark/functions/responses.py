@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.strings import strip
@@ -42,10 +42,15 @@ def truthy(obj: Column, key: str) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("int")
 
 
-def parse_multilabel(raw: Column, categories: Sequence[str]) -> list[Column]:
-    """One 0/1 column per category; absent members and unreadable answers give 0."""
-    obj = extract_json(raw)
-    return [truthy(obj, c).alias(c) for c in categories]
+def parse_multilabel(df: DataFrame, raw_col: str, categories: Sequence[str]) -> DataFrame:
+    """Replace ``raw_col`` by one 0/1 column per category.
+
+    Absent members and unreadable answers give 0. The parsed object is a column of its
+    own, so each answer is parsed once for all categories.
+    """
+    kept = [c for c in df.columns if c != raw_col]
+    parsed = df.withColumn("answer", extract_json(F.col(raw_col)))
+    return parsed.select(*kept, *[truthy(F.col("answer"), c).alias(c) for c in categories])
 
 
 def exclude_when(winner: Column, loser: Column) -> Column:

@@ -65,8 +65,7 @@ def label_multilabel(
     No answer, no JSON or an absent category gives 0.
     """
     raw = map_texts(with_prompt(df, template), id_col, "prompt", fn, "string", retries)
-    labels = raw.select(id_col, *parse_multilabel(F.col("value"), list(categories)))
-    return apply_exclusion(labels)
+    return apply_exclusion(parse_multilabel(raw, "value", list(categories)))
 
 
 def label_per_category(

@@ -74,6 +74,8 @@ def run_resumable(
         todo = source.where(in_slice)
         done = read_done(spark, path)
         if done is not None:
-            todo = pending_rows(todo, done.where(in_slice), id_col)
+            done = done.where(in_slice)
+            if not done.isEmpty():  # on a first run the texts need no join
+                todo = pending_rows(todo, done, id_col)
         transform(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)

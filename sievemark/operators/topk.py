@@ -107,12 +107,17 @@ def _scanner(keys: pa.RecordBatch, queries: np.ndarray, k: int, schema: pa.Schem
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 best.add(ids, flat.reshape(-1, dim))
-        for q in range(len(queries)):
-            if best.ids[q] is not None:
-                n = len(best.ids[q])
-                owner = keys.take(pa.array(np.full(n, q)))
-                ids = pa.array(best.ids[q].tolist(), type=schema.field(keys.num_columns).type)
-                columns = [*owner.columns, ids, pa.array(best.scores[q])]
+        for start in range(0, len(queries), STRIPE):
+            stripe = [q for q in range(start, len(queries))[:STRIPE] if best.ids[q] is not None]
+            if stripe:
+                owner = np.repeat(stripe, [len(best.ids[q]) for q in stripe])
+                ids = np.concatenate([best.ids[q] for q in stripe]).tolist()
+                scores = np.concatenate([best.scores[q] for q in stripe])
+                columns = [
+                    *keys.take(pa.array(owner)).columns,
+                    pa.array(ids, type=schema.field(keys.num_columns).type),
+                    pa.array(scores),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return scan

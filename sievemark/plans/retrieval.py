@@ -12,6 +12,7 @@ from sievemark.jobs.encode import encode_texts
 from sievemark.jobs.resumable import ModelFunction
 from sievemark.operators.joins import query_vector_lookup, with_metadata
 from sievemark.operators.topk import cosine_topk
+from sievemark.session import materialize
 
 
 def resolve_query_vectors(
@@ -45,5 +46,7 @@ def retrieve_by_text(
 ) -> DataFrame:
     """Posting rows for each request in rank order, with the score."""
     queries = resolve_query_vectors(requests, stored_queries, stored_vectors, encode_fn, slots)
+    # Stored, because it is read more than once and the model should run once.
+    queries = materialize(queries.select("request_id", "embedding"), "query-vectors")
     hits = cosine_topk(corpus, queries, k, id_col=id_col, query_cols=["request_id"])
-    return with_metadata(hits, postings, id_col, max_hits=requests.count() * k)
+    return with_metadata(hits, postings, id_col, max_hits=queries.count() * k)

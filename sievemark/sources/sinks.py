@@ -11,10 +11,14 @@ from sievemark.constants import POSTING_COLUMNS
 from sievemark.operators.filters import select_existing
 from sievemark.operators.labels import category_counts, category_ids
 from sievemark.operators.sets import upsert
+from sievemark.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that ``read_csv`` gives back unchanged, newlines, quotes and '' included."""
+    """CSV that ``read_csv`` gives back with its newlines, quotes and outer spaces.
+
+    CSV has no null: null and '' both come back as null.
+    """
     (
         df.write.options(header="true", quote='"', escape='"', quoteAll="true")
         .option("ignoreLeadingWhiteSpace", "false")
@@ -57,21 +61,33 @@ def manifest(
     ``categories``: category, description. A category without rows has one record
     with count 0 and no ids.
     """
-    counts = category_counts(subsets, categories)
+    # As many rows as configured categories, stored so that it is broadcast by size
+    # and the id chunks stay where they are.
+    counts = materialize(category_counts(subsets, categories), "category-counts")
     chunks = category_ids(subsets, id_col, ids_per_chunk).select("category", "chunk", "ids")
-    settings = F.struct(*[F.lit(v).alias(k) for k, v in preprocessing.items()])
-    id_type = subsets.schema[id_col].dataType
-    return counts.join(chunks, "category", "left").select(
-        (F.current_timestamp() if generated_at is None else generated_at).alias("generated_at"),
-        F.lit(source).alias("source_dataset"),
-        F.lit(method).alias("method"),
-        settings.alias("preprocessing"),
+    empty = counts.where("n_rows = 0").select(
         "category",
-        "description",
-        F.col("n_rows").alias("count"),
-        F.concat(F.lit("category="), "category").alias("file"),
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        F.coalesce("ids", F.array().cast(f"array<{id_type.simpleString()}>")).alias("ids"),
+        F.lit(0).cast("long").alias("chunk"),
+        F.array().cast(chunks.schema["ids"].dataType).alias("ids"),
+    )
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in preprocessing.items()])
+    return (
+        chunks.unionByName(empty)
+        .join(counts, "category")
+        .select(
+            (F.current_timestamp() if generated_at is None else generated_at).alias(
+                "generated_at"
+            ),
+            F.lit(source).alias("source_dataset"),
+            F.lit(method).alias("method"),
+            settings.alias("preprocessing"),
+            "category",
+            "description",
+            F.col("n_rows").alias("count"),
+            F.concat(F.lit("category="), "category").alias("file"),
+            "chunk",
+            "ids",
+        )
     )
 
 

@@ -44,6 +44,8 @@ CLEANING = [
     ("<tr>" * 20000 + "x" + "</td>" * 20000, "x"),
     ("<a " + "k=v " * 20000 + ">x</a>", "x"),
     ("*" * 7, "*"),
+    ("**" + "a" * 2_000_000 + "**", "a" * 2_000_000),
+    ("<script>" + "< a" * 500_000 + "</script><b>x</b>", "x"),
     ("\n" * 200000 + "- a", "a"),
 ]
 
