@@ -17,8 +17,8 @@ from sievemark.catalog.queries import QUERIES
 from sievemark.session import local_session
 
 HEADLINE = [
-    "prep_postings_1000",
-    "clean_postings_all",
+    "prep_postings",
+    "clean_postings",
     "clean_description",
     "dedup_title_desc_loc",
     "seeded_shuffle",
@@ -32,7 +32,7 @@ HEADLINE = [
     "model_comparison",
     "model_label_job",
     "text_encode_job",
-    "retrieve_by_text_top10",
+    "retrieve_by_text",
 ]
 
 

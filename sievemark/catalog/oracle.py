@@ -311,11 +311,11 @@ def _sql() -> dict[str, str]:
         "FROM numbered WHERE position >= 300 AND position < 1000",
         "batch_assign": f"WITH {POSITIONS} SELECT job_posting_id, position, "
         "position // 60 AS batch, (n_total + 59) // 60 AS n_batches FROM numbered",
-        "prep_postings_1000": p
+        "prep_postings": p
         + "SELECT * FROM ("
         + keep_first("postings", "title, description, location", f"{ORDER_KEY}, job_posting_id")
         + f") WHERE {not_blank('description')} ORDER BY {ORDER_KEY}, job_posting_id LIMIT 1000",
-        "clean_postings_all": f"WITH {RAW_POSTINGS}, kept AS ("
+        "clean_postings": f"WITH {RAW_POSTINGS}, kept AS ("
         + keep_first("raw", "title, description", "job_posting_id")
         + f"), cleaned AS (SELECT job_posting_id, title, {clean('description')} AS description, "
         + f"location FROM kept WHERE {not_blank('description')}) "
@@ -527,7 +527,7 @@ def _sql() -> dict[str, str]:
         f"WITH {POSTINGS}, {texts}, enc AS ({encoded('texts', 'job_posting_id', 't')}) "
         "SELECT id AS job_posting_id, position, round(value, 6) AS value FROM enc"
     )
-    out["retrieve_by_text_top10"] = (
+    out["retrieve_by_text"] = (
         f"WITH {VECTORS}, {POSTINGS}, {texts}, {REQUESTS}, "
         f"enc AS ({encoded('texts', 'job_posting_id', 't')}), "
         "stored_units AS (SELECT request_id AS id, unnest(range(64)) AS position, "
@@ -581,7 +581,7 @@ INT_COLUMNS = {
     "rank_hits": ["rank"],
     "hit_flag": ["rank"],
     "hits_with_metadata": ["rank"],
-    "retrieve_by_text_top10": ["rank"],
+    "retrieve_by_text": ["rank"],
     "text_encode_job": ["position"],
     "vector_append": ["dim"],
     "model_label_job": ["internship", "entry_level"],

@@ -33,7 +33,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -142,12 +142,12 @@ def batch_assign(spark, sf):
 
 
 @register
-def prep_postings_1000(spark, sf):
+def prep_postings_(spark, sf):
     return prep_postings(T.postings(spark, sf), ID)
 
 
 @register
-def clean_postings_all(spark, sf):
+def clean_postings_(spark, sf):
     return clean_postings(T.marked_up_postings(spark, sf), ID)
 
 
@@ -546,7 +546,8 @@ def _models(spark, sf, names=("unit_64d", "unit_32d")):
     """({model: (corpus, queries)}, truth)."""
     queries = T.query_vectors(spark, sf)
     corpus = T.corpus_vectors(spark, sf, queries)
-    half = V.truncate_dim(F.col("embedding"), T.MODEL_DIMS["unit_32d"])
+    # The search scales vectors itself, so the cut vectors need no normalising here.
+    half = F.slice("embedding", 1, T.MODEL_DIMS["unit_32d"])
     models = {
         "unit_64d": (corpus, queries),
         "unit_32d": (corpus.withColumn("embedding", half), queries.withColumn("embedding", half)),
@@ -700,7 +701,7 @@ def text_encode_job(spark, sf):
 
 
 @register
-def retrieve_by_text_top10(spark, sf):
+def retrieve_by_text_(spark, sf):
     encode = hashing_encoder(64)
     posts = T.postings(spark, sf)
     hits = retrieve_by_text(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,7 +17,9 @@ from sievemark.operators.filters import require_columns
 TEXT_COLUMNS = ("title", "description")
 
 
-@lru_cache(maxsize=200_000)
+KNOWN_TOKENS = 200_000
+
+
 def _token_number(token: str) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
 
@@ -26,10 +27,20 @@ def _token_number(token: str) -> int:
 def hashing_encoder(dim: int) -> ModelFunction:
     """Offline stand-in for a model: token counts in ``dim`` hash buckets."""
 
+    known: dict[str, int] = {}
+
+    def bucket(token: str) -> int:
+        found = known.get(token)
+        if found is None:
+            found = _token_number(token) % dim
+            if len(known) < KNOWN_TOKENS:
+                known[token] = found
+        return found
+
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            buckets = [_token_number(t) % dim for t in text.lower().split()]
+            buckets = [bucket(t) for t in text.lower().split()]
             counts = np.bincount(np.array(buckets, dtype=np.int64), minlength=dim)
             out.append(counts.astype(np.float64))
         return out

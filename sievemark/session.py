@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sievemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The checkpoint folder of the cluster. Only a local session without one gets a
+    temporary folder of this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="sievemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return _local_dir()
+    raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,7 @@ from sievemark.jobs.labeller import label_multilabel, label_per_category, run_la
 from sievemark.jobs.summary import fill_summaries, summarize
 from sievemark.operators import joins, labels
 from sievemark.plans.retrieval import retrieve_by_text
-from sievemark.session import scratch_path
+from sievemark.session import scratch_path, shared_dir
 from sievemark.sources import readers, sinks
 from sievemark.streaming.incremental import process_new_files
 
@@ -160,6 +160,26 @@ def test_similar_text_ranks_first(spark):
     assert (reused.id, round(reused.score, 6)) == (1, 1.0)
 
 
+class _Session:
+    """Stands in for a session with the given settings."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = settings
+
+    def get(self, key, default):
+        return self.settings.get(key.replace(".", "_"), default)
+
+
+def test_shared_dir():
+    configured = _Session(spark_checkpoint_dir="hdfs://x/c/", spark_master="yarn")
+    assert shared_dir(configured) == "hdfs://x/c"
+    local = _Session(spark_master="local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session(spark_master="yarn"))
+
+
 def test_jdbc_options():
     plain = readers.jdbc_options("jdbc:x", "SELECT 1", user="u")
     assert plain["query"] == "SELECT 1" and plain["user"] == "u" and "dbtable" not in plain

@@ -39,7 +39,7 @@ def test_scans_read_only_needed_columns(spark):
 
 
 def test_cleaning_runs_once_under_a_later_filter(spark):
-    text = plan(spark, "clean_postings_all")
+    text = plan(spark, "clean_postings")
     assert text.count("array_join") == 2  # references and lines, one each
 
 
