@@ -105,15 +105,17 @@ def decode_entities(c: Column) -> Column:
     """Decode character references once, left to right. ``c`` must be a plain column.
 
     The text is cut at ``&``; each following piece is split into a reference (which may
-    be empty) and the rest. Unknown names stay, without their semicolon.
+    be empty) and the rest. Unknown names stay, without their semicolon. A reference
+    that the end of the text cuts off is no reference.
     """
     table = F.from_json(F.lit(_entity_table()), "map<string,string>")
 
     def split_piece(piece: Column) -> Column:
         return F.struct(F.regexp_extract(piece, REFERENCE, 0).alias("ref"), piece.alias("piece"))
 
-    def decode(part: Column) -> Column:
+    def decode(part: Column, index: Column) -> Column:
         ref, piece = part["ref"], part["piece"]
+        cut_off = (index == F.size(pieces) - 2) & (ref == piece)
         rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
         rest = F.when(rest.startswith(";"), F.substring(rest, F.lit(2), F.length(rest))).otherwise(
             rest
@@ -121,7 +123,8 @@ def decode_entities(c: Column) -> Column:
         char = F.when(
             ref.startswith("#"), _code_point_text(F.substring(ref, F.lit(2), F.length(ref)))
         ).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref)))
-        return F.when(ref == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
+        literal = F.concat(F.lit("&"), piece)
+        return F.when((ref == "") | cut_off, literal).otherwise(F.concat(char, rest))
 
     pieces = F.split(c, "&", -1)
     parts = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), split_piece)
@@ -130,12 +133,15 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Text nodes joined by one space, a newline before br, p, li and h1-h6."""
+    """Text nodes with seams between them, a newline before br, p, li and h1-h6."""
     out = F.regexp_replace(c, INVISIBLE, SEAM)
     out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$0")
-    out = F.regexp_replace(out, TAG, SEAM)
-    out = F.btrim(out, F.lit(SEAM))
-    return F.regexp_replace(out, SEAM + "+", " ")
+    return F.regexp_replace(out, TAG, SEAM)
+
+
+def join_nodes(c: Column) -> Column:
+    """One space per seam, none at the ends."""
+    return F.regexp_replace(F.btrim(c, F.lit(SEAM)), SEAM + "+", " ")
 
 
 def flatten_lines(c: Column) -> Column:
@@ -154,7 +160,8 @@ def clean_description(df: DataFrame, column: str) -> DataFrame:
     order = df.columns
     c, step = F.col(column), F.col("clean_step")
     out = df.withColumn("clean_step", F.when(c.rlike(HTML_TAG), strip_tags(c)))
-    out = out.withColumn("clean_step", F.coalesce(decode_entities(step), c)).drop(column)
+    out = out.withColumn("clean_step", F.coalesce(join_nodes(decode_entities(step)), c))
+    out = out.drop(column)
     for texts, pattern, to in MARKS:
         occurs = reduce(Column.__or__, [F.contains(step, F.lit(t)) for t in texts])
         out = out.withColumn(
