@@ -125,10 +125,14 @@ def clean(c: str) -> str:
         r"<[a-zA-Z][^\s/>]*(?:[^>=]|=\s*(?:" + '"[^"]*"' + r"|'[^']*')?)*>|<[a-zA-Z/][^>]*>",
         seam,
     )
-    html = sub(html, r"^\x{FDD0}+|\x{FDD0}+$")
-    html = sub(html, r"\x{FDD0}+", "' '")
+    # A reference may lack its semicolon where no name character follows. Twice, because
+    # a match takes the character that may start the next reference.
+    for _ in range(2):
+        html = sub(html, r"&(quot|copy|middot|amp)([^-.;a-zA-Z0-9])", r"'&\1;\2'")
     for name, char in (("quot", "'\"'"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "'&'")):
         html = f"replace({html}, '&{name};', {char})"
+    html = sub(html, r"^\x{FDD0}+|\x{FDD0}+$")
+    html = sub(html, r"\x{FDD0}+", "' '")
     out = f"CASE WHEN regexp_matches({c}, '<[a-zA-Z/][^>]*>') THEN {html} ELSE {c} END"
     out = sub(out, r"\\(.)", r"'\1'")
     out = sub(out, r"(?m)^[=\-]{2,}" + WS + r"*$")

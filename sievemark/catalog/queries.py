@@ -692,7 +692,7 @@ def summary_fill_job(spark, sf):
 @register
 def text_encode_job(spark, sf):
     path = scratch_path(spark, "encode-job")
-    stored = run_encode_job(T.postings(spark, sf), hashing_encoder(64), path, ID)
+    stored = run_encode_job(T.postings(spark, sf), hashing_encoder(64), path, ID, n_slices=1)
     return (
         stored.select(ID, F.posexplode("embedding").alias("position", "value"))
         .where("value <> 0")

@@ -23,7 +23,7 @@ def _plain(value):
     if value is None or value != value:
         return None
     if isinstance(value, float):
-        return round(value, 6) + 0.0
+        return repr(value)
     return value
 
 
@@ -53,7 +53,7 @@ def test_query_matches_sql(spark, duck, name):
 TOKENS = [
     "a", "b1", "Word", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2028", "\x1c", "\x85", "\r\n", "\x0b",
     "*", "**", "***", "_", "__", "#", "## ", "- ", "* ", "+ ", "1. ", "12.", "==", "---", "=", "-",
-    "[", "]", "(", ")", "](", "`", "\\", "\\*", "&amp;", "&quot;", "&amp;lt;", "5 < 6", ">",
+    "[", "]", "(", ")", "](", "`", "\\", "\\*", "&amp;", "&quot;", "&amp;lt;", "&amp", "5 < 6", ">",
     "<p>", "</p>", "<br/>", "<li class='x'>", "<b>", "</b>", '<a href="x>y">', "</a>", "<h2>", "</>",
     "<!-- c <b> -->", "<script>var a = '<p>';</script>", "<style>p{}</style>", "<!doctype html>",
 ]
