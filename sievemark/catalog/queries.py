@@ -223,7 +223,7 @@ def normalize_model_id(spark, sf):
 def model_name_from_path(spark, sf):
     part = T.table(spark, sf, "part")
     path = F.concat(
-        F.lit("assets/models/embeddings_title_"),
+        F.lit("models/embeddings_title_"),
         F.col("p_size").cast("string"),
         F.lit("_"),
         F.col("p_partkey").cast("string"),

@@ -25,6 +25,7 @@ LINE_BREAK = r"[\n\x0B\f\r\x1C\x1D\x1E\x85]"
 # reserved by Unicode for such internal use.
 SEAM = "\ufdd0"
 
+# Fixed value: what makes a text HTML.
 HTML_TAG = r"<[a-zA-Z/][^>]*>"
 
 # Elements whose text is not part of the page text, comments and declarations.
@@ -47,8 +48,9 @@ TAG = (
 )
 BLOCK_TAG = r"<(?i:br|p|li|h[1-6])(?:[\s/][^>]*)?>"
 
-# Markdown marks in the order they are removed: (texts of which one must occur,
-# pattern, replacement). The cheap text search spares most texts the pattern.
+# The markdown marks in the order they are removed, as (texts of which
+# one must occur, pattern, replacement). The cheap text search spares most texts the
+# pattern.
 MARKS = [
     # Blank lines never survive the flattening. Dropping them first keeps the
     # line-start patterns from rescanning long runs of empty lines.

@@ -60,7 +60,8 @@ def with_position(
 
     With ``start``/``end`` only rows in ``[start, end)`` come back, and buckets wholly
     outside are dropped before the shuffle. Reads ``df`` twice, the first time for
-    ids only, so hand it a stored table and not a long plan.
+    ids only, so hand it a stored table and not a long plan. Ids must be unique
+    (``dedup.duplicate_ids`` checks that): rows of one id have no order among them.
     """
     keyed = with_order_key(df, id_col, seed).withColumn(
         "bucket", F.substring(ORDER_COL, 1, BUCKET_DIGITS)

@@ -156,8 +156,8 @@ def cosine_topk(
     """Hits (query_cols, rank, id, score) of every query, at most ``k`` each.
 
     Reads the query vectors now, in blocks of a checked size; the corpus is read when
-    the result is. Corpus rows without a vector of the queries' width are left out; a
-    zero vector scores 0. Fewer than ``k`` rows in the corpus give fewer hits.
+    the result is. Corpus rows without an id or a vector of the queries' width are left
+    out; a zero vector scores 0. Fewer than ``k`` rows in the corpus give fewer hits.
     """
     query_cols = list(query_cols)
     fields = [queries.schema[c] for c in query_cols] + [corpus.schema[id_col]]
@@ -172,7 +172,8 @@ def cosine_topk(
         raise ValueError(f"Query vectors have different widths: {low} to {high}")
     n_blocks = max(math.ceil(n * high * 8 / block_bytes), math.ceil(n / block_queries))
     block_of = F.pmod(F.xxhash64(*query_cols), F.lit(n_blocks))
-    narrow = corpus.where(F.size(vector_col) == high).select(id_col, vector_col)
+    usable = F.col(id_col).isNotNull() & (F.size(vector_col) == high)
+    narrow = corpus.where(usable).select(id_col, vector_col)
     schema = to_arrow_schema(out_type)
     partials = []
     for block in range(n_blocks):

@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     For small results of large scans that a plan uses more than once. The files survive
-    the loss of executors and cut the lineage.
+    the loss of executors and cut the lineage; they stay until the folder is cleaned.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -104,8 +104,8 @@ def test_render(spark):
 @pytest.mark.parametrize(
     ("path", "label"),
     [
-        ("assets/models/ds_v1/embeddings_title_summary_1000_768d_v2.pkl", "title_summary_768d"),
-        ("assets/models/ds_v2/qwen_1024d_0.6B.pkl", "qwen_1024d_0.6B"),
+        ("models/v1/embeddings_title_summary_1000_768d_v2.pkl", "title_summary_768d"),
+        ("models/v2/small_1024d_0.6B.pkl", "small_1024d_0.6B"),
     ],
 )
 def test_model_name_from_path(spark, path, label):
