@@ -115,9 +115,8 @@ def decode_entities(c: Column) -> Column:
     def split_piece(piece: Column) -> Column:
         return F.struct(F.regexp_extract(piece, REFERENCE, 0).alias("ref"), piece.alias("piece"))
 
-    def decode(part: Column, index: Column) -> Column:
+    def decode(part: Column) -> Column:
         ref, piece = part["ref"], part["piece"]
-        cut_off = (index == F.size(pieces) - 2) & (ref == piece)
         rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
         rest = F.when(rest.startswith(";"), F.substring(rest, F.lit(2), F.length(rest))).otherwise(
             rest
@@ -125,12 +124,14 @@ def decode_entities(c: Column) -> Column:
         char = F.when(
             ref.startswith("#"), _code_point_text(F.substring(ref, F.lit(2), F.length(ref)))
         ).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref)))
-        literal = F.concat(F.lit("&"), piece)
-        return F.when((ref == "") | cut_off, literal).otherwise(F.concat(char, rest))
-
-    pieces = F.split(c, "&", -1)
-    parts = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), split_piece)
-    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(parts, decode), ""))
+        return F.when(ref == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
+
+    last = F.substring_index(c, "&", -1)
+    tail = F.when(last.rlike(REFERENCE + r"\z"), F.concat(F.lit("&"), last)).otherwise("")
+    body = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    pieces = F.slice(F.split(body, "&", -1), 2, 1 << 30)
+    chars = F.transform(F.transform(pieces, split_piece), decode)
+    decoded = F.concat(F.substring_index(body, "&", 1), F.array_join(chars, ""), tail)
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
