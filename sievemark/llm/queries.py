@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate
+from sievemark.llm import decontaminate, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,9 @@ SELECT doc_id, item_id, CAST(max(n_equal) AS INTEGER) AS best_equal,
 FROM e WHERE n_equal >= CASE WHEN length < 13 THEN length ELSE 11 END
 GROUP BY doc_id, item_id
 """
+
+
+@register
+def op9_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
