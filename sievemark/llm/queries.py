@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, simhash
+from sievemark.llm import decontaminate, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,29 @@ GROUP BY doc_id, item_id
 def op9_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_secret_scan(spark, sf_dir):
+    """Spans of secrets in every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_warc(spark, sf_dir):
+    """Every page through a deduplicated archive and back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
