@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, secret_scan, simhash, warc
+from sievemark.llm import decontaminate, mixing, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,9 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@register
+def op4_mixing(spark, sf_dir):
+    """Words that the mix takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
