@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, secret_scan, simhash, warc
+from sievemark.llm import decontaminate, mixing, secret_scan, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,9 @@ FROM f
 def op4_mixing(spark, sf_dir):
     """Words that the mix takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
