@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from sievemark.llm.common import small_side, text_or_empty
 from sievemark.session import materialize
 
-# Every way to replace 2 of 13 tokens leaves one of these masks untouched at some offset.
-MASKS = ("11101011", "110100111")
+# Every way to replace 2 of 13 tokens leaves one of these masks untouched at some even offset, and
+# at some odd one, so documents are sampled at every second place.
+MASKS = ("11100011", "11010011")
+STEP = 2
 WINDOW = 13
 LEAST_EQUAL = 11
 LEAST_TOKENS = 5
@@ -36,12 +38,13 @@ def seed_hash(number: int, mask: str) -> Column:
     return F.when(start <= F.size("token_hashes") - len(mask), F.xxhash64(F.lit(number), *kept))
 
 
-def _seeds(df: DataFrame, masks: list[str], *keep: str) -> DataFrame:
-    """(keep, mask number, start, hash) of every place of every mask in ``token_hashes``.
+def _seeds(df: DataFrame, masks: list[str], *keep: str, step: int = 1) -> DataFrame:
+    """(keep, mask number, start, hash) of every mask at every ``step``-th place.
 
     One row per place inside one stage of generated code, so the array is not copied."""
+    at = F.sequence(F.lit(0), F.size("token_hashes") - 1, F.lit(step))
     places = df.where(F.size("token_hashes") > 0).select(
-        *keep, "token_hashes", F.explode(F.sequence(F.lit(0), F.size("token_hashes") - 1)).alias("start")
+        *keep, "token_hashes", F.explode(at).alias("start")
     )
     each = F.array(*[seed_hash(i, m) for i, m in enumerate(masks)])
     rows = places.select(*keep, "start", F.posexplode(each).alias("mask", "seed"))
@@ -55,6 +58,7 @@ def overlaps(
     window: int = WINDOW,
     least_equal: int = LEAST_EQUAL,
     masks: tuple[str, ...] = MASKS,
+    step: int = STEP,
     least_tokens: int = LEAST_TOKENS,
 ) -> DataFrame:
     """Documents that contain a passage of a benchmark item.
@@ -63,7 +67,8 @@ def overlaps(
         docs: ``doc_id``, ``text``; other columns are not read.
         benchmark: ``item_id``, ``text``.
         window, least_equal: a passage counts if ``least_equal`` of ``window`` consecutive tokens
-            agree at the same distance. With the default masks no such window is missed.
+            agree at the same distance. With the default masks and step no such window is missed.
+        masks, step: of the seeds; documents are read at every ``step``-th token, items at each.
         least_tokens: items below ``window`` tokens must occur whole and unchanged; those below
             this number are too common to prove anything and are never reported.
 
@@ -82,27 +87,31 @@ def overlaps(
     lengths = items.where(F.size("item_tokens") < window).select(F.size("item_tokens")).distinct()
     # At most window - least_tokens different lengths.
     whole = ["1" * r[0] for r in lengths.collect()]
-    every = [*masks, *whole]
-
-    hashed = F.transform("item_tokens", lambda t: F.xxhash64(t)).alias("token_hashes")
-    mask_length = F.element_at(F.array(*[F.lit(len(m)) for m in every]), F.col("mask") + 1)
-    short = F.col("n") < window
-    item_seeds = (
-        _seeds(items.select("item_id", F.size("item_tokens").alias("n"), hashed), every, "item_id", "n")
-        .where((~short & (F.col("mask") < len(masks))) | (short & (mask_length == F.col("n"))))
-        .select("seed", "item_id", F.col("start").alias("item_start"))
-    )
-    item_seeds = small_side(materialize(item_seeds, "benchmark-seeds"))
 
     text_hashes = F.transform(tokens(), lambda t: F.xxhash64(t)).alias("token_hashes")
-    doc_seeds = _seeds(docs.select("doc_id", text_hashes), every, "doc_id")
-    hits = (
+    item_hashes = F.transform("item_tokens", lambda t: F.xxhash64(t)).alias("token_hashes")
+    doc_tokens = docs.select("doc_id", text_hashes)
+    long_items = items.where(F.size("item_tokens") >= window).select("item_id", item_hashes)
+    hits = _hits(_seeds(doc_tokens, list(masks), "doc_id", step=step), _seeds(long_items, list(masks), "item_id"))
+    if whole:
+        short_items = items.where(F.size("item_tokens") < window).select("item_id", item_hashes)
+        full = F.length(F.element_at(F.array(*map(F.lit, whole)), F.col("mask") + 1))
+        short_seeds = _seeds(short_items, whole, "item_id", "token_hashes")
+        short_seeds = short_seeds.where(full == F.size("token_hashes")).drop("token_hashes")
+        hits = hits.unionByName(_hits(_seeds(doc_tokens, whole, "doc_id"), short_seeds)).distinct()
+    hits = small_side(materialize(hits, "seed-hits"))
+    return _verified(docs, items, hits, window, least_equal)
+
+
+def _hits(doc_seeds: DataFrame, item_seeds: DataFrame) -> DataFrame:
+    """Documents and items with a common seed, and how far the item is shifted."""
+    item_seeds = item_seeds.select("seed", "item_id", F.col("start").alias("item_start"))
+    item_seeds = small_side(materialize(item_seeds, "benchmark-seeds"))
+    return (
         doc_seeds.join(item_seeds, "seed")
         .select("doc_id", "item_id", (F.col("start") - F.col("item_start")).alias("shift"))
         .distinct()
     )
-    hits = small_side(materialize(hits, "seed-hits"))
-    return _verified(docs, items, hits, window, least_equal)
 
 
 def _verified(
@@ -118,33 +127,30 @@ def _verified(
         .select("doc_id", "item_id", "shift", "item_tokens", tokens().alias("doc_tokens"))
     )
     n = F.size("item_tokens")
-    at = F.sequence(F.lit(0), n - 1)
-
-    def equal(j: Column) -> Column:
-        same = F.get(F.col("doc_tokens"), j + F.col("shift")) == F.get(F.col("item_tokens"), j)
-        return F.coalesce(same.cast("int"), F.lit(0))
-
-    pairs = pairs.select(
-        "doc_id", "item_id", "shift", F.transform(at, equal).alias("equal"), n.alias("n"),
-        F.least(F.lit(window), n).alias("length"),
-    )
-
-    def summed(start: Column) -> Column:
-        inside = F.slice(F.col("equal"), start + 1, F.col("length"))
-        return F.aggregate(inside, F.lit(0), lambda a, b: a + b)
-
-    starts = F.sequence(F.lit(0), F.col("n") - F.col("length"))
-    rows = pairs.withColumn("sums", F.transform(starts, summed)).select(
-        "doc_id", "item_id", "shift", "length", F.posexplode("sums").alias("start", "n_equal")
+    first = F.greatest(F.col("shift"), F.lit(0))
+    before = first - F.col("shift")  # item tokens in front of the document
+    equal = F.zip_with(
+        F.slice("doc_tokens", first + 1, F.greatest(n - before, F.lit(0))),
+        F.slice("item_tokens", before + 1, F.greatest(n - before, F.lit(0))),
+        lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)),
     )
+    length = F.least(F.lit(window), n)
+    # One row per window. The explode keeps the arrays from being computed again for each.
+    rows = pairs.select(
+        "doc_id", "item_id", "shift", length.alias("length"),
+        F.concat(F.array_repeat(F.lit(0), before), equal).alias("equal"),
+        F.sequence(F.lit(0), n - length).alias("starts"),
+    ).select("doc_id", "item_id", "shift", "length", "equal", F.explode("starts").alias("start"))
+    inside = F.slice("equal", F.col("start") + 1, F.col("length"))
+    rows = rows.withColumn("n_equal", F.aggregate(inside, F.lit(0), lambda a, b: a + b))
     need = F.when(F.col("length") < window, F.col("length")).otherwise(least_equal)
-    first = (F.col("start") + F.col("shift")).cast("long")
+    place = (F.col("start") + F.col("shift")).cast("long")
     return (
         rows.where(F.col("n_equal") >= need)
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("n_equal").alias("best_equal"),
-            F.min(F.greatest(first, F.lit(0))).alias("first_token"),
-            F.max(first + F.col("length") - 1).alias("last_token"),
+            F.min(F.greatest(place, F.lit(0))).alias("first_token"),
+            F.max(place + F.col("length") - 1).alias("last_token"),
         )
     )
