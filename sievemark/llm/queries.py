@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, secret_scan, simhash, toxicity, warc
+from sievemark.llm import decontaminate, mixing, quality, secret_scan, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,9 @@ def op4_mixing(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Toxicity score of every document."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
