@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, quality, secret_scan, simhash, toxicity, warc
+from sievemark.llm import decontaminate, mixing, quality, secret_scan, simhash, sketch, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,45 @@ def op5_toxicity(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """Quality score of every document."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op3_sketch(spark, sf_dir):
+    """Threshold-scaled sketch of every document and of its edited text."""
+    return sketch.sketches_with_edits(table(spark, sf_dir, "documents"))
+
+
+def _sketch_sql(text: str) -> str:
+    """Sorted kept hashes of the text column."""
+    return f"""(
+  SELECT CASE WHEN len(b) > 0 THEN b ELSE h[1:1] END FROM (
+    SELECT h, list_filter(h, lambda x: x < '4000000000000000') AS b FROM (
+      SELECT list_sort(list_distinct(list_transform(
+        generate_series(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END),
+        lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 16)))) AS h
+      FROM (SELECT regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS w))))"""
+
+
+ORACLE_SQL["op3_sketch"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), n AS (
+  SELECT doc_id, text, length(text) AS n,
+    coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next,
+    lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id
+  FROM d
+), e AS (
+  SELECT *, left(text, n - n // 2) || left(next, n // 2) AS edited FROM n
+), s AS (
+  SELECT doc_id, n, sha256(edited) AS edited_sha256, {_sketch_sql("text")} AS a,
+    {_sketch_sql("edited")} AS b, {_sketch_sql("next")} AS c
+  FROM e
+)
+SELECT doc_id, n AS n_chars, edited_sha256, array_to_string(a, '') AS fingerprint,
+  array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE
+    / len(list_distinct(list_concat(a, b))) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE len(list_intersect(a, c))::DOUBLE
+    / len(list_distinct(list_concat(a, c))) END AS near_next,
+  CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS in_edited
+FROM s
+"""
