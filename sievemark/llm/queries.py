@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, quality, secret_scan, simhash, sketch, toxicity, warc
+from sievemark.llm import decontaminate, mixing, page_text, quality, secret_scan, simhash, sketch, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,9 @@ SELECT doc_id, n AS n_chars, edited_sha256, array_to_string(a, '') AS fingerprin
   CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS in_edited
 FROM s
 """
+
+
+@register
+def op2_page_text(spark, sf_dir):
+    """Main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
