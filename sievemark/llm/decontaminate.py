@@ -154,3 +154,10 @@ def _verified(
             F.max(place + F.col("length") - 1).alias("last_token"),
         )
     )
+
+
+def reject(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without documents that hold a benchmark passage. Rows that share an id go together."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    found = small_side(materialize(found, "leaked-ids"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
