@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, page_text, quality, secret_scan, simhash, sketch, toxicity, warc
+from sievemark.llm import decontaminate, mixing, page_text, quality, repeats, secret_scan, simhash, sketch, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +160,9 @@ FROM s
 def op2_page_text(spark, sf_dir):
     """Main text of every page."""
     return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op7_repeats(spark, sf_dir):
+    """Every document without passages that smaller documents have."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
