@@ -106,7 +106,7 @@ def clean(c: str) -> str:
         return f"regexp_replace({x}, {lit(pattern)}, {to}, 'g')"
 
     html = sub(
-        c,
+        sub(c, r"(?is)<!\[CDATA\[(.*?)\]\]>", f"{seam} || '\\1' || {seam}"),
         r"(?is)<!--.*?-->"
         r"|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
         r"|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
@@ -310,7 +310,7 @@ def _sql() -> dict[str, str]:
         "unique_id_check": "SELECT conv_id, count(*) AS n_rows FROM conversations "
         "GROUP BY conv_id HAVING count(*) > 1",
         "seeded_shuffle": f"WITH {POSITIONS} SELECT job_posting_id, position FROM numbered",
-        "first_rows": p + f"SELECT * FROM postings ORDER BY {ORDER_KEY}, job_posting_id LIMIT 1000",
+        "first_rows": p + f"SELECT * FROM postings ORDER BY {ORDER_KEY}, job_posting_id LIMIT 100",
         "positional_slice": f"WITH {POSITIONS} SELECT job_posting_id, title, position "
         "FROM numbered WHERE position >= 300 AND position < 1000",
         "batch_assign": f"WITH {POSITIONS} SELECT job_posting_id, position, "
@@ -318,7 +318,7 @@ def _sql() -> dict[str, str]:
         "prep_postings": p
         + "SELECT * FROM ("
         + keep_first("postings", "title, description, location", f"{ORDER_KEY}, job_posting_id")
-        + f") WHERE {not_blank('description')} ORDER BY {ORDER_KEY}, job_posting_id LIMIT 1000",
+        + f") WHERE {not_blank('description')}",
         "clean_postings": f"WITH {RAW_POSTINGS}, kept AS ("
         + keep_first("raw", "title, description", "job_posting_id")
         + f"), cleaned AS (SELECT job_posting_id, title, {clean('description')} AS description, "
@@ -333,7 +333,7 @@ def _sql() -> dict[str, str]:
         + "SELECT job_posting_id, substring(description, 1, 1500) AS description FROM postings",
         "render_prompt": p
         + "SELECT job_posting_id, 'Title: ' || coalesce(title, '') || chr(10) || 'Text: ' || "
-        "coalesce(substring(description, 1, 1500), '') || chr(10) || 'Answer {\"quality\": 0}' "
+        "coalesce(description, '') || chr(10) || 'Answer {\"quality\": 0}' "
         "AS prompt FROM postings",
         "render_summary_prompt": p
         + "SELECT job_posting_id, 'Summarize ' || coalesce(title, '') || ' as {{json}}:' || "
@@ -387,8 +387,12 @@ def _sql() -> dict[str, str]:
         "union_append": "SELECT doc_id AS id, length(text) AS n_chars FROM documents "
         "UNION ALL SELECT page_id, length(html) FROM pages",
         "upsert_by_id": "SELECT d.doc_id AS job_posting_id, coalesce(l.quality, -1) AS quality, "
-        "coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
+        "coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) "
+        "UNION ALL SELECT NULL, min(quality), max(toxic) FROM labels",
     }
+    out["prep_postings_limited"] = (
+        out["prep_postings"] + f" ORDER BY {ORDER_KEY}, job_posting_id LIMIT 100"
+    )
     out["feature_concat"] = p + (
         "SELECT job_posting_id, "
         + strip("coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(location, '')")
@@ -470,6 +474,7 @@ def _sql() -> dict[str, str]:
     out["cosine_topk"] = (
         f"WITH {hits(10)} SELECT category, rank, job_posting_id, {score} FROM hits {full}"
     )
+    out["cosine_topk_blocks"] = out["cosine_topk"]
     out["rank_hits"] = f"WITH {hits(100)} SELECT category, rank, job_posting_id FROM hits {full}"
     out["hit_flag"] = (
         f"WITH {hits(100)} SELECT category, rank, job_posting_id, rel AS correct_output "
@@ -481,7 +486,7 @@ def _sql() -> dict[str, str]:
     )
     out["hits_with_metadata"] = (
         f"WITH {POSTINGS}, {hits(10)} SELECT category, rank, job_posting_id, {score}, title, "
-        f"location FROM hits JOIN postings USING (job_posting_id) {full}"
+        f"location FROM hits LEFT JOIN postings USING (job_posting_id) {full}"
     )
     for key, column in (
         ("recall_at_k", "recall"),
@@ -510,7 +515,7 @@ def _sql() -> dict[str, str]:
     from sievemark.jobs.labeller import BINARY_TEMPLATE, MULTILABEL_TEMPLATE
 
     n_text = (
-        "length(coalesce(title, '')) + length(coalesce(substring(description, 1, 1500), ''))"
+        "length(coalesce(title, '')) + length(coalesce(description, ''))"
     )
     # Lengths of the templates without their fields, braces undoubled.
     n_multi = len(MULTILABEL_TEMPLATE.format(title="", description=""))
@@ -522,6 +527,10 @@ def _sql() -> dict[str, str]:
         f"SELECT job_posting_id, ({n_text} + {n_multi}) % 2 AS internship, "
         f"1 - ({n_text} + {n_multi}) % 2 AS entry_level, 1 AS marketing, {zeros} FROM postings"
     )
+    out["model_label_resume"] = p + (
+        f"SELECT job_posting_id, ({n_text} + {n_multi}) % 2 AS internship, "
+        f"CAST(({n_text} + {n_multi}) % 3 <> 0 AS INTEGER) AS in_first_run FROM postings"
+    )
     out["model_label_job_per_category"] = p + (
         f"SELECT job_posting_id, ({n_text} + {n_binary + len('internship')}) % 2 AS internship, "
         f"({n_text} + {n_binary + len('marketing')}) % 2 AS marketing FROM postings"
@@ -582,6 +591,8 @@ INT_COLUMNS = {
     "l2_normalize": ["position"],
     "truncate_dim": ["position"],
     "cosine_topk": ["rank"],
+    "cosine_topk_blocks": ["rank"],
+    "model_label_resume": ["internship"],
     "rank_hits": ["rank"],
     "hit_flag": ["rank"],
     "hits_with_metadata": ["rank"],

@@ -13,7 +13,7 @@ from sievemark.catalog import tables as T
 from sievemark.catalog.tables import ID, LABEL_CATEGORIES
 from sievemark.functions import markup, names, responses, strings
 from sievemark.functions import vectors as V
-from sievemark.jobs.encode import encode_columns, hashing_encoder, run_encode_job
+from sievemark.jobs.encode import hashing_encoder, run_encode_job
 from sievemark.jobs.labeller import (
     apply_exclusion,
     label_per_category,
@@ -25,7 +25,7 @@ from sievemark.operators import dedup, filters, joins, labels, metrics, ordering
 from sievemark.plans.evaluation import compare_models, search_models
 from sievemark.plans.prep import clean_postings, prep_postings
 from sievemark.plans.retrieval import retrieve_by_text
-from sievemark.session import scratch_path
+from sievemark.session import materialize, scratch_path
 from sievemark.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,12 +121,25 @@ def unique_id_check(spark, sf):
 
 @register
 def seeded_shuffle(spark, sf):
-    return ordering.with_position(T.postings(spark, sf).select(ID), ID).select(ID, "position")
+    """Ids in seeded order, with the place at which the sorted table holds them."""
+    path = scratch_path(spark, "shuffled")
+    ordering.seeded_shuffle(T.postings(spark, sf).select(ID), ID).withColumn(
+        "place", F.monotonically_increasing_id()
+    ).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("part", F.shiftright("place", 33))
+    # As many sizes as the sort had partitions.
+    sizes = sorted((r.part, r["count"]) for r in rows.groupBy("part").count().collect())
+    before, offsets = 0, []
+    for part, size in sizes:
+        offsets += [F.lit(part), F.lit(before)]
+        before += size
+    inside = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(ID, (F.create_map(*offsets)[F.col("part")] + inside).alias("position"))
 
 
 @register
 def first_rows(spark, sf):
-    return ordering.first_rows(T.postings(spark, sf), ID)
+    return ordering.first_rows(T.postings(spark, sf), ID, 100)
 
 
 @register
@@ -146,6 +159,11 @@ def prep_postings_(spark, sf):
     return prep_postings(T.postings(spark, sf), ID)
 
 
+@register
+def prep_postings_limited(spark, sf):
+    return prep_postings(T.postings(spark, sf), ID, n=100)
+
+
 @register
 def clean_postings_(spark, sf):
     return clean_postings(T.marked_up_postings(spark, sf), ID)
@@ -389,11 +407,16 @@ def union_append(spark, sf):
 
 @register
 def upsert_by_id(spark, sf):
-    """Label table as the new rows over the document table as the old ones."""
+    """Label table, its first rows twice and with a null id, over the document table."""
     old = T.table(spark, sf, "documents").select(
         F.col("doc_id").alias(ID), F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")
     )
-    return sets.upsert(old, T.label_matrix(spark, sf), [ID])
+    new = T.label_matrix(spark, sf)
+    again = new.where(F.col(ID) % 3 == 0).withColumn("quality", F.col("quality") + 10)
+    nameless = new.groupBy().agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    nameless = nameless.withColumn(ID, F.lit(None).cast("long")).select(*new.columns)
+    once = sets.upsert(old, new.unionByName(again).unionByName(nameless), [ID])
+    return sets.upsert(once, nameless, [ID])
 
 
 def _summary_master(spark, sf):
@@ -574,6 +597,15 @@ def cosine_topk(spark, sf):
     ).select("category", "rank", ID, r6("score"))
 
 
+@register
+def cosine_topk_blocks(spark, sf):
+    """The same search with three queries at a time."""
+    queries = T.query_vectors(spark, sf)
+    corpus = T.corpus_vectors(spark, sf, queries)
+    hits = topk.cosine_topk(corpus, queries, 10, id_col=ID, query_cols=["category"], block_queries=3)
+    return hits.select("category", "rank", ID, r6("score"))
+
+
 @register
 def rank_hits(spark, sf):
     hits, _ = _hits(spark, sf)
@@ -676,9 +708,33 @@ def model_label_job(spark, sf):
 
 @register
 def model_label_job_per_category(spark, sf):
-    return label_per_category(
+    labelled = label_per_category(
         T.postings(spark, sf), demo_binary_labeller, ID, ["internship", "marketing"]
     )
+    return labelled.select(ID, "internship", "marketing")
+
+
+def _flaky(fn, chance=3):
+    """``fn`` that fails on every prompt whose length is a multiple of ``chance``."""
+
+    def call(prompts):
+        if any(len(p) % chance == 0 for p in prompts):
+            raise RuntimeError("model down")
+        return fn(prompts)
+
+    return call
+
+
+@register
+def model_label_resume(spark, sf):
+    """Two runs into one folder; the first one's model fails for a third of the prompts."""
+    path = scratch_path(spark, "label-resume")
+    posts = T.postings(spark, sf)
+    first = run_label_job(posts, _flaky(demo_labeller), path, ID, retries=0, batch_size=16)
+    before = materialize(first.select(F.col(ID).alias("first_id")), "first-run")
+    both = run_label_job(posts, demo_labeller, path, ID, n_slices=3)
+    joined = both.join(before, F.col(ID) == F.col("first_id"), "left")
+    return joined.select(ID, "internship", F.col("first_id").isNotNull().cast("int").alias("in_first_run"))
 
 
 @register
@@ -704,9 +760,10 @@ def text_encode_job(spark, sf):
 def retrieve_by_text_(spark, sf):
     encode = hashing_encoder(64)
     posts = T.postings(spark, sf)
+    stored = run_encode_job(posts, encode, scratch_path(spark, "corpus-vectors"), ID)
     hits = retrieve_by_text(
         _requests(spark, sf),
-        encode_columns(posts, encode, ID),
+        stored,
         posts,
         _stored_queries(spark, sf),
         _stored_vectors(spark, sf),
@@ -772,15 +829,14 @@ def manifest_written(spark, sf):
 
 @register
 def vector_append(spark, sf):
-    """Two versions of a table: first all documents, then all vectors over them."""
+    """Two tables: first all documents, then all vectors over them."""
     base = scratch_path(spark, "vectors")
     old = T.table(spark, sf, "documents").select(
         F.col("doc_id").alias(ID), F.lit("stale").alias("category"), F.lit(-1).alias("dim")
     )
     rows = T.vectors(spark, sf).select(ID, "category", F.size("embedding").alias("dim"))
-    sinks.append_version(old, base, [ID])
-    sinks.append_version(rows, base, [ID])
-    return sinks.read_version(spark, base)
+    stored = sinks.write_vectors(old, f"{base}/1")
+    return sinks.write_vectors(sets.upsert(stored, rows, [ID]), f"{base}/2")
 
 
 @register

@@ -10,9 +10,8 @@ STRIP_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Shuffle seed, row limit and truncation width of the standard preparation.
+# Shuffle seed and truncation width of the standard preparation.
 SHUFFLE_SEED = 42
-ROW_LIMIT = 1000
 DESCRIPTION_CHARS = 1500
 
 POSTING_COLUMNS = ["job_posting_id", "title", "description", "location"]

@@ -1,7 +1,7 @@
 """HTML and markdown to flat text, with built-in expressions only.
 
 Every pattern is written so that its cost grows linearly with the text and no
-Java regex group repeats without a bound: a repeated group recurses, and one huge
+Java regex group but a possessive one repeats: other groups recurse, and one huge
 table or attribute list would overflow the task's stack.
 """
 
@@ -40,12 +40,14 @@ INVISIBLE = (
     r"|![a-z\[][^>]*>|\?[^>]*>)"
 )
 
-# A tag, with quoted attribute values that may hold ">". The repetition is bounded
-# (see module note); the second branch takes tags with more attributes than that.
+# A tag, with quoted attribute values that may hold ">". Possessive groups repeat in a loop,
+# so any number of attributes is fine; the second branch takes tags with an open quote.
 TAG = (
-    r"<(?:[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+){0,200}+>"
+    r"<(?:[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
     r"|[a-zA-Z/][^>]*+>)"
 )
+# The text of a CDATA section is page text.
+CDATA = r"(?is)<!\[CDATA\[(.*?)\]\]>"
 BLOCK_TAG = r"<(?i:br|p|li|h[1-6])(?:[\s/][^>]*)?>"
 
 # The markdown marks in the order they are removed, as (texts of which
@@ -137,7 +139,8 @@ def decode_entities(c: Column) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Text nodes with seams between them, a newline before br, p, li and h1-h6."""
-    out = F.regexp_replace(c, INVISIBLE, SEAM)
+    out = F.regexp_replace(c, CDATA, SEAM + "$1" + SEAM)
+    out = F.regexp_replace(out, INVISIBLE, SEAM)
     out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$0")
     return F.regexp_replace(out, TAG, SEAM)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.strings import join_columns_clean
 from sievemark.functions.vectors import l2_normalize
-from sievemark.jobs.resumable import ModelFunction, map_texts, run_resumable
+from sievemark.jobs.resumable import ERROR, ModelFunction, map_texts, run_resumable
 from sievemark.operators.filters import require_columns
 
 TEXT_COLUMNS = ("title", "description")
@@ -49,14 +49,16 @@ def hashing_encoder(dim: int) -> ModelFunction:
 
 
 def encode_texts(
-    df: DataFrame, fn: ModelFunction, id_col: str, text_col: str, retries: int = 2
+    df: DataFrame,
+    fn: ModelFunction,
+    id_col: str,
+    text_col: str,
+    retries: int = 2,
+    batch_size: int | None = None,
 ) -> DataFrame:
-    """(id, embedding) of unit length; rows whose encoding failed are left out and so
-    stay pending."""
-    raw = map_texts(df, id_col, text_col, fn, "array<double>", retries)
-    return raw.where(F.col("value").isNotNull()).select(
-        id_col, l2_normalize(F.col("value")).alias("embedding")
-    )
+    """(id, embedding of unit length, error); a failed row has no embedding but an error."""
+    raw = map_texts(df, id_col, text_col, fn, "array<double>", retries, batch_size)
+    return raw.select(id_col, l2_normalize(F.col("value")).alias("embedding"), ERROR)
 
 
 def encode_columns(
@@ -65,11 +67,12 @@ def encode_columns(
     id_col: str,
     columns: Sequence[str] = TEXT_COLUMNS,
     retries: int = 2,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Encode the joined text of ``columns``; an absent column is an error."""
     require_columns(df, list(columns))
     texts = df.select(id_col, join_columns_clean(columns).alias("feature_text"))
-    return encode_texts(texts, fn, id_col, "feature_text", retries)
+    return encode_texts(texts, fn, id_col, "feature_text", retries, batch_size)
 
 
 def run_encode_job(
@@ -78,12 +81,13 @@ def run_encode_job(
     path: str,
     id_col: str,
     columns: Sequence[str] = TEXT_COLUMNS,
-    n_slices: int = 4,
+    n_slices: int = 1,
     retries: int = 2,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Encode every row not yet in ``path`` and return the whole vector table."""
 
     def encode(pending: DataFrame) -> DataFrame:
-        return encode_columns(pending, fn, id_col, columns, retries)
+        return encode_columns(pending, fn, id_col, columns, retries, batch_size)
 
     return run_resumable(df, encode, path, id_col, n_slices)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from sievemark.constants import MODEL_CATEGORIES
 from sievemark.functions.responses import exclude_when, parse_binary, parse_multilabel
 from sievemark.functions.strings import render_format, truncate_chars
-from sievemark.jobs.resumable import ModelFunction, call_model, map_texts, run_resumable
-from sievemark.operators.joins import pairs_to_wide, posting_category_pairs
+from sievemark.jobs.resumable import ERROR, ModelFunction, call_in_batches, map_texts, run_resumable
 
 # Label that is switched off where the other one is set.
 EXCLUSIVE = ("internship", "entry_level")
@@ -33,11 +32,15 @@ def with_prompt(
     title_col: str = "title",
     description_col: str = "description",
     prompt_col: str = "prompt",
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Fill title, shortened description and, if present, category into the template."""
+    """Fill title, description and, if present, category into the template.
+
+    The description goes in whole unless ``max_chars`` says how much of it."""
+    description = F.col(description_col)
     values = {
         "title": F.col(title_col),
-        "description": truncate_chars(F.col(description_col)),
+        "description": description if max_chars is None else truncate_chars(description, max_chars),
     }
     if "category" in df.columns:
         values["category"] = F.col("category")
@@ -59,13 +62,18 @@ def label_multilabel(
     categories: Sequence[str] | Mapping[str, str] = tuple(MODEL_CATEGORIES),
     template: str = MULTILABEL_TEMPLATE,
     retries: int = 2,
+    batch_size: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """One call per row answers all categories; (id, one 0/1 column per category).
+    """One call per row answers all categories; (id, one 0/1 column per category, error).
 
-    No answer, no JSON or an absent category gives 0.
+    An answer without JSON, or without a category, gives 0. A call that failed gives 0 too,
+    and an ``error`` that tells it from an answer.
     """
-    raw = map_texts(with_prompt(df, template), id_col, "prompt", fn, "string", retries)
-    return apply_exclusion(parse_multilabel(raw, "value", list(categories)))
+    prompts = with_prompt(df, template, max_chars=max_chars)
+    raw = map_texts(prompts, id_col, "prompt", fn, "string", retries, batch_size)
+    labels = apply_exclusion(parse_multilabel(raw, "value", list(categories)))
+    return labels.select(id_col, *categories, ERROR)
 
 
 def label_per_category(
@@ -75,27 +83,40 @@ def label_per_category(
     categories: Sequence[str] | Mapping[str, str] = tuple(MODEL_CATEGORIES),
     template: str = BINARY_TEMPLATE,
     retries: int = 2,
+    batch_size: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """One call per (row, category) answers "0" or "1"; same result shape.
 
-    The category labels are independent answers, so no exclusion applies here.
+    All categories of a row are asked in the task that holds it. The labels are independent
+    answers, so no exclusion applies here. A row is in error if one of its calls failed.
     """
-    pairs = with_prompt(posting_category_pairs(df, list(categories)), template)
-    keyed = pairs.select(F.struct(id_col, "category").alias("pair"), "prompt")
+    names = list(categories)
+    prompts = df.select(id_col, "title", "description")
+    for i, name in enumerate(names):
+        asked = with_prompt(
+            prompts.withColumn("category", F.lit(name)), template, prompt_col=f"prompt_{i}",
+            max_chars=max_chars,
+        )
+        prompts = asked.drop("category")
 
     def run(batches):
         for pdf in batches:
-            answers = call_model(fn, pdf["prompt"].tolist(), retries)
-            yield pdf[["pair"]].assign(value=answers)
-
-    pair_type = keyed.schema["pair"].dataType.simpleString()
-    answers = keyed.mapInPandas(run, f"pair {pair_type}, value string")
-    labelled = answers.select(
-        F.col(f"pair.{id_col}").alias(id_col),
-        F.col("pair.category").alias("category"),
-        parse_binary(F.col("value")).alias("label"),
-    )
-    return pairs_to_wide(labelled, id_col, list(categories))
+            out, errors = pdf[[id_col]].copy(), [None] * len(pdf)
+            for i in range(len(names)):
+                answers = call_in_batches(fn, pdf[f"prompt_{i}"].tolist(), retries, batch_size)
+                out[f"answer_{i}"] = [a for a, _ in answers]
+                errors = [old or new for old, (_, new) in zip(errors, answers)]
+            yield out.assign(error=errors)
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    fields = ", ".join(f"answer_{i} string" for i in range(len(names)))
+    asked = prompts.select(id_col, *[f"prompt_{i}" for i in range(len(names))])
+    answers = asked.mapInPandas(run, f"{id_col} {id_type}, {fields}, {ERROR} string")
+    labels = [
+        F.coalesce(parse_binary(F.col(f"answer_{i}")), F.lit(0)).alias(n) for i, n in enumerate(names)
+    ]
+    return answers.select(id_col, *labels, ERROR)
 
 
 def run_label_job(
@@ -105,10 +126,13 @@ def run_label_job(
     id_col: str,
     categories: Sequence[str] | Mapping[str, str] = tuple(MODEL_CATEGORIES),
     mode: str = "multilabel",
-    n_slices: int = 4,
+    n_slices: int = 1,
     **options,
 ) -> DataFrame:
-    """Label every posting not yet in ``path`` and return the whole label table."""
+    """Label every posting not yet in ``path`` and return the whole label table.
+
+    Postings whose call failed are not in it; the next run asks for them again.
+    """
     labellers = {"multilabel": label_multilabel, "per_category": label_per_category}
     if mode not in labellers:
         raise ValueError(f"mode must be one of {sorted(labellers)}, got {mode!r}")

@@ -10,50 +10,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.operators.joins import pending_rows
+from sievemark.session import scratch_path
 
 ModelFunction = Callable[[list[str]], Sequence[Any]]
+Answer = tuple[Any, str | None]
 
+# Why a row has no value; null where it has one.
+ERROR = "error"
 
-def call_model(fn: ModelFunction, texts: list[str], retries: int = 2) -> list[Any]:
-    """Answers of ``fn`` in order, None where it failed.
+
+def call_model(fn: ModelFunction, texts: list[str], retries: int = 2) -> list[Answer]:
+    """(answer, error) of each text in order; the error is None where ``fn`` answered.
 
     A batch that keeps failing is tried text by text, so one bad text costs only its
     own answer.
     """
     if not texts:
         return []
+    problem = ""
     for _ in range(retries + 1):
         try:
             answers = list(fn(texts))
             if len(answers) == len(texts):
-                return answers
-        except Exception:  # the user function may raise anything
-            continue
+                return [(a, None if a is not None else "no answer") for a in answers]
+            problem = f"{len(answers)} answers for {len(texts)} texts"
+        except Exception as e:  # the user function may raise anything
+            problem = f"{type(e).__name__}: {e}"
     if len(texts) == 1:
-        return [None]
+        return [(None, problem)]
     return [call_model(fn, [t], retries)[0] for t in texts]
 
 
+def call_in_batches(
+    fn: ModelFunction, texts: list[str], retries: int, batch_size: int | None
+) -> list[Answer]:
+    """``call_model`` with at most ``batch_size`` texts per call."""
+    step = batch_size or max(len(texts), 1)
+    return [a for i in range(0, len(texts), step) for a in call_model(fn, texts[i : i + step], retries)]
+
+
 def map_texts(
-    df: DataFrame, id_col: str, text_col: str, fn: ModelFunction, out_type: str, retries: int = 2
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    fn: ModelFunction,
+    out_type: str,
+    retries: int = 2,
+    batch_size: int | None = None,
 ) -> DataFrame:
-    """(id, value) with ``fn`` applied to Arrow batches of texts; only these two columns
-    travel to Python."""
+    """(id, value, error) with ``fn`` applied to batches of texts; only these two columns
+    travel to Python. Without ``batch_size`` a call gets one Arrow batch."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            values = call_model(fn, pdf[text_col].tolist(), retries)
-            yield pdf[[id_col]].assign(value=values)
+            answers = call_in_batches(fn, pdf[text_col].tolist(), retries, batch_size)
+            values, errors = [a for a, _ in answers], [e for _, e in answers]
+            yield pdf[[id_col]].assign(value=values, error=errors)
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, value {out_type}")
+    return df.select(id_col, text_col).mapInPandas(
+        run, f"{id_col} {id_type}, value {out_type}, {ERROR} string"
+    )
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there. Other errors come out."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def errors_path(path: str) -> str:
+    """Where failed rows of a job are listed; readers of ``path`` skip such a folder."""
+    return f"{path.rstrip('/')}/_errors"
 
 
 def run_resumable(
@@ -61,21 +93,45 @@ def run_resumable(
     transform: Callable[[DataFrame], DataFrame],
     path: str,
     id_col: str,
-    n_slices: int = 4,
+    n_slices: int = 1,
 ) -> DataFrame:
-    """Append ``transform(pending rows)`` to ``path`` one hash slice at a time.
+    """Append ``transform(pending rows)`` to ``path`` and return the whole table.
+
+    ``transform`` may add an ``error`` column. Rows with an error are not stored as done:
+    they are listed below ``errors_path(path)`` and stay pending, so the next run tries them
+    again. A slice all of whose rows fail raises.
 
-    Each slice is one committed write. After a crash the next run leaves out every id
-    already written, so nothing is computed or stored twice.
+    The source is read once. With more than one slice its pending rows are first written
+    by slice, and each slice is one committed write of its own.
     """
     spark = source.sparkSession
+    done = read_done(spark, path)
+    todo = source if done is None else pending_rows(source, done, id_col)
+    if n_slices == 1:
+        _append(spark, transform(todo), path)
+        return spark.read.parquet(path)
+    parts = scratch_path(spark, "pending")
+    slice_of = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slices)).cast("int")
+    todo.withColumn("slice", slice_of).write.partitionBy("slice").parquet(parts)
+    schema = todo.withColumn("slice", slice_of).schema
     for i in range(n_slices):
-        in_slice = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slices)) == i
-        todo = source.where(in_slice)
-        done = read_done(spark, path)
-        if done is not None:
-            done = done.where(in_slice)
-            if not done.isEmpty():  # on a first run the texts need no join
-                todo = pending_rows(todo, done, id_col)
-        transform(todo).write.mode("append").parquet(path)
+        part = spark.read.schema(schema).parquet(parts).where(F.col("slice") == i).drop("slice")
+        _append(spark, transform(part), path)
     return spark.read.parquet(path)
+
+
+def _append(spark: SparkSession, result: DataFrame, path: str) -> None:
+    if ERROR not in result.columns:
+        result.write.mode("append").parquet(path)
+        return
+    stage = scratch_path(spark, "answers")  # so that the model runs once
+    result.write.parquet(stage)
+    answers = spark.read.schema(result.schema).parquet(stage)
+    failed = answers.where(F.col(ERROR).isNotNull())
+    good = answers.where(F.col(ERROR).isNull())
+    n_failed, n_good = failed.count(), good.count()
+    if n_failed:
+        failed.select(answers.columns[0], ERROR).write.mode("append").parquet(errors_path(path))
+    if n_failed and not n_good:
+        raise RuntimeError(f"All {n_failed} rows failed; first: {failed.first()[ERROR]}")
+    good.drop(ERROR).write.mode("append").parquet(path)

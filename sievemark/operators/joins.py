@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemark.constants import DIM_MODEL_SLOTS, MODEL_CATEGORIES
@@ -12,8 +12,8 @@ from sievemark.functions.names import same_model
 from sievemark.functions.strings import strip_equals
 from sievemark.functions.vectors import slot_for_dim
 
-# Rows that may be sent to every executor when a caller states an upper bound.
-BROADCAST_ROWS = 1_000_000
+# Narrow rows that may be sent to every executor when a caller states an upper bound.
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -63,8 +63,19 @@ def pairs_to_wide(
 def with_metadata(
     hits: DataFrame, postings: DataFrame, id_col: str, max_hits: int | None = None
 ) -> DataFrame:
-    """Posting columns for each hit. The few hits go to the postings, not the reverse."""
-    return broadcast_if_bounded(hits, max_hits).join(postings, id_col)
+    """Posting columns for each hit, null where there is no such posting.
+
+    The few hits go to the postings, not the reverse. A posting id that occurs twice would
+    multiply hits, so it stops the job.
+    """
+    wanted = broadcast_if_bounded(hits.select(id_col).distinct(), max_hits)
+    found = postings.join(wanted, id_col, "left_semi")
+    copies = F.count("*").over(Window.partitionBy(id_col))
+    twice = F.raise_error(F.concat(F.lit("Posting id occurs more than once: "), F.col(id_col).cast("string")))
+    unique = found.withColumn("copies", copies).withColumn(
+        id_col, F.when(F.col("copies") == 1, F.col(id_col)).otherwise(twice.cast(found.schema[id_col].dataType))
+    )
+    return hits.join(broadcast_if_bounded(unique.drop("copies"), max_hits), id_col, "left")
 
 
 def query_vector_lookup(
@@ -82,16 +93,24 @@ def query_vector_lookup(
     """
     slot, model = slot_for_dim(F.col("dim"), slots)
     asked = requests.withColumn("slot", slot).withColumn("expected_model", model)
-    known = stored_queries.select("category", "query")
-    vectors = stored_vectors.select("category", "slot", "model_name", "vector")
+    known = stored_queries.select(F.col("category").alias("known_category"), "query")
+    vectors = stored_vectors.select(
+        F.col("category").alias("vector_category"), F.col("slot").alias("vector_slot"), "model_name", "vector"
+    )
+    same_text = (F.col("category") == F.col("known_category")) & strip_equals(
+        F.col("query"), F.col("query_text")
+    )
     usable = (
-        asked.join(known, "category")
-        .where(strip_equals(F.col("query"), F.col("query_text")))
-        .join(vectors, ["category", "slot"])
-        .where(same_model(F.col("model_name"), F.col("expected_model")))
-        .where((F.size("vector") == F.col("dim")) & (F.size("vector") > 0))
-        .select("request_id", "vector")
+        (F.col("known_category") == F.col("vector_category"))
+        & (F.col("slot") == F.col("vector_slot"))
+        & same_model(F.col("model_name"), F.col("expected_model"))
+        & (F.size("vector") == F.col("dim"))
+        & (F.size("vector") > 0)
     )
-    return asked.join(usable, "request_id", "left").withColumn(
-        "needs_encoding", F.col("vector").isNull()
+    # Both tables have a row per category (and slot), as configured, so they are broadcast.
+    return (
+        asked.join(F.broadcast(known), same_text, "left")
+        .join(F.broadcast(vectors), usable, "left")
+        .select(*asked.columns, "vector")
+        .withColumn("needs_encoding", F.col("vector").isNull())
     )

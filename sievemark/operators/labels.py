@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sievemark import constants as C
 from sievemark.operators.filters import include_exclude
-from sievemark.session import materialize
 
 
 def _any_of(phrases: Sequence[str]) -> str:
@@ -102,11 +101,9 @@ def category_ids(subsets: DataFrame, id_col: str, ids_per_chunk: int = 10_000) -
     A category with up to ``ids_per_chunk`` ids is one chunk. A larger one is spread
     over as many hash chunks as it needs, so no task gathers a whole category.
     """
-    # Stored, so that the join below is planned on its true size: a small table is
-    # broadcast and the ids are not shuffled by category.
-    sizes = materialize(
-        subsets.groupBy("category").agg(F.ceil(F.count("*") / ids_per_chunk).alias("n_chunks")),
-        "category-sizes",
+    # One row per configured category, so it is broadcast and no id is shuffled by category.
+    sizes = F.broadcast(
+        subsets.groupBy("category").agg(F.ceil(F.count("*") / ids_per_chunk).alias("n_chunks"))
     )
     spread = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
     return (

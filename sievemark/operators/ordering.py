@@ -7,18 +7,14 @@ bucket. No step sorts or numbers the whole table in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.constants import ROW_LIMIT, SHUFFLE_SEED
+from sievemark.constants import SHUFFLE_SEED
 from sievemark.functions.strings import empty_if_null
 
 ORDER_COL = "order_key"
 BUCKET_DIGITS = 4  # at most 16**4 offset rows, which is what gets broadcast
-SMALL_LIMIT = 100_000  # up to here one task orders the last few candidate rows
-LEAST_ROWS = 10_000  # candidates worth looking at in a first attempt
 
 
 def order_key(id_col: str, seed: int = SHUFFLE_SEED) -> Column:
@@ -93,44 +89,12 @@ def slice_rows(
     return with_position(df, id_col, seed, start, end).drop("n_total")
 
 
-def _before(share: float) -> Column:
-    """Rows in the first ``share`` of the key space; keys are uniform, so of the rows."""
-    return F.col(ORDER_COL) < f"{int(share * 16**12):012x}"
-
+def first_rows(df: DataFrame, id_col: str, n: int, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """First ``n`` rows of the seeded order, in that order.
 
-def first_in_order(
-    keyed: DataFrame,
-    id_col: str,
-    n: int,
-    n_input: int,
-    narrow: Callable[[DataFrame], DataFrame] = lambda df: df,
-) -> DataFrame:
-    """First ``n`` rows by order key of ``narrow(keyed)``, without sorting all rows.
-
-    Looks at the rows below a key threshold only, sized from ``n_input`` (a row count
-    that need not be exact), and widens it until ``n`` rows come out or nothing is
-    left. ``narrow`` may drop rows, but must keep or drop each one regardless of rows
-    with larger keys; then the threshold changes nothing. Runs a count per attempt.
-    """
-    share = 4 * max(n, LEAST_ROWS) / max(n_input, 1)
-    while share < 1:
-        near = narrow(keyed.where(_before(share)))
-        if near.count() >= n:
-            break
-        share *= 8
-    else:
-        near = narrow(keyed)
-    if n <= SMALL_LIMIT:
-        return near.orderBy(ORDER_COL, id_col).limit(n).drop(ORDER_COL)
-    ranked = near.withColumn("bucket", F.substring(ORDER_COL, 1, BUCKET_DIGITS))
-    return _number(ranked, id_col, 0, n).drop("position", "n_total")
-
-
-def first_rows(
-    df: DataFrame, id_col: str, n: int = ROW_LIMIT, seed: int = SHUFFLE_SEED
-) -> DataFrame:
-    """First ``n`` rows of the seeded order."""
-    return first_in_order(with_order_key(df, id_col, seed), id_col, n, df.count())
+    One pass: each task keeps its first ``n`` rows and the driver's plan merges those."""
+    keyed = with_order_key(df, id_col, seed)
+    return keyed.orderBy(ORDER_COL, id_col).limit(n).drop(ORDER_COL)
 
 
 def with_batch(df: DataFrame, id_col: str, size: int, seed: int = SHUFFLE_SEED) -> DataFrame:

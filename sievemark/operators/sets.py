@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions.names import normalize_model_id, same_model
@@ -16,10 +16,26 @@ def union_append(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows replace old rows of the same key, so a rerun adds nothing."""
-    kept = old.join(new.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+def upsert(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
+    """New rows replace old rows of the same key, so a rerun adds nothing.
+
+    Null keys are equal to each other. Of several new rows of a key the first by ``order``
+    counts, by default by all columns from left to right. Each side is read once, and rows
+    meet in one exchange by key.
+    """
+    both = old.withColumn("is_old", F.lit(1)).unionByName(
+        new.withColumn("is_old", F.lit(0)), allowMissingColumns=True
+    )
+    of_key = Window.partitionBy(*keys)
+    place = F.row_number().over(of_key.orderBy("is_old", *(new.columns if order is None else order)))
+    kept = (
+        both.withColumn("place", place)
+        .withColumn("any_new", F.min("is_old").over(of_key) == 0)
+        .where((F.col("place") == 1) | ~F.col("any_new"))
+    )
+    return kept.drop("is_old", "place", "any_new")
 
 
 def fill_values(
@@ -51,17 +67,18 @@ def query_cache_upsert(
 
     ``encoded``: category, slot, model_name, query_text, vector. A vector is stored
     only if its text equals the category's stored query after strip and the slot is
-    free or already owned by the same model.
+    free or already owned by the same model. Of several such vectors for a slot the
+    first by model name and values is stored.
     """
     owner = stored_vectors.select("category", "slot", F.col("model_name").alias("owner"))
     eligible = (
-        encoded.join(stored_queries.select("category", "query"), "category")
+        encoded.join(F.broadcast(stored_queries.select("category", "query")), "category")
         .where(strip_equals(F.col("query"), F.col("query_text")))
-        .join(owner, ["category", "slot"], "left")
+        .join(F.broadcast(owner), ["category", "slot"], "left")
         .where(
             (normalize_model_id(F.col("owner")) == "")
             | same_model(F.col("owner"), F.col("model_name"))
         )
         .select("category", "slot", "model_name", "vector")
     )
-    return upsert(stored_vectors, eligible, ["category", "slot"])
+    return upsert(stored_vectors, eligible, ["category", "slot"], ["model_name", "vector"])

@@ -8,7 +8,6 @@ the task results.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sievemark.session import materialize
+
 # What one pass over the corpus may carry: bytes of query vectors and queries.
 # More queries mean more passes, each with its own checked block.
 BLOCK_BYTES = 64 << 20
@@ -155,9 +156,13 @@ def cosine_topk(
 ) -> DataFrame:
     """Hits (query_cols, rank, id, score) of every query, at most ``k`` each.
 
-    Reads the query vectors now, in blocks of a checked size; the corpus is read when
-    the result is. Corpus rows without an id or a vector of the queries' width are left
-    out; a zero vector scores 0. Fewer than ``k`` rows in the corpus give fewer hits.
+    Corpus rows without an id or a vector are left out; a vector of another width than the
+    queries' stops the job, as ``filters.rejected_vectors`` shows beforehand. A zero vector
+    scores 0. Fewer than ``k`` rows in the corpus give fewer hits.
+
+    Query vectors are read now, in blocks of at most ``block_bytes`` and ``block_queries``. One
+    block gives a lazy plan. With more, the hits of each block are stored before the next
+    one is read, so the driver holds one block at a time.
     """
     query_cols = list(query_cols)
     fields = [queries.schema[c] for c in query_cols] + [corpus.schema[id_col]]
@@ -170,20 +175,45 @@ def cosine_topk(
         return merge_topk(corpus.sparkSession.createDataFrame([], out_type), query_cols, id_col, k)
     if low != high:
         raise ValueError(f"Query vectors have different widths: {low} to {high}")
-    n_blocks = max(math.ceil(n * high * 8 / block_bytes), math.ceil(n / block_queries))
-    block_of = F.pmod(F.xxhash64(*query_cols), F.lit(n_blocks))
-    usable = F.col(id_col).isNotNull() & (F.size(vector_col) == high)
+    wrong = F.raise_error(
+        F.concat(F.lit(f"Vector width is not {high} but "), F.size(vector_col).cast("string"))
+    ).cast("boolean")
+    usable = (
+        F.col(id_col).isNotNull()
+        & F.col(vector_col).isNotNull()
+        & F.when(F.col(vector_col).isNull() | (F.size(vector_col) == high), F.lit(True)).otherwise(wrong)
+    )
     narrow = corpus.where(usable).select(id_col, vector_col)
     schema = to_arrow_schema(out_type)
-    partials = []
-    for block in range(n_blocks):
-        rows = asked if n_blocks == 1 else asked.where(block_of == block)
-        found = rows.toArrow().combine_chunks()  # at most about block_bytes
-        if found.num_rows:
-            keys = found.select(query_cols).cast(
-                pa.schema([schema.field(c) for c in query_cols])
-            )
-            matrix = _unit_rows(_to_matrix(found.column(vector_col).combine_chunks(), high))
-            scan = _scanner(keys.to_batches()[0], matrix, k, schema)
-            partials.append(narrow.mapInArrow(scan, out_type))
-    return merge_topk(reduce(DataFrame.unionAll, partials), query_cols, id_col, k)
+    per_block = max(1, min(block_queries, block_bytes // (high * 8)))
+    stored = []
+    for rows, last in _blocks(asked, n, per_block):
+        keys = rows.select(query_cols).cast(pa.schema([schema.field(c) for c in query_cols]))
+        matrix = _unit_rows(_to_matrix(rows.column(vector_col).combine_chunks(), high))
+        scan = _scanner(keys.combine_chunks().to_batches()[0], matrix, k, schema)
+        best = merge_topk(narrow.mapInArrow(scan, out_type), query_cols, id_col, k)
+        if last and not stored:
+            return best
+        stored.append(materialize(best, "block-hits"))
+        del scan, matrix, best
+    return reduce(DataFrame.unionAll, stored)
+
+
+def _blocks(asked: DataFrame, n: int, per_block: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(at most ``per_block`` rows, whether they are the last) of the ``n`` rows of ``asked``."""
+    if n <= per_block:
+        yield asked.toArrow(), True
+        return
+    # Numbered once and written, so that a block is a range of numbers and never larger.
+    parts = asked.withColumn("place", F.monotonically_increasing_id())
+    parts = materialize(parts, "queries")
+    part = F.shiftright("place", 33).alias("part")
+    sizes = {r.part: r.n for r in parts.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    ranges = [
+        ((p << 33) + first, (p << 33) + min(first + per_block, size))
+        for p, size in sorted(sizes.items())
+        for first in range(0, size, per_block)
+    ]
+    for i, (first, end) in enumerate(ranges):
+        inside = (F.col("place") >= first) & (F.col("place") < end)
+        yield parts.where(inside).drop("place").toArrow(), i == len(ranges) - 1

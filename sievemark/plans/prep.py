@@ -5,38 +5,46 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sievemark.constants import ROW_LIMIT, SHUFFLE_SEED
+from sievemark.constants import SHUFFLE_SEED
 from sievemark.functions.markup import clean_description
-from sievemark.operators.dedup import keep_first
+from sievemark.operators.dedup import keep_first, key_hash
 from sievemark.operators.filters import drop_blank
-from sievemark.operators.ordering import ORDER_COL, first_in_order, with_order_key
+from sievemark.operators.joins import broadcast_if_bounded
+from sievemark.operators.ordering import ORDER_COL, with_order_key
 
 
 def prep_postings(
     df: DataFrame,
     id_col: str,
-    n: int | None = ROW_LIMIT,
+    n: int | None = None,
     seed: int = SHUFFLE_SEED,
     keys: Sequence[str] = ("title", "description", "location"),
 ) -> DataFrame:
-    """Seeded order, first row per key, no null or blank description, first ``n`` rows.
+    """Seeded order, first row per key, no null or blank description, first ``n`` rows or all.
 
     The seeded order decides which copy survives and which rows are first. The
     description is part of the key, so filtering before the dedup gives the same rows
-    and keeps the dropped ones out of the exchange. A copy is dropped only because of
-    one with a smaller order key, so with a limit the dedup, too, needs to see no more
-    than the rows at the start of the order: a thousand rows out of any table cost one
-    scan and a small exchange.
+    and keeps the dropped ones out of the exchange. With ``n`` the dedup and the order
+    see (key hash, order key, id) only; the ``n`` rows that are left are then fetched.
     """
     keyed = with_order_key(drop_blank(df, "description"), id_col, seed)
-
-    def unique(rows: DataFrame) -> DataFrame:
-        return keep_first(rows, keys, [ORDER_COL, id_col])
-
     if n is None:
-        return unique(keyed).drop(ORDER_COL)
-    return first_in_order(keyed, id_col, n, df.count(), unique)
+        return keep_first(keyed, keys, [ORDER_COL, id_col]).drop(ORDER_COL)
+    hashed = keyed.withColumn("key_hash", key_hash(keys))
+    first = (
+        hashed.groupBy("key_hash")
+        .agg(F.min(F.struct(ORDER_COL, id_col)).alias("first"))
+        .select("key_hash", "first.*")
+        .orderBy(ORDER_COL, id_col)
+        .limit(n)
+    )
+    wanted = broadcast_if_bounded(first.drop(ORDER_COL), n)
+    same = (hashed["key_hash"] == wanted["key_hash"]) & hashed[id_col].eqNullSafe(wanted[id_col])
+    rows = hashed.join(wanted, same, "left_semi")
+    # Of rows that repeat both id and key one stays; there are n keys at most.
+    return keep_first(rows, ["key_hash"], [ORDER_COL, id_col]).orderBy(ORDER_COL, id_col).select(*df.columns)
 
 
 def clean_postings(

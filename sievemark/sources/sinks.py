@@ -1,17 +1,15 @@
-"""Write cleaned tables, category subsets, manifests and versioned vector tables."""
+"""Write cleaned tables, category subsets, manifests and vector tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.constants import POSTING_COLUMNS
 from sievemark.operators.filters import select_existing
 from sievemark.operators.labels import category_counts, category_ids
-from sievemark.operators.sets import upsert
-from sievemark.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -61,9 +59,9 @@ def manifest(
     ``categories``: category, description. A category without rows has one record
     with count 0 and no ids.
     """
-    # As many rows as configured categories, stored so that it is broadcast by size
-    # and the id chunks stay where they are.
-    counts = materialize(category_counts(subsets, categories), "category-counts")
+    # As many rows as configured categories, so it is broadcast and the id chunks stay
+    # where they are.
+    counts = F.broadcast(category_counts(subsets, categories))
     chunks = category_ids(subsets, id_col, ids_per_chunk).select("category", "chunk", "ids")
     empty = counts.where("n_rows = 0").select(
         "category",
@@ -95,44 +93,24 @@ def write_manifest(records: DataFrame, path: str) -> None:
     records.write.json(path)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    """Names of complete (``_SUCCESS``) folders below ``path`` on any file system."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            done.append(folder.getName())
-    return done
-
-
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    versions = [int(n[1:]) for n in _children(spark, base) if n[:1] == "v" and n[1:].isdigit()]
-    return max(versions, default=None)
-
-
-def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    version = latest_version(spark, base) if version is None else version
-    if version is None:
-        raise FileNotFoundError(f"No complete version below {base}")
-    return spark.read.parquet(f"{base}/v{version}")
-
-
-def append_version(new: DataFrame, base: str, keys: Sequence[str]) -> int:
-    """Upsert ``new`` into the latest version and write the result as the next one.
+def write_vectors(
+    df: DataFrame, path: str, vector_col: str | None = None, dim: int | None = None
+) -> DataFrame:
+    """Write ``df`` to the new folder ``path``, read it back and check it.
 
-    The version being read is never overwritten. A run that dies leaves a folder
-    without ``_SUCCESS``, which the next run ignores and replaces.
+    The folder must not exist. Row count, and with ``vector_col`` the number of vectors and
+    their width ``dim``, must be those of ``df``; both sides are counted in one pass each.
     """
-    spark = new.sparkSession
-    current = latest_version(spark, base)
-    if current is None:
-        result, target = new, 1
-    else:
-        result, target = upsert(read_version(spark, base, current), new, keys), current + 1
-    result.write.mode("overwrite").parquet(f"{base}/v{target}")
-    return target
+    def counted(rows: DataFrame):
+        vectors = [] if vector_col is None else [
+            F.count(vector_col).alias("vectors"),
+            F.sum((F.size(vector_col) != dim).cast("int")).alias("wrong"),
+        ]
+        return rows.agg(F.count("*").alias("rows"), *vectors).first().asDict()
+
+    df.write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    expected, found = counted(df), counted(stored)
+    if expected != found or found.get("wrong"):
+        raise ValueError(f"{path}: expected {expected} with width {dim}, found {found}")
+    return stored

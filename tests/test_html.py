@@ -93,3 +93,16 @@ def test_random_markup(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     wrong = [(r.t, r.step, tokenized(r.t)) for r in patterned(df).collect() if r.step != tokenized(r.t)]
     assert not wrong, (len(wrong), wrong[:4])
+
+
+def test_many_attributes_and_cdata(spark):
+    many = " ".join(f'a{i}="x"' for i in range(230))
+    rows = [
+        (f'<p {many} title="p > q">hello</p>', "hello"),
+        ("<p>a</p><![CDATA[keep me]]> z", "a keep me z"),
+        ("<p>a</p><!-- <![CDATA[x]]> -->b<script><![CDATA[y]]></script>", "a b"),
+        ("<b>x</b><![CDATA[line\none]]>", "x line one"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.t for r in markup.clean_description(df, "t").collect()}
+    assert got == {i: expected for i, (_, expected) in enumerate(rows)}

@@ -33,9 +33,13 @@ def test_call_model_isolates_bad_texts():
             raise RuntimeError("no")
         return [t.upper() for t in texts]
 
-    assert resumable.call_model(fn, ["a", "bad", "b"], retries=1) == ["A", None, "B"]
+    failed = (None, "RuntimeError: no")
+    assert resumable.call_model(fn, ["a", "bad", "b"], retries=1) == [("A", None), failed, ("B", None)]
     assert resumable.call_model(fn, []) == []
-    assert resumable.call_model(lambda t: [1], ["a", "b"], retries=0) == [1, 1]
+    assert resumable.call_model(lambda t: [1], ["a", "b"], retries=0) == [(1, None), (1, None)]
+    calls.clear()
+    resumable.call_in_batches(fn, list("abcde"), 0, 2)
+    assert calls == [2, 2, 1]
 
 
 def answer(prompts):
@@ -47,8 +51,8 @@ def answer(prompts):
 def test_label_defaults_and_exclusion(posts):
     rows = {r.id: r for r in label_multilabel(posts, answer, "id", CATEGORIES, retries=0).collect()}
     assert len(rows) == 40
-    assert tuple(rows[1])[1:] == (1, 0, 0)
-    assert tuple(rows[7])[1:] == (0, 0, 0)
+    assert tuple(rows[1])[1:] == (1, 0, 0, None)
+    assert tuple(rows[7])[1:] == (0, 0, 0, "RuntimeError: model down")
 
 
 def test_label_per_category(posts):
@@ -61,8 +65,10 @@ def test_label_per_category(posts):
 
 def test_label_job_resumes_without_repeating(spark, posts):
     path = scratch_path(spark, "labels")
-    first = run_label_job(posts.where("id < 25"), answer, path, "id", CATEGORIES, n_slices=3)
-    assert first.count() == 25
+    first = run_label_job(posts.where("id < 25"), answer, path, "id", CATEGORIES, n_slices=3, retries=0)
+    assert first.count() == 24 and first.columns == ["id", *CATEGORIES]
+    failed = spark.read.parquet(resumable.errors_path(path)).collect()
+    assert [(r.id, r.error) for r in failed] == [(7, "RuntimeError: model down")]
     marker = {r.id for r in first.collect()}
 
     def other(prompts):
@@ -76,9 +82,29 @@ def test_label_job_resumes_without_repeating(spark, posts):
         run_label_job(posts, other, path, "id", mode="nope")
 
 
-def test_prompt_truncates_only_the_description(spark):
+def test_a_dead_model_stores_nothing(spark, posts):
+    def dead(prompts):
+        raise RuntimeError("down")
+
+    path = scratch_path(spark, "dead")
+    with pytest.raises(RuntimeError, match="All 40 rows failed; first: RuntimeError: down"):
+        run_label_job(posts, dead, path, "id", CATEGORIES, retries=0)
+    healthy = run_label_job(posts, lambda p: ['{"marketing": 1}'] * len(p), path, "id", CATEGORIES)
+    assert healthy.where("marketing = 1").count() == 40
+
+
+def test_unreadable_results_are_not_taken_for_none(spark, posts):
+    path = scratch_path(spark, "broken")
+    assert resumable.read_done(spark, path) is None
+    posts.select("title").write.text(path)
+    with pytest.raises(Exception):
+        run_label_job(posts, answer, path, "id", CATEGORIES)
+
+
+def test_prompt_is_whole_unless_told(spark):
     df = spark.createDataFrame([("t" * 2000, "d" * 2000)], "title string, description string")
-    prompt = with_prompt(df, "{title}|{description}").first().prompt
+    assert with_prompt(df, "{title}|{description}").first().prompt == "t" * 2000 + "|" + "d" * 2000
+    prompt = with_prompt(df, "{title}|{description}", max_chars=1500).first().prompt
     assert prompt == "t" * 2000 + "|" + "d" * 1500
 
 
@@ -118,7 +144,9 @@ def test_failed_encodings_stay_pending(posts):
             raise RuntimeError("no")
         return [[1.0, 1.0] for _ in texts]
 
-    done = encode_texts(posts, model, "id", "description", retries=0)
+    answers = encode_texts(posts, model, "id", "description", retries=0)
+    assert [(r.id, r.error) for r in answers.where("error is not null").collect()] == [(7, "RuntimeError: no")]
+    done = answers.where("error is null")
     assert done.count() == 39
     assert [r.id for r in joins.pending_rows(posts, done, "id").collect()] == [7]
 
@@ -159,6 +187,15 @@ def test_similar_text_ranks_first(spark):
     ).first()
     assert (reused.id, round(reused.score, 6)) == (1, 1.0)
 
+    def dead(texts):
+        raise RuntimeError("down")
+
+    with pytest.raises(Exception, match="No vector for request 5"):
+        retrieve_by_text(
+            requests, own, posts, none, no_vectors, dead, 1, id_col="id",
+            slots={256: ("embedding1", "m")},
+        )
+
 
 class _Session:
     """Stands in for a session with the given settings."""
@@ -239,21 +276,14 @@ def test_subsets_and_manifest(spark, posts):
     assert by_cat["a"]["preprocessing"] == {"row_limit": "1000"} and by_cat["a"]["generated_at"]
 
 
-def test_versions(spark, posts):
-    base = scratch_path(spark, "versions")
-    assert sinks.latest_version(spark, base) is None
-    with pytest.raises(FileNotFoundError):
-        sinks.read_version(spark, base)
-    rows = posts.select("id", "title")
-    assert sinks.append_version(rows.where("id < 20"), base, ["id"]) == 1
-    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v2")
-    assert sinks.latest_version(spark, base) == 1
-    changed = rows.where("id >= 10").withColumn("title", F.lit("new"))
-    assert sinks.append_version(changed, base, ["id"]) == 2
-    assert sinks.append_version(changed, base, ["id"]) == 3
-    got = sinks.read_version(spark, base)
-    assert got.count() == 40 and got.where("title = 'new'").count() == 30
-    assert sinks.read_version(spark, base, 1).count() == 20
+def test_written_vectors_are_read_back(spark, posts):
+    rows = posts.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    path = scratch_path(spark, "vectors")
+    assert sinks.write_vectors(rows, path, "v", 2).count() == 40
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_vectors(rows, path)
+    with pytest.raises(ValueError, match="width 3"):
+        sinks.write_vectors(rows, scratch_path(spark, "vectors"), "v", 3)
 
 
 def test_stream_labels_each_posting_once(spark, posts):

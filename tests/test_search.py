@@ -63,7 +63,6 @@ def test_topk_string_ids_short_corpus_and_bad_vectors(spark):
         ("huge", [3e30, 3e30]),
         ("tiny", [1e-30, 0.0]),
         ("null", None),
-        ("short", [1.0]),
         ("hole", [None, 1.0]),
         ("nan", [float("nan"), 1.0]),
     ]
@@ -73,6 +72,26 @@ def test_topk_string_ids_short_corpus_and_bad_vectors(spark):
     )
     assert [i for i, _ in found["q0"]] == ["a", "b", "tiny", "huge", "zero"]
     assert found["q0"][-1][1] == 0.0
+    other = df.union(spark.createDataFrame([("short", [1.0])], df.schema))
+    with pytest.raises(Exception, match="Vector width is not 2 but 1"):
+        cosine_topk(other, queries(spark, [[1.0, 0.0]]), 10, id_col="id", query_cols=["category"]).collect()
+
+
+def test_one_block_of_queries_at_a_time(spark, monkeypatch):
+    """The next block is read only when the hits of the last one are stored."""
+    from sievemark.operators import topk
+
+    events = []
+    store, read = topk.materialize, topk._to_matrix
+    monkeypatch.setattr(topk, "materialize", lambda df, name: events.append(name) or store(df, name))
+    monkeypatch.setattr(topk, "_to_matrix", lambda lists, dim: events.append(len(lists)) or read(lists, dim))
+    vectors = RNG.normal(size=(50, 4)).astype(np.float32)
+    df = corpus(spark, range(50), vectors)
+    asked = queries(spark, vectors[:7]).coalesce(1)
+    found = cosine_topk(df, asked, 3, id_col="id", query_cols=["category"], block_queries=3)
+    assert events == ["queries", 3, "block-hits", 3, "block-hits", 1, "block-hits"]
+    whole = cosine_topk(df, asked, 3, id_col="id", query_cols=["category"])
+    assert hits_of(found) == hits_of(whole)
 
 
 def test_topk_prefix_and_no_queries(spark):

@@ -85,26 +85,23 @@ def test_positions_slices_and_batches(posts):
     assert all(r.batch == r.position // 400 for r in batched)
 
 
-def test_first_rows_small_and_large_limit_agree(posts, monkeypatch):
-    small = {r.id for r in ordering.first_rows(posts, "id", 250).collect()}
-    assert small == set(seeded(range(900))[:250])
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 10)
-    large = ordering.first_rows(posts, "id", 250)
-    assert {r.id for r in large.collect()} == small
-    assert large.columns == posts.columns
+def test_first_rows_come_in_order_and_in_one_pass(posts):
+    first = ordering.first_rows(posts, "id", 250)
+    assert [r.id for r in first.collect()] == seeded(range(900))[:250]
+    assert first.columns == posts.columns
     assert ordering.first_rows(posts, "id", 5000).count() == 900
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and plan.count("Scan") == 1
 
 
-@pytest.mark.parametrize("n", [1, 40, 100, 330, 2000])
-@pytest.mark.parametrize("small_limit", [100_000, 5])
-def test_pruned_prep_equals_the_whole_order(posts, monkeypatch, n, small_limit):
-    """Looking at the start of the order only, at first far too little of it."""
-    everything = [r.id for r in prep_postings(posts, "id", n=None).collect()]
-    monkeypatch.setattr(ordering, "LEAST_ROWS", 1)
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", small_limit)
-    got = prep_postings(posts, "id", n=n)
-    assert {r.id for r in got.collect()} == set(seeded(everything)[:n])
-    assert got.columns == posts.columns
+@pytest.mark.parametrize("n", [1, 100, 330, 2000])
+def test_limited_prep_equals_the_whole_order(posts, n):
+    everything = [r.id for r in prep_postings(posts, "id").collect()]
+    twice = posts.union(posts.where("id < 40"))
+    for df in (posts, twice):
+        got = prep_postings(df, "id", n=n)
+        assert [r.id for r in got.collect()] == seeded(everything)[:n]
+        assert got.columns == posts.columns
 
 
 def test_filters_and_projections(posts, spark):
@@ -145,6 +142,27 @@ def test_upsert_is_idempotent(spark):
     assert sets.union_append(old, new).count() == 4
 
 
+def test_upsert_keeps_keys_unique_and_null_safe(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "id int, x string")
+    new = spark.createDataFrame([(2, "B"), (2, "A"), (None, "N"), (1, "z")], "id int, x string")
+    once = sets.upsert(old, new, ["id"])
+    twice = sets.upsert(once, new, ["id"])
+    for df in (once, twice):
+        assert sorted(((r.id or 0), r.x) for r in df.collect()) == [(0, "N"), (1, "z"), (2, "A")]
+    last = sets.upsert(old, new, ["id"], [F.col("x").desc()])
+    assert {r.x for r in last.where("id = 2").collect()} == {"B"}
+
+
+def test_hits_keep_their_rows_and_double_ids_raise(spark):
+    hits = spark.createDataFrame([(1, 7), (2, 8)], "rank int, id int")
+    posts = spark.createDataFrame([(7, "t")], "id int, title string")
+    got = joins.with_metadata(hits, posts, "id", 2).orderBy("rank").collect()
+    assert [(r["rank"], r.title) for r in got] == [(1, "t"), (2, None)]
+    with pytest.raises(Exception, match="more than once: 7"):
+        joins.with_metadata(hits, posts.union(posts), "id", 2).collect()
+    assert joins.with_metadata(hits.where("id = 8"), posts.union(posts), "id").count() == 1
+
+
 def test_fill_values(spark):
     master = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, s string")
     values = spark.createDataFrame([(2, None), (3, "c")], "id int, s string")
@@ -193,6 +211,8 @@ def test_query_vector_lookup(spark, stored):
     )
     found = joins.query_vector_lookup(requests, *stored, SLOTS).orderBy("request_id").collect()
     assert [r.needs_encoding for r in found] == [False, True, True, True, True, True]
+    plan = joins.query_vector_lookup(requests, *stored, SLOTS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
     assert found[0].vector == [1.0, 2.0]
 
 
