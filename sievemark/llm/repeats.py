@@ -35,8 +35,8 @@ from sievemark.session import materialize
 LENGTH, GRAM = 50, 12
 GRAMS = LENGTH - GRAM + 1  # in a window
 SIDE = (LENGTH - GRAM + 1) // 2  # bytes that a shared window has on one side of the trigger
-CHUNK = 2_000_000  # bytes that are hashed at a time
-FLUSH = 1_000_000  # phrases that a task collects before it sends them
+CHUNK = 1_000_000  # bytes that are hashed at a time
+FLUSH = 500_000  # phrases that a task collects before it sends them
 LAST_ID = 2**63 - 1
 
 _BYTES = np.frombuffer(hashlib.shake_256(b"byte values").digest(2048), np.uint64)
@@ -100,7 +100,7 @@ def phrases(pieces: list[bytes], own: list[tuple[int, int]]) -> dict[str, np.nda
 
     Returns piece, at (start in the piece), n (windows), g (trigger), e (phrase), sides (16 bits
     of the hash to the left and right of the trigger, 0 where the piece ends; -1 if the trigger
-    occurs more than once)."""
+    occurs more than once), place (of the trigger in the phrase)."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     hashes = Hashes(data)
     places = np.arange(len(data) - GRAM + 1)
@@ -136,6 +136,7 @@ def phrases(pieces: list[bytes], own: list[tuple[int, int]]) -> dict[str, np.nda
         "g": g.view(np.int64),
         "e": (hashes.of(start, end - 1 + LENGTH, 3) >> np.uint64(32)).astype(np.uint32).view(np.int32),
         "sides": np.where(single, sides, -1).astype(np.int32),
+        "place": (first - start).astype(np.int8),
     }
 
 
@@ -149,7 +150,7 @@ def _pieces(text: bytes) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
 
 
 FIELDS = {"g": pa.int64(), "e": pa.int32(), "sides": pa.int32(), "doc": pa.int64(),
-          "variant": pa.int16(), "at": pa.int32(), "n": pa.int32()}
+          "variant": pa.int16(), "at": pa.int32(), "n": pa.int32(), "place": pa.int8()}
 DONE = {"done_doc": pa.int64(), "done_variant": pa.int16(), "done_at": pa.int32(), "done_n": pa.int32()}
 
 
@@ -194,7 +195,7 @@ def _firsts(rows: dict[str, np.ndarray], key: list[str]) -> tuple[np.ndarray, np
 
 
 def _lists(fields: dict[str, pa.DataType]) -> str:
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint"}
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint", pa.int8(): "tinyint"}
     kinds = {**fields, **DONE}
     return "bucket int, " + ", ".join(f"{k} array<{names[t]}>" for k, t in kinds.items())
 
@@ -231,26 +232,43 @@ def _decide_phrases(table: pa.Table) -> pa.Table:
     rows = {k: v[order] for k, v in rows.items()}
     every = np.ones(len(done["done_doc"]), bool)
     if not len(order):
-        none = np.zeros(0, bool)
-        return _spans((rows, none, "", False), (done, every, "done_", False))
+        return _spans((rows, np.zeros(0, bool), "", False), (done, every, "done_", False))
     first, begins = _firsts(rows, ["g", "e"])
     covered = rows["doc"] > rows["doc"][first]
     trigger, _ = _firsts(rows, ["g"])
-    # Different phrases of a trigger, counted by what is to its left, to its right, and at all.
-    detail = np.zeros(len(order), bool)
+    # A window shared with another phrase of the trigger has SIDE bytes in common with it to the
+    # left of the trigger, or else to the right. Only phrases of other documents matter.
     kinds = np.flatnonzero(begins)
-    group, sides = trigger[kinds], rows["sides"][kinds].view(np.uint32).astype(np.int64)
-    many = np.bincount(group, minlength=len(order)) > 1
+    group, docs = trigger[kinds], rows["doc"][kinds]
+    sides = rows["sides"][kinds].view(np.uint32).astype(np.int64)
     repeated = np.zeros(len(order), bool)
     repeated[group[rows["sides"][kinds] == -1]] = True
-    alike = np.zeros(len(kinds), bool)
-    for side in (sides >> 16, sides & 0xFFFF):
-        _, where, count = np.unique(np.stack([group, side]), axis=1, return_inverse=True, return_counts=True)
-        alike |= (side > 0) & (count[where.reshape(-1)] > 1)
-    wanted = many[group] & (alike | repeated[group])
-    detail[kinds[wanted]] = True
-    detail = detail[first] & ~covered
-    return _spans((rows, covered, "", False), (rows, detail, "", True), (done, every, "done_", False))
+    left, right = sides >> 16, sides & 0xFFFF
+    left_alike = (left > 0) & _differ([group, left], docs)
+    right_alike = (right > 0) & _differ([group, right], docs)
+    every_window = repeated[group] & _differ([group], docs)
+    place, size = rows["place"][kinds].astype(np.int64), rows["n"][kinds].astype(np.int64)
+    # Of the windows, those too short on the side that differs to reach beyond what is common.
+    low = np.where(left_alike | every_window, 0, np.maximum(0, place - SIDE + 1))
+    high = np.where(right_alike | every_window, size, np.minimum(size, place + GRAM + SIDE - LENGTH))
+    wanted = (left_alike | right_alike | every_window) & (high > low)
+    kind = np.cumsum(begins) - 1
+    detail = wanted[kind] & ~covered
+    narrowed = rows | {"at": rows["at"] + low[kind], "n": (high - low)[kind]}
+    return _spans((rows, covered, "", False), (narrowed, detail, "", True), (done, every, "done_", False))
+
+
+def _differ(keys: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Whether rows with the same ``keys`` have different ``values``."""
+    order = np.lexsort((values, *reversed(keys)))
+    begins = np.ones(len(order), bool)
+    begins[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(begins)
+    last = np.append(starts[1:], len(order)) - 1
+    differ = values[order][starts] != values[order][last]
+    out = np.zeros(len(order), bool)
+    out[order] = differ[np.cumsum(begins) - 1]
+    return out
 
 
 WINDOWS = {"h": pa.int64(), "h2": pa.int32(), "doc": pa.int64(), "variant": pa.int16(), "at": pa.int32(),
