@@ -30,13 +30,12 @@ class LabelModel:
     ) -> LabelModel:
         """Fit on patterns ``votes`` (n, voters) with ``counts`` of unlabelled rows, ``known``
         (n, 2) counts of rows with label 0 and 1, and ``start``, first posteriors."""
-        self.parent = [-1] * votes.shape[1]
-        self._maximise(votes, counts, known, start)
+        posterior = start
         for step in range(self.rounds):
-            posterior = self.posterior(votes)
             if step % 5 == 0:
                 self.parent = self._tree(votes, self._weights(counts, known, posterior))
             self._maximise(votes, counts, known, posterior)
+            posterior = self.posterior(votes)
         return self
 
     @staticmethod
@@ -96,7 +95,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def logistic(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Weights (last: constant) of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.full(x.shape[1], ridge)
