@@ -71,8 +71,9 @@ def apportion(parties: DataFrame, group: list[str], party: list[str]) -> DataFra
     """``parties`` (group, party, weight double, most long, seats long) with ``quota`` long.
 
     ``seats`` are the seats of the whole group. They go one by one to the highest quotient
-    weight / (2 quota + 1); no party gets more than ``most``. Almost all seats follow from the
-    divisor that shares them on average, so only a few quotients per party are ranked.
+    weight / (2 quota + 1); no party gets more than ``most``, which must not be below its share
+    of the seats. Almost all seats follow from the divisor that shares them on average, so only
+    a few quotients per party are ranked.
     """
     whole = Window.partitionBy(*group)
     n = F.count("*").over(whole)
@@ -170,20 +171,22 @@ def mix(
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / block_words))
     shards = materialize(shards.where("blocks > 0"), "shards")
-    room = shards.groupBy("source").agg((F.sum("blocks") * MOST_REPEATS).alias("most"))
-    seats = sources.agg(F.ceil(F.sum("source_size") / block_words)).first()[0] or 0
-    parties = (
-        room.withColumnRenamed("source", "of")
-        .join(sources, F.col("of").eqNullSafe(F.col("source")))
-        .select(F.lit(0).alias("mix"), "source", F.col("target").alias("weight"), "most",
-                F.lit(int(seats)).cast("bigint").alias("seats"))
+    # The last block of a shard is short, so words are turned into seats by the source's own mean.
+    room = shards.groupBy(F.col("source").alias("of")).agg(F.sum("blocks").alias("blocks"))
+    parties = room.join(sources, F.col("of").eqNullSafe(F.col("source"))).select(
+        F.lit(0).alias("mix"), "source",
+        (F.col("target") * F.col("blocks") / F.col("source_size")).alias("weight"),
+        (F.col("blocks") * MOST_REPEATS).alias("most"),
     )
+    parties = materialize(parties, "source-parties")
+    seats = max(1, round(parties.agg(F.sum("weight")).first()[0] or 0))
+    parties = parties.withColumn("seats", F.lit(seats).cast("bigint"))
     of_source = apportion(parties, ["mix"], ["source"]).select(
         F.col("source").alias("of"), F.col("quota").alias("seats")
     )
     parts = (
         shards.join(small_side(materialize(of_source, "source-quotas")), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("weight", F.col("words").cast("double"))
+        .withColumn("weight", F.col("blocks").cast("double"))
         .withColumn("most", F.col("blocks") * MOST_REPEATS)
         .select("source", "shard", "blocks", "weight", "most", "seats")
     )
