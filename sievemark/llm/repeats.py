@@ -35,8 +35,9 @@ from sievemark.session import materialize
 LENGTH, GRAM = 50, 12
 GRAMS = LENGTH - GRAM + 1  # in a window
 SIDE = (LENGTH - GRAM + 1) // 2  # bytes that a shared window has on one side of the trigger
-CHUNK = 1_000_000  # bytes that are hashed at a time
-FLUSH = 500_000  # phrases that a task collects before it sends them
+CHUNK = 250_000  # bytes that are hashed at a time
+FLUSH = 250_000  # phrases that a task collects before it sends them
+BUCKETS = 4  # per shuffle partition
 LAST_ID = 2**63 - 1
 
 _BYTES = np.frombuffer(hashlib.shake_256(b"byte values").digest(2048), np.uint64)
@@ -351,13 +352,13 @@ def _send_windows(buckets: int):
         pieces, size = [], 0
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            for doc, variant, text, marks in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()
+            for doc, variant, text, (ats, ns) in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, _ranges(batch.column(3))
             ):
                 data = text.as_py()
-                for mark in marks:
-                    for at in range(mark["at"], mark["at"] + mark["n"], CHUNK):
-                        n = min(CHUNK, mark["at"] + mark["n"] - at)
+                for start, count in zip(ats.tolist(), ns.tolist()):
+                    for at in range(start, start + count, CHUNK):
+                        n = min(CHUNK, start + count - at)
                         pieces.append((doc, variant, at, data[at : at + n + LENGTH - 1]))
                         size += n
                         if size >= CHUNK:
@@ -369,30 +370,37 @@ def _send_windows(buckets: int):
     return run
 
 
+def _ranges(marks: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(at, n) of the marks of each row, in no order."""
+    bounds = marks.offsets.to_numpy()
+    at, n = (marks.values.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
+    for low, high in zip(bounds, bounds[1:]):
+        yield at[low:high], n[low:high]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the marked windows of (doc_id, text, marks)."""
     for batch in batches:
-        removed, spans, kept = [], [], []
-        for text, marks in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-            data, rest, end = text.as_py(), hashlib.sha256(), 0
-            gone, runs = 0, 0
-            for mark in sorted(marks, key=lambda m: m["at"]):
-                start, stop = mark["at"], mark["at"] + mark["n"] + LENGTH - 1
-                if start > end or not runs:
-                    rest.update(data[end:start])
-                    runs += 1
-                    end = start
-                gone += max(0, stop - end)
-                end = max(end, stop)
-            rest.update(data[end:])
-            removed.append(gone)
-            spans.append(runs)
-            kept.append(rest.hexdigest())
+        rows = []
+        for text, (at, n) in zip(batch.column(1).cast(pa.binary()), _ranges(batch.column(2))):
+            data, kept = text.as_py(), hashlib.sha256()
+            order = np.argsort(at)
+            start, reach = at[order], np.maximum.accumulate((at + n)[order] + LENGTH - 1)
+            # A run of removed bytes ends where the next mark starts behind all before it.
+            first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+            starts, ends = start[first], reach[np.append(first[1:], len(start)) - 1]
+            end = 0
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                kept.update(data[end:a])
+                end = b
+            kept.update(data[end:])
+            rows.append((len(data), int((ends - starts).sum()), len(starts), kept.hexdigest()))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t.as_py()) for t in batch.column(1).cast(pa.binary())], pa.int64()),
-             pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())],
+            [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        )
 
 
 def _marks(spans: DataFrame, name: str) -> DataFrame:
@@ -434,7 +442,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long = F.octet_length("text") >= LENGTH
     firsts = rows.where(long).join(whole, is_copy, "left_anti")
 
-    buckets = partitions_of(docs)
+    buckets = BUCKETS * partitions_of(docs)
     sent = firsts.select("doc", "variant", "text").mapInArrow(_send_phrases(buckets), _lists(FIELDS))
     spans = materialize(sent.groupBy("bucket").applyInArrow(_decide_phrases, SPANS_SQL), "phrase-spans")
 
