@@ -433,6 +433,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         .where("first < last").select(F.col("digest").alias("copied"), "first")
     )
+    # Written first: both sides of the join are then plain exchanges, which Spark can split.
+    copied = materialize(copied, "copied-texts")
     copies = digests.join(copied, F.col("digest") == F.col("copied")).where("doc > first")
     copies = materialize(copies.select(F.col("doc").alias("c_doc"), F.col("digest").alias("c_digest")).distinct(), "copies")
     # A whole copy of a smaller document needs no parsing.
