@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 Patterns find assignments, access keys and hex strings. Beyond those, every long run of key-like
-characters near a sensitive word is a candidate. Its novelty is the number of bytes that it adds
-to the compressed size of the code around it, with the compressor primed on an identifier
+characters near a sensitive word is a candidate. Its values, that is what ``=`` separates and the
+patterns leave, are measured one by one. The novelty of a value is the number of bytes that it
+adds to the compressed size of the code around it, with the compressor primed on an identifier
 dictionary: names and words that the code already uses cost little, a random key costs about a
 byte per character.
 """
@@ -10,6 +11,7 @@ byte per character.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -36,7 +38,12 @@ SENSITIVE = re.compile(
     r"pass|pwd|secret|token|key|auth|credential|private|bearer|signature|salt|cookie",
     re.IGNORECASE | re.ASCII,
 )
-BEFORE, AROUND = 48, 256  # characters searched for a sensitive word, and of context
+LEAST_RUN = 16
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")  # padding belongs to the last one
+# Words of letters, with up to two digits each. The compressor takes rare names for novel.
+NAME = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,2}+[_/+-]*+)++")
+NAMED = re.compile(f"({NAME.pattern})=+")
+NEAR, AROUND = 48, 256  # characters searched for a sensitive word on each side, and of context
 LEAST_NOVELTY = 0.75  # compressed bytes per character
 
 # Identifiers and words that code and configuration use.
@@ -99,18 +106,99 @@ class Novelty:
         return (len(self._compress(known + candidate.encode())) - alone) / len(candidate)
 
 
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The ranges that ``spans``, sorted by start, cover."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _left(start: int, end: int, taken: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """What the ranges ``taken`` from number ``at`` on leave of start..end."""
+    for a, b in itertools.islice(taken, at, None):
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def _names_end(text: str, start: int, end: int) -> int:
+    """Where the names before ``=`` end that a run begins with. Long ones hold a sensitive word."""
+    while (m := NAMED.match(text, start, end)) and (
+        len(m[1]) < LEAST_RUN or SENSITIVE.search(m[1])
+    ):
+        start = m.end()
+    return start
+
+
+def _around_words(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a value between sensitive words, less one separator next to each."""
+    a = start
+    for m in SENSITIVE.finditer(text, start, end):
+        yield a, m.start() - (m.start() > a and text[m.start() - 1] in "_/+-")
+        a = m.end() + (m.end() < end and text[m.end()] in "_/+-")
+    yield a, end
+
+
 def novel_spans(text: str, taken: list[Span], novelty: Novelty, least: float) -> list[Span]:
-    """Candidates next to a sensitive word that the context does not explain."""
-    found = []
+    """Values with a sensitive word near or in them that the context does not explain.
+
+    A run of key-like characters behind a sensitive word is measured without the names that it
+    begins with. Others are split at ``=`` and at ``taken``, so that a value is behind the words
+    of its own name. A value that has the word inside or after it, one that ``taken`` cuts and one
+    that stands before a ``=`` is not measured if it reads as a name. If a run behind a sensitive
+    word has no novel value, it is measured with its names."""
+
+    def is_novel(start: int, end: int) -> bool:
+        if end - start < LEAST_RUN:
+            return False
+        context = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+        return novelty.per_character(context, text[start:end]) >= least
+
+    def is_key(start: int, end: int) -> bool:
+        return end - start >= LEAST_RUN and not NAME.fullmatch(text, start, end) and is_novel(start, end)
+
+    def behind_word(start: int) -> bool:
+        return SENSITIVE.search(text, max(0, start - NEAR), start) is not None
+
+    def parts(start: int, end: int, whole: bool) -> list[tuple[int, int]]:
+        if end - start < LEAST_RUN:
+            return []
+        behind = behind_word(start)
+        if behind and whole and not text.startswith("=", end):
+            if is_novel(start, end):
+                return [(start, end)]
+        elif (behind or SENSITIVE.search(text, end, end + NEAR)) and is_key(start, end):
+            return [(start, end)]
+        if not SENSITIVE.search(text, start, end):
+            return []
+        pieces = [p for p in _around_words(text, start, end) if is_key(*p)]
+        return pieces or [(start, end)] * is_key(start, end)
+
+    ranges, found, at = _merged(taken), [], 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, b, _ in taken):
+        while at < len(ranges) and ranges[at][1] <= start:
+            at += 1
+        if not SENSITIVE.search(text, max(0, start - NEAR), end + NEAR):
             continue
-        if not SENSITIVE.search(text, max(0, start - BEFORE), start):
-            continue
-        context = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if novelty.per_character(context, m.group()) >= least:
-            found.append((start, end, "novel"))
+        rest = list(_left(start, end, ranges, at))
+        whole = rest == [(start, end)]
+        values = [v.span() for a, b in rest for v in VALUE.finditer(text, a, b)]
+        new, behind = [], whole and behind_word(start)
+        if behind and is_novel(first := _names_end(text, start, end), end):
+            new = [(first, end)]
+        new = new or [p for a, b in values for p in parts(a, b, whole)]
+        if not new and behind and is_novel(start, end):
+            new = [(start, end)]
+        found += [(a, b, "novel") for a, b in new]
     return found
 
 

@@ -76,3 +76,42 @@ def test_redaction(spark):
 def test_spans_at_the_edges():
     assert secret_scan.redacted("abcdef", [(0, 2, ""), (1, 3, ""), (3, 4, ""), (5, 6, "")], "#") == "#e#"
     assert secret_scan.redacted("abc", [], "#") == "abc"
+
+
+def test_names_without_a_space(spark):
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAM8LEKq"
+    hidden = [
+        (f"export PRIVATE_KEY={SECRET}\n", SECRET),
+        (f"GET /v?auth={SECRET}&page=2", SECRET),
+        (f"AWS_ACCESS_KEY={SECRET}", SECRET),
+        (f"aws_secret_access_key={aws}", aws),
+        (f"PRIVATE_KEY={SECRET}==\n", SECRET + "=="),
+        (f"a=b=PRIVATE_KEY={SECRET}", SECRET),
+        (f"call auth/{SECRET} now", SECRET),
+        (f"{SECRET}-cookie is set", SECRET),
+        (f"{SECRET} is the signature", SECRET),
+        (f"{SECRET}=token=abcdefghijklmnop", SECRET + "="),
+        (f"private key: {SECRET}=x", SECRET + "=x"),
+        (f"secrets: PRIVATE_KEY={SECRET}", SECRET),
+        (f"private key: {SECRET}", SECRET),
+    ]
+    novelty = secret_scan.Novelty()
+    for text, secret in hidden:
+        novel = [s for s in secret_scan.all_spans(text, novelty) if s[2] == "novel"]
+        start = text.index(secret)
+        assert novel == [(start, start + len(secret), "novel")], text
+    rows = [(i, text, "s") for i, (text, _) in enumerate(hidden)]
+    out = secret_scan.redact(documents(spark, rows)).collect()
+    assert all(r.text.count("[secret]") >= 1 and SECRET not in r.text and aws not in r.text for r in out)
+    names = [
+        "STRIPE_PUBLISHABLE_KEY and more", "new OAuth2LoginAuthenticationFilter()",
+        "MY_PRODUCTION_SECRET_TOKEN=abcdefghijklmnop", "PRIVATE_KEY=Zx81", "plain " + SECRET,
+    ]
+    for text in names:
+        assert not [s for s in secret_scan.all_spans(text, novelty) if s[2] == "novel"], text
+
+
+def test_short_values_behind_a_word_are_measured_with_their_name():
+    text = f"private values: id={SECRET[:14]} end"
+    novel = [s for s in secret_scan.all_spans(text, secret_scan.Novelty()) if s[2] == "novel"]
+    assert novel == [(16, 33, "novel")]
