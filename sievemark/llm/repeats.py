@@ -42,7 +42,9 @@ LAST_ID = 2**63 - 1
 
 _BYTES = np.frombuffer(hashlib.shake_256(b"byte values").digest(2048), np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+# Of a second hash, so that its bits say more than those of the first.
+_BYTES_2 = np.frombuffer(hashlib.shake_256(b"second byte values").digest(2048), np.uint64)
+_BASE_2 = 0xD1342543DE82EF95
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,7 +56,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POWER, _INVERSE_POWER = _powers(_BASE, 1), _powers(_INVERSE, 1)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by base, of it and of its inverse
+
+
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of ``base`` and of its inverse."""
+    if base not in _POWERS or n > len(_POWERS[base][0]):
+        _POWERS[base] = _powers(base, 2 * n), _powers(pow(base, -1, 2**64), 2 * n)
+    return _POWERS[base]
 
 
 def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -67,16 +76,14 @@ def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class Hashes:
     """Rolling hashes of all substrings of ``data``."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        global _POWER, _INVERSE_POWER
-        if len(data) >= len(_POWER):
-            _POWER = _powers(_BASE, 2 * len(data) + 2)
-            _INVERSE_POWER = _powers(_INVERSE, 2 * len(data) + 2)
-        sums = np.cumsum(_BYTES[data] * _INVERSE_POWER[: len(data)], dtype=np.uint64)
+    def __init__(self, data: np.ndarray, base: int = _BASE, values: np.ndarray | None = None) -> None:
+        self.power, inverse = _powers_of(base, len(data) + 1)
+        values = _BYTES if values is None else values
+        sums = np.cumsum(values[data] * inverse[: len(data)], dtype=np.uint64)
         self.sums = np.concatenate((np.zeros(1, np.uint64), sums))
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * _POWER[start]
+        return (self.sums[end] - self.sums[start]) * self.power[start]
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         return _mixed(self.raw(start, end), salt)
@@ -135,7 +142,7 @@ def phrases(pieces: list[bytes], own: list[tuple[int, int]]) -> dict[str, np.nda
         "at": start - piece_start[piece],
         "n": end - start,
         "g": g.view(np.int64),
-        "e": (hashes.of(start, end - 1 + LENGTH, 3) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+        "e": hashes.of(start, end - 1 + LENGTH, 3).view(np.int64),
         "sides": np.where(single, sides, -1).astype(np.int32),
         "place": (first - start).astype(np.int8),
     }
@@ -150,7 +157,7 @@ def _pieces(text: bytes) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
         yield low, text[low : e + 2 * LENGTH], (s - low, e - low)
 
 
-FIELDS = {"g": pa.int64(), "e": pa.int32(), "sides": pa.int32(), "doc": pa.int64(),
+FIELDS = {"g": pa.int64(), "e": pa.int64(), "sides": pa.int32(), "doc": pa.int64(),
           "variant": pa.int16(), "at": pa.int32(), "n": pa.int32(), "place": pa.int8()}
 DONE = {"done_doc": pa.int64(), "done_variant": pa.int16(), "done_at": pa.int32(), "done_n": pa.int32()}
 
@@ -339,11 +346,11 @@ def _send_windows(buckets: int):
         which = np.repeat(np.arange(len(pieces)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = base[which] + inside
-        raw = Hashes(data).raw(start, start + LENGTH)
+        second = Hashes(data, _BASE_2, _BYTES_2).of(start, start + LENGTH, 5)
         column = lambda i: np.array([p[i] for p in pieces], np.int64)[which]
         return {
-            "h": _mixed(raw, 4).view(np.int64),
-            "h2": (_mixed(raw, 5) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+            "h": Hashes(data).of(start, start + LENGTH, 4).view(np.int64),
+            "h2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32),
             "doc": column(0), "variant": column(1), "at": column(2) + inside,
             "n": np.ones(len(which), np.int32),
         }

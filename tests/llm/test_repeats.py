@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from sievemark.llm import repeats
 from tests.llm.fixtures import LONG, awkward, documents, prose
 
@@ -60,3 +63,38 @@ def test_chunks_give_the_same_result(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_different_phrases_of_one_trigger_stay_apart():
+    rng = np.random.default_rng(5)
+    grams = rng.integers(0, 256, (200_000, repeats.GRAM), dtype=np.uint8)
+    data = grams.ravel()
+    at = np.arange(len(grams)) * repeats.GRAM
+    trigger = grams[repeats.Hashes(data).of(at, at + repeats.GRAM).argmin()]
+    side = repeats.GRAMS - 1
+    # About 300,000^2 / 2^33, so ten false equalities, if 32 bits told them apart.
+    seen, n = {}, 0
+    for _ in range(100):
+        texts = rng.integers(0, 256, (3000, 2 * side + repeats.GRAM), dtype=np.uint8)
+        texts[:, side : side + repeats.GRAM] = trigger
+        found = repeats.phrases([t.tobytes() for t in texts], [(0, repeats.GRAMS)] * len(texts))
+        whole = found["n"] == repeats.GRAMS
+        for key, piece in zip(zip(found["g"][whole].tolist(), found["e"][whole].tolist()), found["piece"][whole].tolist()):
+            n += 1
+            assert seen.setdefault(key, texts[piece].tobytes()) == texts[piece].tobytes()
+    assert n > 290_000 and len({g for g, _ in seen}) == 1
+
+
+def test_second_window_hash_has_its_own_base(monkeypatch):
+    texts = ["x" * 20 + c + "y" * 29 for c in "ab"]
+    alike = repeats._BYTES.copy()
+    alike[ord("a")] = alike[ord("b")]
+    monkeypatch.setattr(repeats, "_BYTES", alike)
+    marks = pa.array([[{"at": 0, "n": 1}]] * 2, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([0, 0], pa.int16()), pa.array(texts), marks], ["doc", "variant", "text", "marks"]
+    )
+    table = pa.Table.from_batches(list(repeats._send_windows(1)([batch])))
+    rows = repeats._flat(table, list(repeats.WINDOWS))
+    assert len(set(rows["h"].tolist())) == 1 and len(rows["h2"]) == 2
+    assert not repeats._decide_windows(table).num_rows
