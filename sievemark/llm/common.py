@@ -14,6 +14,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_digest() -> Column:
+    """SHA-256 of the text, with null as the empty text."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
 def small_side(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``stored``, a table of narrow fixed-width rows read from files, marked for broadcast
     only if it was counted to hold at most ``limit`` rows. Beyond that Spark shuffles."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import small_side, text_or_empty
+from sievemark.llm.common import small_side, text_digest, text_or_empty
 from sievemark.session import materialize
 
 # Every way to replace 2 of 13 tokens leaves one of these masks untouched at some even offset, and
@@ -157,7 +157,8 @@ def _verified(
 
 
 def reject(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without documents that hold a benchmark passage. Rows that share an id go together."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    found = small_side(materialize(found, "leaked-ids"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """``docs`` without rows that hold a benchmark passage. Rows are told apart by their text."""
+    texts = docs.select(text_digest().alias("doc_id"), "text")
+    found = overlaps(texts, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    found = small_side(materialize(found, "leaked-texts"))
+    return docs.join(found, text_digest() == F.col("leaked"), "left_anti")

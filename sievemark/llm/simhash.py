@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import small_side
+from sievemark.llm.common import small_side, text_digest
 from sievemark.llm.components import components
 from sievemark.session import materialize
 
@@ -158,20 +158,25 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of every component.
+    """``docs`` with one row of every component: the smallest doc_id, then text digest.
 
-    Rows without doc_id go if their component has a row with one, and stay otherwise. Of rows
-    that repeat a doc_id one stays.
+    Rows are told apart by id and text. Rows without doc_id come after all others. Of rows with
+    the same id and text one stays.
     """
-    found = materialize(near_duplicates(docs), "components")
-    lost = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("lost")).distinct()
-    lost = small_side(materialize(lost, "duplicate-ids"))
-    kept = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
+    row = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        text_digest().alias("digest"),
+    )
+    found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text")), "components")
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct()
+    lost = small_side(materialize(lost, "duplicate-rows"), 100_000)
+    kept = docs.join(lost, row == F.col("lost"), "left_anti")
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    twice = materialize(twice.select(F.col("doc_id").alias("twice")), "repeated-ids")
+    twice = materialize(twice.select(F.col("doc_id").alias("twice")), "repeated-rows")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("twice")
+    same = row == F.col("twice")
     return kept.join(twice, same, "left_anti").unionByName(
-        kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+        kept.join(twice, same, "left_semi").withColumn("kept_row", row).dropDuplicates(["kept_row"]).drop("kept_row")
     )

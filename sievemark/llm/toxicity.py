@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import small_side, text_or_empty
+from sievemark.llm.common import small_side, text_digest, text_or_empty
 from sievemark.llm.label_model import LabelModel, logistic
 from sievemark.llm.labelled import SAMPLE_ROWS, held_out, joined, training_labels
 from sievemark.session import materialize
@@ -93,8 +93,8 @@ def mine_lexicons(sample: DataFrame) -> list[Lexicon]:
     ]
 
 
-def _votes(docs: DataFrame, lexicons: list[Lexicon]) -> tuple[DataFrame, list[str]]:
-    """doc_id, one 0/1 column per voter, and the measures hits and dense; each text is read once."""
+def _votes(docs: DataFrame, lexicons: list[Lexicon], more: list[str]) -> tuple[DataFrame, list[str]]:
+    """doc_id, columns ``more``, one 0/1 column per voter, and the measures hits and dense; each text is read once."""
     whole = Lexicon(
         "all",
         tuple(sorted({w for lex in lexicons for w in lex.whole})),
@@ -103,12 +103,13 @@ def _votes(docs: DataFrame, lexicons: list[Lexicon]) -> tuple[DataFrame, list[st
     text = text_or_empty()
     hits = docs.select(
         "doc_id",
+        *more,
         words().alias("words"),
         F.regexp_like(text, F.lit(SHOUT)).alias("shout"),
         F.regexp_like(text, F.lit(ADDRESS)).alias("address"),
         F.regexp_like(text, F.lit(THREAT)).alias("threat"),
     ).select(
-        "doc_id", "shout", "address", "threat", F.size("words").alias("n"),
+        "doc_id", *more, "shout", "address", "threat", F.size("words").alias("n"),
         F.filter("words", whole.matches).alias("hits"),
     )
     n_hits = F.size("hits")
@@ -125,7 +126,7 @@ def _votes(docs: DataFrame, lexicons: list[Lexicon]) -> tuple[DataFrame, list[st
         F.least(F.log1p(n_hits.cast("double")), F.lit(3.0)).alias("m_hits"),
         F.least(n_hits * 20.0 / F.greatest(F.col("n"), F.lit(1)), F.lit(1.0)).alias("m_share"),
     ]
-    return hits.select("doc_id", *columns, *measures), [f"v_{k}" for k in voters]
+    return hits.select("doc_id", *more, *columns, *measures), [f"v_{k}" for k in voters]
 
 
 def score(
@@ -145,11 +146,18 @@ def score(
         empty texts have no votes and get the score of those. Without any label the fixed
         lexicons decide.
     """
+    return _scored(docs, labels, sample_rows, threshold, [])
+
+
+def _scored(
+    docs: DataFrame, labels: DataFrame, sample_rows: int, threshold: float, more: list[str]
+) -> DataFrame:
+    """``score`` with the columns ``more`` of ``docs``."""
     taken = training_labels(labels, "toxic", FOLDS, FOLD_OUT, sample_rows)
     sample = joined(docs.select("doc_id", F.col("text").cast("string").alias("text")), taken)
     lexicons = [Lexicon("insults", tuple(INSULTS)), Lexicon("scorn", tuple(SCORN))]
     lexicons += mine_lexicons(materialize(sample.select("text", "label"), "labelled-texts"))
-    rows, voters = _votes(docs, lexicons)
+    rows, voters = _votes(docs, lexicons, more)
     rows = materialize(rows, "votes")
     # The number of different patterns is bounded by the number of voters.
     measures = ["m_hits", "m_share"]
@@ -174,6 +182,7 @@ def score(
     value = 1 / (1 + F.exp(-linear))
     return rows.select(
         "doc_id",
+        *more,
         held_out(FOLDS, FOLD_OUT).alias("held_out"),
         value.alias("score"),
         (value >= threshold).cast("int").alias("predicted"),
@@ -195,8 +204,10 @@ def _fit(patterns: list, voters: list[str], measures: list[str]) -> np.ndarray:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic. Rows that share an id go together; rows
-    without id stay, as nothing tells them apart."""
-    toxic = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("toxic_id"))
-    toxic = small_side(materialize(toxic.distinct(), "toxic-ids"))
-    return docs.join(toxic, F.col("doc_id") == F.col("toxic_id"), "left_anti")
+    """``docs`` without the rows predicted toxic. Rows are told apart by their text, which alone
+    decides the score."""
+    texts = docs.select("doc_id", "text", text_digest().alias("digest"))
+    found = _scored(texts, labels, SAMPLE_ROWS, THRESHOLD, ["digest"])
+    toxic = found.where("predicted = 1").select(F.col("digest").alias("toxic"))
+    toxic = small_side(materialize(toxic.distinct(), "toxic-texts"))
+    return docs.join(toxic, text_digest() == F.col("toxic"), "left_anti")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from sievemark.llm import secret_scan, toxicity
+from sievemark.llm import decontaminate, secret_scan, simhash, toxicity
 from sievemark.session import scratch_path
 from tests.llm.fixtures import LONG, awkward, documents, prose
 from tests.llm.test_decontaminate import brute as leaks
@@ -85,3 +85,37 @@ def test_stages(spark):
 def test_empty_tables(spark):
     path = tables(spark, [], [], [])
     assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    clean = [prose(rng, 60) for _ in range(6)]
+    copy, lone = prose(rng, 60), prose(rng, 60)
+    item = prose(rng, 20)
+    leak = f"{prose(rng, 40)} {item} {prose(rng, 9)}"
+    toxic = [f"{prose(rng, 30)} {INSULT} {prose(rng, 20)}" for _ in range(20)]
+
+    def texts(df):
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.collect())
+
+    # The second text of id 5 is a copy of that of id 2; null ids copy id 2 and each other.
+    near_rows = [(2, copy), (5, clean[0]), (5, copy), (None, copy), (None, clean[1]), (None, lone), (None, lone)]
+    near_rows += [(7, clean[2]), (7, clean[2]), (7, clean[3])]
+    kept = simhash.keep_one(documents(spark, [(i, t, "s") for i, t in near_rows]))
+    assert texts(kept) == sorted(
+        [(2, copy), (5, clean[0]), (-1, clean[1]), (-1, lone), (7, clean[2]), (7, clean[3])]
+    )
+
+    leak_rows = [(None, leak), (None, clean[0]), (3, leak), (3, clean[1])]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.reject(documents(spark, [(i, t, "s") for i, t in leak_rows]), benchmark)
+    assert texts(kept) == sorted([(-1, clean[0]), (3, clean[1])])
+
+    toxic_rows = [(300 + i, t) for i, t in enumerate(toxic[:-2])] + [(i, t) for i, t in enumerate(clean)]
+    marks = [(i, 1, int(i >= 300)) for i, _ in toxic_rows]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    # The same words as in labelled texts, so that no cue found by chance is in them.
+    other = [" ".join(reversed(t.split())) for t in clean[:2]]
+    toxic_rows += [(None, toxic[-1]), (None, other[0]), (900, toxic[-2]), (900, other[1])]
+    kept = toxicity.reject(documents(spark, [(i, t, "s") for i, t in toxic_rows]), labels)
+    assert texts(kept) == sorted([(i, t) for i, t in enumerate(clean)] + [(-1, other[0]), (900, other[1])])
