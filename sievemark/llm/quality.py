@@ -22,7 +22,7 @@ from sievemark.session import materialize
 
 FOLDS, FOLD_OUT = 5, 0
 THRESHOLD = 0.3
-TREES, DEPTH, MOST_RULES = 24, 3, 200
+TREES, DEPTH = 24, 3
 LASSO = 0.002
 SEED = 42
 
@@ -127,7 +127,7 @@ def fit_rules(sample: DataFrame) -> tuple[list[tuple[Rule, float]], float]:
     ).fit(data)
     rules = tree_rules(forest.toDebugString)
     shares = sample.agg(*[F.avg(rule_column(r)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    rules = [r for i, r in enumerate(rules) if 0.005 < shares[f"r{i}"] < 0.995][:MOST_RULES]
+    rules = [r for i, r in enumerate(rules) if 0.005 < shares[f"r{i}"] < 0.995]
     if not rules:
         return [], 2.0 if 2 * ones > n else -2.0
     columns = [rule_column(r).alias(f"r{i}") for i, r in enumerate(rules)]

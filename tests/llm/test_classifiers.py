@@ -97,3 +97,17 @@ def test_rules_are_read_from_printed_trees():
     assert quality.tree_rules(text) == sorted([
         ((a, "<=", 2.5),), ((a, "<=", 2.5), (b, "<=", 0.5)), ((a, "<=", 2.5), (b, ">", 0.5)), ((a, ">", 2.5),),
     ])
+
+
+def test_rules_over_the_last_statistic_reach_the_lasso(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    first, last = min(quality.STATISTICS), max(quality.STATISTICS)
+    values = rng.random((400, len(quality.STATISTICS)))
+    place = quality.STATISTICS.index(last)
+    rows = [(*map(float, v), int(v[place] > 0.5)) for v in values]
+    sample = spark.createDataFrame(rows, [*quality.STATISTICS, "label"])
+    tells = ((last, ">", 0.5),)
+    noise = [((first, "<=", 0.1 + 0.8 * i / 230),) for i in range(230)]
+    monkeypatch.setattr(quality, "tree_rules", lambda text: [*noise, tells])
+    kept, _ = quality.fit_rules(sample)
+    assert dict(kept).get(tells, 0) > 0
