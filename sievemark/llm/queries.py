@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontaminate, mixing, page_text, quality, repeats, secret_scan, simhash, sketch, toxicity, warc
+from sievemark.llm import (
+    decontaminate,
+    merkle,
+    mixing,
+    page_text,
+    quality,
+    repeats,
+    secret_scan,
+    simhash,
+    sketch,
+    toxicity,
+    warc,
+)
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +181,99 @@ def op2_page_text(spark, sf_dir):
 def op7_repeats(spark, sf_dir):
     """Every document without passages that smaller documents have."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """Manifest rows of ``docs`` in which every fifth row, by the hash of its id, is tampered with."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lowered = [F.col(c) if c != "text" else F.translate("text", CAPITALS, SMALL) for c in LEAF_FIELDS]
+    claimed = F.when(tampered, merkle.leaf(*lowered))
+    rows = merkle.manifest(docs, LEAF_FIELDS, carry={"claimed": claimed})
+    folded = merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof"))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings_text(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register
+def op13_merkle(spark, sf_dir):
+    """Leaf, roots and checked proof of every document."""
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql() -> str:
+    """Levels written out: five of leaves (a million a source), three of sources."""
+
+    def framed(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(framed(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str, many: int) -> str:
+        """Tables name1, name2, ... above name0 (k, i, n, h)."""
+        return "".join(
+            f"""), {name}{j} AS (
+  SELECT k, i // 16 AS i, max(n) AS n,
+    CASE WHEN max(n) > {16 ** (j - 1)} THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+  FROM {name}{j - 1} GROUP BY k, i // 16
+"""
+            for j in range(1, many + 1)
+        )
+
+    def beside(name: str, many: int) -> str:
+        """Tables name_b0, ...: digests before and after each node in its run; null if no level."""
+        run = "PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN"
+        return "".join(
+            f"""), {name}_b{j} AS (
+  SELECT k, i,
+    CASE WHEN n > {16**j} THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS b,
+    CASE WHEN n > {16**j} THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS a
+  FROM {name}{j}
+"""
+            for j in range(many)
+        )
+
+    def crc(value: str) -> str:
+        """CRC-32 of ASCII text, bit by bit."""
+        bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+        byte = f"lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {bit})"
+        codes = f"list_transform(string_split({value}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+        return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), 4294967295)"
+
+    steps, before = [], "f0"
+    on_levels = [f"l_b{j} x ON x.k = f.k AND x.i = f.i // {16**j}" for j in range(5)]
+    on_levels += [f"s_b{j} x ON x.i = f.si // {16**j}" for j in range(3)]
+    for j, on in enumerate(on_levels, 1):
+        steps.append(f"""), f{j} AS (
+  SELECT f.* EXCLUDE (found, proof), coalesce(sha256(x.b || found || x.a), found) AS found,
+    proof || coalesce(x.b || x.a, '') AS proof
+  FROM {before} f JOIN {on}
+""")
+        before = f"f{j}"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS k, {leaf("text")} AS h,
+    {leaf(f"translate(text, '{CAPITALS}', '{SMALL}')")} AS lowered
+  FROM documents
+), l0 AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+    count(*) OVER (PARTITION BY k) AS n FROM d
+{levels("l", 5)}), s0 AS (
+  SELECT 0 AS k, k AS name, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n, h FROM l5
+{levels("s", 3)}{beside("l", 5)}{beside("s", 3)}), f0 AS (
+  SELECT l0.*, s0.i AS si, s0.h AS subroot, s3.h AS root, '' AS proof,
+    CASE WHEN {crc("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN lowered ELSE l0.h END AS found
+  FROM l0 JOIN s0 ON s0.name = l0.k CROSS JOIN s3
+{"".join(steps)})
+SELECT doc_id, h AS leaf, subroot, root, sha256(proof) AS proof_sha256, found AS folded_root, found = root AS verified
+FROM {before}
+"""
+
+
+ORACLE_SQL["op13_merkle"] = _merkle_sql()
