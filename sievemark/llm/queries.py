@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import (
+    bpe,
     decontaminate,
     merkle,
     mixing,
@@ -277,3 +279,21 @@ FROM {before}
 
 
 ORACLE_SQL["op13_merkle"] = _merkle_sql()
+
+
+def bpe_rows(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of the ids of every document and of the text that they decode to."""
+    vocabulary = bpe.read_vocabulary(path)
+    coded = docs.select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
+@register
+def op12_bpe(spark, sf_dir):
+    """Token ids of every document, and back."""
+    return bpe_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
