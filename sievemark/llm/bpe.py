@@ -16,6 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,6 +32,9 @@ KNOWN_LENGTH = 100
 # Largest vocabulary file that is sent with tasks.
 MOST_BYTES = 64_000_000
 
+# Rows that are decoded at once.
+ROWS = 500
+
 NEVER = 1 << 60
 
 # The normalizer and splitting that this reader stands for, as vocabulary files name them.
@@ -66,26 +70,38 @@ def _byte_letters() -> list[str]:
 LETTERS = _byte_letters()
 
 
-def merged_by_scan(word: str, symbols: int, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Parts of ``word``, whose last symbol may be longer than one letter."""
-    bounds = [*range(symbols), len(word)]
+class Merges(dict):
+    """Rank by merged string, and by rank the length of the left part. A pair is a merge if the
+    string of both has a rank and is cut at that length."""
 
-    def rank(i: int) -> int:
-        middle = bounds[i + 1]
-        return ranks.get((word[bounds[i] : middle], word[middle : bounds[i + 2]]), NEVER)
+    def __init__(self, pairs: list[list[str]]) -> None:
+        super().__init__((left + right, rank) for rank, (left, right) in enumerate(pairs))
+        if len(self) < len(pairs):
+            raise ValueError("Two merges make one token")
+        self.cuts = [len(left) for left, _ in pairs]
 
-    near = [rank(i) for i in range(symbols - 1)]
+
+def merged_by_scan(word: str, symbols: int, ranks: Merges) -> list[str]:
+    """Parts of ``word``, whose last symbol may be longer than one letter."""
+    bounds, cuts, rank = [*range(symbols), len(word)], ranks.cuts, ranks.get
+    near = []
+    for i in range(symbols - 1):
+        found = rank(word[i : bounds[i + 2]], NEVER)
+        near.append(found if found == NEVER or cuts[found] == 1 else NEVER)
     while near and (lowest := min(near)) < NEVER:
         i = near.index(lowest)
         del bounds[i + 1], near[i]
+        start, middle = bounds[i], bounds[i + 1]
         if i < len(near):
-            near[i] = rank(i)
+            found = rank(word[start : bounds[i + 2]], NEVER)
+            near[i] = found if found == NEVER or cuts[found] == middle - start else NEVER
         if i:
-            near[i - 1] = rank(i - 1)
+            found = rank(word[bounds[i - 1] : middle], NEVER)
+            near[i - 1] = found if found == NEVER or cuts[found] == start - bounds[i - 1] else NEVER
     return [word[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def merged_by_heap(word: str, symbols: int, ranks: dict[tuple[str, str], int]) -> list[str]:
+def merged_by_heap(word: str, symbols: int, ranks: Merges) -> list[str]:
     """The same parts for long words: ranks in a heap, boundaries as a linked list."""
     after = [*range(1, symbols), len(word)]
     before = [*range(-1, symbols - 1)]
@@ -95,8 +111,8 @@ def merged_by_heap(word: str, symbols: int, ranks: dict[tuple[str, str], int]) -
         middle = after[start]
         if middle < len(word):
             end = after[middle]
-            found = ranks.get((word[start:middle], word[middle:end]))
-            if found is not None:
+            found = ranks.get(word[start:end])
+            if found is not None and ranks.cuts[found] == middle - start:
                 heapq.heappush(heap, (found, start, middle, end))
 
     for start in range(symbols):
@@ -137,7 +153,7 @@ class WordBpe(dict):
             raise ValueError("This vocabulary asks for steps that are not built here")
         self.end = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
+        self.ranks = Merges(model["merges"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
@@ -181,12 +197,18 @@ def read_vocabulary(path: str) -> bytes:
     return content
 
 
+@lru_cache(maxsize=1)
+def _loaded(vocabulary: bytes) -> WordBpe:
+    """The vocabulary, with the words met so far, for all tasks that one worker runs."""
+    return WordBpe(vocabulary)
+
+
 def encode(text: Column, vocabulary: bytes) -> Column:
     """Ids of every whole text, ``array<int>``. Null and empty texts, and texts of white space
     alone, have none. Equal texts have equal ids; texts of any length are taken whole."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordBpe(vocabulary)
+        words = _loaded(vocabulary)
         for batch in batches:
             found = [words.encode(t.as_py()) for t in batch]
             ends = np.cumsum([0, *map(len, found)])
@@ -196,22 +218,28 @@ def encode(text: Column, vocabulary: bytes) -> Column:
     return F.arrow_udf(run, "array<int>")(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _joined(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, with spaces between."""
+    flat = pc.list_flatten(lists)
+    within = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+    strings = tokens.take(pc.if_else(within, flat, None))
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+    found = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), strings)
+    if strings.null_count:
+        found = pa.array([[t for t in x if t is not None] for x in found.to_pylist()], found.type)
+    texts = pc.binary_join(found, pa.scalar(" ", pa.large_string()))
+    return pc.if_else(lists.is_valid(), texts, None).cast(pa.string())
+
+
 def decode(ids: Column, vocabulary: bytes) -> Column:
     """The tokens of ids, special ones too, with one space between them, as a vocabulary without a
     decoder gives them. Ids that are null or not in the vocabulary are left out; no ids give the
     empty text, a null list null."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(WordBpe(vocabulary).tokens(), pa.large_string())
+        tokens = pa.array(_loaded(vocabulary).tokens(), pa.large_string())
         for batch in batches:
-            flat = pc.list_flatten(batch)
-            within = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
-            strings = tokens.take(pc.if_else(within, flat, None))
-            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch), 0).to_pylist()])
-            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), strings)
-            if strings.null_count:
-                lists = pa.array([[t for t in x if t is not None] for x in lists.to_pylist()], lists.type)
-            texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-            yield pc.if_else(batch.is_valid(), texts, None).cast(pa.string())
+            pieces = [_joined(batch.slice(i, ROWS), tokens) for i in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
 
     return F.arrow_udf(run, "string")(ids)

@@ -73,7 +73,8 @@ def test_scan_and_heap_agree():
     rng = random.Random(7)
     for _ in range(300):
         syllables = ["".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(30)]
-        ranks = {(rng.choice(syllables), rng.choice(syllables)): r for r in range(200)}
+        pairs = {a + b: [a, b] for a, b in zip(rng.choices(syllables, k=200), rng.choices(syllables, k=200))}
+        ranks = bpe.Merges(list(pairs.values()))
         word = "".join(rng.choices("abc", k=rng.randint(1, 40)))
         assert bpe.merged_by_scan(word + "$", len(word), ranks) == bpe.merged_by_heap(word + "$", len(word), ranks)
 
