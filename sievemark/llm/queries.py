@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm import (
     bpe,
+    collocations,
     decontaminate,
     merkle,
     mixing,
@@ -297,3 +298,53 @@ def bpe_rows(docs: DataFrame, path: str) -> DataFrame:
 def op12_bpe(spark, sf_dir):
     """Token ids of every document, and back."""
     return bpe_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op11_collocations(spark, sf_dir):
+    """The best phrases of two and three words in every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p
+), g AS (
+  SELECT lang, size, w[i:i+size-1] AS words FROM (
+    SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+    FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+), f AS (
+  SELECT lang, size, words, count(*) AS f FROM g GROUP BY lang, size, words
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, words, size, f, unnest(generate_series(1, size - 1)) AS k FROM c
+), scored AS (
+  SELECT c.lang, c.words, c.f AS a, c.k, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.words = c.words[1:c.k]
+  JOIN f y ON y.lang = c.lang AND y.words = c.words[c.k+1:c.size]
+), best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM scored) WHERE place = 1
+), part AS (
+  SELECT lang, words[1:2] AS words, f FROM c WHERE size = 3
+  UNION ALL SELECT lang, words[2:3], f FROM c WHERE size = 3
+), longer AS (
+  SELECT lang, words, max(f) AS f FROM part GROUP BY lang, words
+), kept AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, b.a, b.l, b.r, CAST(b.score AS BIGINT) AS score
+  FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.words = b.words
+  WHERE o.f IS NULL OR 100 * o.f < 50 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
