@@ -1,12 +1,13 @@
 """Byte-pair encoding of words with word ends, and its decoding.
 
-A word holds its part boundaries and, beside them, the merge ranks of adjacent parts in one
-contiguous list. The list is scanned for its minimum, the boundary there goes, and the ranks on both
-sides are looked up anew, until no rank is left. Scanning is quadratic, so it serves words of up to
-``SHORT`` symbols; longer ones keep the same ranks in a heap and give the same parts.
+A word holds its parts and, beside them, the merge ranks of adjacent parts in one contiguous array.
+The array is scanned for its minimum, the boundary there goes, and the ranks on both sides are
+looked up anew, until no rank is left. Words of equal length are the rows of one matrix, as each of
+them loses one boundary per step. Scanning is quadratic, so it serves words of up to ``SHORT``
+bytes; longer ones keep the same ranks in a heap and give the same parts.
 
 The vocabulary file is read once, by the driver, and sent with the tasks; its size is checked. Every
-task remembers the ids of up to ``KNOWN_WORDS`` words, whatever the size of the input.
+task remembers the ids of about ``KNOWN_WORDS`` words, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,12 +28,13 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 SHORT = 64
 KNOWN_WORDS = 300_000
-KNOWN_LENGTH = 100
 # Largest vocabulary file that is sent with tasks.
 MOST_BYTES = 64_000_000
 
-# Rows that are decoded at once.
+# Rows that are encoded or decoded at once.
 ROWS = 500
+# Bits of an id in the key of a pair.
+PAIR_BITS = 24
 
 NEVER = 1 << 60
 
@@ -70,73 +71,77 @@ def _byte_letters() -> list[str]:
 LETTERS = _byte_letters()
 
 
-class Merges(dict):
-    """Rank by merged string, and by rank the length of the left part. A pair is a merge if the
-    string of both has a rank and is cut at that length."""
-
-    def __init__(self, pairs: list[list[str]]) -> None:
-        super().__init__((left + right, rank) for rank, (left, right) in enumerate(pairs))
-        if len(self) < len(pairs):
-            raise ValueError("Two merges make one token")
-        self.cuts = [len(left) for left, _ in pairs]
-
-
-def merged_by_scan(word: str, symbols: int, ranks: Merges) -> list[str]:
-    """Parts of ``word``, whose last symbol may be longer than one letter."""
-    bounds, cuts, rank = [*range(symbols), len(word)], ranks.cuts, ranks.get
-    near = []
-    for i in range(symbols - 1):
-        found = rank(word[i : bounds[i + 2]], NEVER)
-        near.append(found if found == NEVER or cuts[found] == 1 else NEVER)
-    while near and (lowest := min(near)) < NEVER:
-        i = near.index(lowest)
-        del bounds[i + 1], near[i]
-        start, middle = bounds[i], bounds[i + 1]
-        if i < len(near):
-            found = rank(word[start : bounds[i + 2]], NEVER)
-            near[i] = found if found == NEVER or cuts[found] == middle - start else NEVER
-        if i:
-            found = rank(word[bounds[i - 1] : middle], NEVER)
-            near[i - 1] = found if found == NEVER or cuts[found] == start - bounds[i - 1] else NEVER
-    return [word[a:b] for a, b in zip(bounds, bounds[1:])]
-
-
-def merged_by_heap(word: str, symbols: int, ranks: Merges) -> list[str]:
-    """The same parts for long words: ranks in a heap, boundaries as a linked list."""
-    after = [*range(1, symbols), len(word)]
-    before = [*range(-1, symbols - 1)]
+def merged_by_scan(parts: np.ndarray, ranks_of: Callable, merged: np.ndarray) -> list[list[int]]:
+    """Ids of the parts that each row of first parts is merged to.
+
+    Args:
+        parts: one word per row, all of the same number of parts.
+        ranks_of: rank of the pairs of two arrays of ids, ``NEVER`` if they do not merge.
+        merged: by rank, the id of the merged part.
+    """
+    out: list[list[int]] = [[]] * len(parts)
+    rows = np.arange(len(parts))
+    ranks = ranks_of(parts[:, :-1], parts[:, 1:])
+    while ranks.shape[1]:
+        at = ranks.argmin(axis=1)
+        lowest = ranks[np.arange(len(at)), at]
+        open_ = lowest < NEVER
+        if not open_.all():
+            for row, ids in zip(rows[~open_].tolist(), parts[~open_].tolist()):
+                out[row] = ids
+            rows, parts, ranks, at, lowest = (x[open_] for x in (rows, parts, ranks, at, lowest))
+        width = ranks.shape[1]
+        each, columns = np.arange(len(at)), np.arange(width)
+        parts = np.take_along_axis(parts, columns + (columns > at[:, None]), 1)
+        parts[each, at] = merged[lowest]
+        columns = columns[:-1]
+        ranks = np.take_along_axis(ranks, columns + (columns >= at[:, None]), 1)
+        for near in (at - 1, at):
+            row = each[(near >= 0) & (near < width - 1)]
+            place = near[row]
+            ranks[row, place] = ranks_of(parts[row, place], parts[row, place + 1])
+    for row, ids in zip(rows.tolist(), parts.tolist()):
+        out[row] = ids
+    return out
+
+
+def merged_by_heap(parts: list[int], ranks: dict[int, int], merged: np.ndarray) -> list[int]:
+    """The same for one long word: ranks by pair in a heap, boundaries as a linked list."""
+    n = len(parts)
+    parts, after, before = list(parts), [*range(1, n + 1)], [*range(-1, n - 1)]
     heap = []
 
-    def offer(start: int) -> None:
-        middle = after[start]
-        if middle < len(word):
-            end = after[middle]
-            found = ranks.get(word[start:end])
-            if found is not None and ranks.cuts[found] == middle - start:
-                heapq.heappush(heap, (found, start, middle, end))
+    def offer(left: int) -> None:
+        right = after[left]
+        if right < n:
+            rank = ranks.get(parts[left] << PAIR_BITS | parts[right])
+            if rank is not None:
+                heapq.heappush(heap, (rank, left, right, parts[left], parts[right]))
 
-    for start in range(symbols):
-        offer(start)
+    for left in range(n):
+        offer(left)
     while heap:
-        _, start, middle, end = heapq.heappop(heap)
-        if after[start] != middle or middle == len(word) or after[middle] != end:
+        rank, left, right, *pair = heapq.heappop(heap)
+        if after[left] != right or [parts[left], parts[right]] != pair:
             continue
-        after[start] = end
-        after[middle] = -1
-        if end < len(word):
-            before[end] = start
-        offer(start)
-        if before[start] >= 0:
-            offer(before[start])
-    parts, start = [], 0
-    while start < len(word):
-        parts.append(word[start : after[start]])
-        start = after[start]
-    return parts
-
-
-class WordBpe(dict):
-    """A vocabulary; as a dictionary, the ids of words met so far."""
+        parts[left] = int(merged[rank])
+        parts[right] = -1
+        after[left] = after[right]
+        after[right] = -1
+        if after[left] < n:
+            before[after[left]] = left
+        offer(left)
+        if before[left] >= 0:
+            offer(before[left])
+    out, left = [], 0
+    while left < n:
+        out.append(parts[left])
+        left = after[left]
+    return out
+
+
+class WordBpe:
+    """A vocabulary and the ids of words met so far."""
 
     def __init__(self, content: bytes) -> None:
         spec = json.loads(content)
@@ -151,34 +156,58 @@ class WordBpe(dict):
         )
         if not known:
             raise ValueError("This vocabulary asks for steps that are not built here")
-        self.end = model["end_of_word_suffix"]
-        self.vocab = model["vocab"]
-        self.ranks = Merges(model["merges"])
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.vocab = vocab
+        self.inner = np.array([vocab[c] for c in LETTERS], np.int64)
+        self.last = np.array([vocab[c + end] for c in LETTERS], np.int64)
+        merges = [(vocab[a] << PAIR_BITS | vocab[b], vocab[a + b]) for a, b in model["merges"]]
+        self.ranks = {pair: rank for rank, (pair, _) in enumerate(merges)}
+        self.merged = np.array([m for _, m in merges], np.int64)
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.by_pair = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        letters = "".join([LETTERS[b] for b in word.encode()])
-        merge = merged_by_scan if len(letters) <= SHORT else merged_by_heap
-        parts = merge(letters + self.end, len(letters), self.ranks)
-        ids = tuple([self.vocab[p] for p in parts])
-        if len(word) <= KNOWN_LENGTH:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def _plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.__getitem__, words_of(text)))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of ``text``; the strings of added tokens are those tokens."""
-        if not self.added or not self.marks.search(text):
-            return np.fromiter(self._plain(text), np.int32)
-        pieces = self.marks.split(text)
-        ids = (self._plain(p) if i % 2 == 0 else [self.added[p]] for i, p in enumerate(pieces))
-        return np.fromiter(chain.from_iterable(ids), np.int32)
+        self.known: dict[str, list[int]] = {}
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left << PAIR_BITS | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.by_pair[at], NEVER)
+
+    def _learn(self, words: list[str]) -> None:
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            letters = word.encode()
+            by_length.setdefault(len(letters), []).append((word, letters))
+        for length, group in by_length.items():
+            letters = np.frombuffer(b"".join([x for _, x in group]), np.uint8).reshape(-1, length)
+            parts = self.inner[letters]
+            parts[:, -1] = self.last[letters[:, -1]]
+            if length <= SHORT:
+                ids = merged_by_scan(parts, self.ranks_of, self.merged)
+            else:
+                ids = [merged_by_heap(p, self.ranks, self.merged) for p in parts.tolist()]
+            self.known.update(zip([w for w, _ in group], ids))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; the strings of added tokens are those tokens."""
+        split = [self.marks.split(t) if self.added else [t] for t in texts]
+        words = [[words_of(p) if i % 2 == 0 else p for i, p in enumerate(pieces)] for pieces in split]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        met = set(chain.from_iterable(chain.from_iterable(w[::2] for w in words)))
+        new = [w for w in met if w not in self.known]
+        self._learn(new)
+        ids = self.known.__getitem__
+        out = []
+        for pieces in words:
+            runs = ([self.added[p]] if isinstance(p, str) else chain.from_iterable(map(ids, p)) for p in pieces)
+            out.append(np.fromiter(chain.from_iterable(runs), np.int32))
+        for word in new:
+            if len(word) > SHORT:
+                del self.known[word]
+        return out
 
     def tokens(self) -> list[str | None]:
         """The string of every id; null for ids that are not in use."""
@@ -197,20 +226,16 @@ def read_vocabulary(path: str) -> bytes:
     return content
 
 
-@lru_cache(maxsize=1)
-def _loaded(vocabulary: bytes) -> WordBpe:
-    """The vocabulary, with the words met so far, for all tasks that one worker runs."""
-    return WordBpe(vocabulary)
-
-
 def encode(text: Column, vocabulary: bytes) -> Column:
     """Ids of every whole text, ``array<int>``. Null and empty texts, and texts of white space
     alone, have none. Equal texts have equal ids; texts of any length are taken whole."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = _loaded(vocabulary)
+        words = WordBpe(vocabulary)
         for batch in batches:
-            found = [words.encode(t.as_py()) for t in batch]
+            found = []
+            for i in range(0, len(batch), ROWS):
+                found += words.encode(batch.slice(i, ROWS).to_pylist())
             ends = np.cumsum([0, *map(len, found)])
             ids = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
@@ -237,7 +262,7 @@ def decode(ids: Column, vocabulary: bytes) -> Column:
     empty text, a null list null."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(_loaded(vocabulary).tokens(), pa.large_string())
+        tokens = pa.array(WordBpe(vocabulary).tokens(), pa.large_string())
         for batch in batches:
             pieces = [_joined(batch.slice(i, ROWS), tokens) for i in range(0, len(batch), ROWS)]
             yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())

@@ -3,6 +3,7 @@ import json
 import random
 import unicodedata
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -62,29 +63,43 @@ def test_query_rows(spark, library):
 def test_long_words(library):
     rng = random.Random(6)
     words = bpe.WordBpe(bpe.read_vocabulary(PATH))
-    for n in (1, 2, 63, 64, 65, 66, 500, 3000):
-        for letters in ("ab", "thein", "!", "中文é", "aeioutnrsl"):
-            text = "".join(rng.choices(letters, k=n))
-            assert words.encode(text).tolist() == expected(library, text)[0]
-    assert len(words.encode("ab" * 300_000)) == len(expected(library, "ab" * 300_000)[0])
+    texts = [
+        "".join(rng.choices(letters, k=n))
+        for n in (1, 2, 63, 64, 65, 66, 500, 3000)
+        for letters in ("ab", "thein", "!", "中文é", "aeioutnrsl")
+    ]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == expected(library, text)[0]
+    assert len(words.encode(["ab" * 300_000])[0]) == len(expected(library, "ab" * 300_000)[0])
+    assert max(map(len, words.known)) <= bpe.SHORT
 
 
 def test_scan_and_heap_agree():
     rng = random.Random(7)
-    for _ in range(300):
-        syllables = ["".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(30)]
-        pairs = {a + b: [a, b] for a, b in zip(rng.choices(syllables, k=200), rng.choices(syllables, k=200))}
-        ranks = bpe.Merges(list(pairs.values()))
-        word = "".join(rng.choices("abc", k=rng.randint(1, 40)))
-        assert bpe.merged_by_scan(word + "$", len(word), ranks) == bpe.merged_by_heap(word + "$", len(word), ranks)
+    for _ in range(60):
+        pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(60)}
+        ranks = {a << bpe.PAIR_BITS | b: r for r, (a, b) in enumerate(pairs)}
+        merged = np.array([rng.randrange(12) for _ in ranks])
+        ranks_of = np.vectorize(lambda a, b: ranks.get(int(a) << bpe.PAIR_BITS | int(b), bpe.NEVER), otypes=[np.int64])
+        parts = np.array([[rng.randrange(5) for _ in range(9)] for _ in range(30)])
+        want = [bpe.merged_by_heap(p, ranks, merged) for p in parts.tolist()]
+        assert bpe.merged_by_scan(parts, ranks_of, merged) == want
+        for p, ids in zip(parts.tolist(), want):
+            while True:
+                found = [(ranks.get(a << bpe.PAIR_BITS | b, bpe.NEVER), i) for i, (a, b) in enumerate(zip(p, p[1:]))]
+                if not found or min(found)[0] == bpe.NEVER:
+                    break
+                rank, i = min(found)
+                p[i : i + 2] = [int(merged[rank])]
+            assert p == ids
 
 
 def test_known_words_are_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
     words = bpe.WordBpe(bpe.read_vocabulary(PATH))
-    text = "one two three four five six one two " + "x" * 200
-    assert words.encode(text).tolist() == expected(library, text)[0]
-    assert len(words) <= 3
+    for text in ("one two three four", "five six one two " + "x" * 200, "six seven", ""):
+        assert words.encode([text])[0].tolist() == expected(library, text)[0]
+        assert len(words.known) <= 7
 
 
 def test_decode_takes_any_ids(spark):
