@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
 from sievemark.functions.strings import strip
 
 WS = r"[\s\x1C-\x1F]"
@@ -164,18 +165,19 @@ def clean_description(df: DataFrame, column: str) -> DataFrame:
     more than once would otherwise repeat all steps before it.
     """
     order = df.columns
-    c, step = F.col(column), F.col("clean_step")
-    out = df.withColumn("clean_step", F.when(c.rlike(HTML_TAG), strip_tags(c)))
-    out = out.withColumn("clean_step", F.coalesce(join_nodes(decode_entities(step)), c))
+    (name,) = unused(order, "clean_step")
+    c, step = F.col(column), F.col(name)
+    out = df.withColumn(name, F.when(c.rlike(HTML_TAG), strip_tags(c)))
+    out = out.withColumn(name, F.coalesce(join_nodes(decode_entities(step)), c))
     out = out.drop(column)
     for texts, pattern, to in MARKS:
         occurs = reduce(Column.__or__, [F.contains(step, F.lit(t)) for t in texts])
         out = out.withColumn(
-            "clean_step", F.when(occurs, F.regexp_replace(step, pattern, to)).otherwise(step)
+            name, F.when(occurs, F.regexp_replace(step, pattern, to)).otherwise(step)
         )
-    out = out.withColumn("clean_step", flatten_lines(step))
+    out = out.withColumn(name, flatten_lines(step))
     # A generated column: later filters on it stay above it and do not clean twice.
     collapsed = F.when(
         F.contains(step, F.lit("  ")), F.regexp_replace(step, r" {2,}", " ")
     ).otherwise(step)
-    return out.withColumn(column, F.explode(F.array(collapsed))).select(*order)
+    return out.withColumn(column, F.explode(F.array(collapsed))).select(*[F.col(f"`{c}`") for c in order])

@@ -1,13 +1,30 @@
-"""Model labels from file paths and loose model ids."""
+"""Model labels from file paths, loose model ids, and names for columns of our own."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievemark.functions.strings import empty_if_null, strip
 
 
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The ``wanted`` names, each with as many ``_`` behind it as tells it from all ``columns``.
+
+    For columns that an operator adds for its own use: whatever the caller's are called, none is
+    overwritten, dropped or ambiguous. Names are compared without case, as Spark does."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def model_name_from_path(path: Column) -> Column:
     """``.../embeddings_title_summary_1000_768d_v2.pkl`` -> ``title_summary_768d``."""
     name = F.substring_index(path, "/", -1)

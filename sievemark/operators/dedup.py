@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
+
 
 def key_hash(columns: Sequence[str]) -> Column:
     """SHA-256 of the key columns; null differs from '' and parts cannot run together."""
@@ -26,12 +28,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     filter becomes a group limit), so a key held by a third of the table still sends
     only one row per task. The keys travel as a fixed-size hash.
     """
-    first = Window.partitionBy("key_hash").orderBy(*order)
+    hashed, place = unused(df.columns, "key_hash", "place")
+    first = Window.partitionBy(hashed).orderBy(*order)
     return (
-        df.withColumn("key_hash", key_hash(keys))
-        .withColumn("place", F.row_number().over(first))
-        .where("place = 1")
-        .drop("key_hash", "place")
+        df.withColumn(hashed, key_hash(keys))
+        .withColumn(place, F.row_number().over(first))
+        .where(F.col(place) == 1)
+        .drop(hashed, place)
     )
 
 

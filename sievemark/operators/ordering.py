@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.constants import SHUFFLE_SEED
+from sievemark.functions.names import unused
 from sievemark.functions.strings import empty_if_null
 
 ORDER_COL = "order_key"
@@ -23,17 +24,19 @@ def order_key(id_col: str, seed: int = SHUFFLE_SEED) -> Column:
 
 
 def with_order_key(df: DataFrame, id_col: str, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """``df`` with the order key as a column of that name, which a caller may order by."""
     return df.withColumn(ORDER_COL, order_key(id_col, seed))
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = SHUFFLE_SEED) -> DataFrame:
     """All rows in seeded order (a distributed range sort)."""
-    return with_order_key(df, id_col, seed).orderBy(ORDER_COL, id_col).drop(ORDER_COL)
+    (key,) = unused(df.columns, ORDER_COL)
+    return df.withColumn(key, order_key(id_col, seed)).orderBy(key, id_col).drop(key)
 
 
-def _bucket_offsets(keyed: DataFrame) -> DataFrame:
+def _bucket_offsets(buckets: DataFrame) -> DataFrame:
     """(bucket, n_rows, offset, n_total): at most 16**BUCKET_DIGITS rows."""
-    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n_rows"))
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n_rows"))
     # One task, but over bucket counts only, whose number is fixed.
     everything = Window.partitionBy(F.lit(0))
     before = everything.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,29 +60,27 @@ def with_position(
     With ``start``/``end`` only rows in ``[start, end)`` come back, and buckets wholly
     outside are dropped before the shuffle. Reads ``df`` twice, the first time for
     ids only, so hand it a stored table and not a long plan. Ids must be unique
-    (``dedup.duplicate_ids`` checks that): rows of one id have no order among them.
+    (``dedup.duplicate_ids`` checks that): rows of one id have no order among them. Columns of
+    ``df`` that have the two names are replaced, all others stay.
     """
-    keyed = with_order_key(df, id_col, seed).withColumn(
-        "bucket", F.substring(ORDER_COL, 1, BUCKET_DIGITS)
-    )
-    return _number(keyed, id_col, start, end)
-
-
-def _number(keyed: DataFrame, id_col: str, start: int | None, end: int | None) -> DataFrame:
-    offsets = _bucket_offsets(keyed)
+    key, bucket, counted, offset = unused(df.columns, ORDER_COL, "bucket", "counted", "offset")
+    keyed = df.drop("position", "n_total").withColumn(key, order_key(id_col, seed))
+    keyed = keyed.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
+    offsets = _bucket_offsets(keyed.select(F.col(bucket).alias("bucket")))
     if start is not None:
         offsets = offsets.where(F.col("offset") + F.col("n_rows") > start)
     if end is not None:
         offsets = offsets.where(F.col("offset") < end)
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(ORDER_COL, id_col))
-    out = keyed.join(F.broadcast(offsets), "bucket").withColumn(
-        "position", F.col("offset") + place - 1
-    )
+    offsets = offsets.select(F.col("bucket").alias(counted), F.col("offset").alias(offset), "n_total")
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(key, id_col))
+    out = keyed.join(F.broadcast(offsets), F.col(bucket) == F.col(counted))
+    out = out.withColumn("position", F.col(offset) + place - 1)
     if start is not None:
         out = out.where(F.col("position") >= start)
     if end is not None:
         out = out.where(F.col("position") < end)
-    return out.drop("bucket", "n_rows", "offset", ORDER_COL)
+    rest = [c for c in df.columns if c.lower() not in ("position", "n_total")]
+    return out.select(*[F.col(f"`{c}`") for c in rest], "n_total", "position")
 
 
 def slice_rows(
@@ -93,8 +94,8 @@ def first_rows(df: DataFrame, id_col: str, n: int, seed: int = SHUFFLE_SEED) ->
     """First ``n`` rows of the seeded order, in that order.
 
     One pass: each task keeps its first ``n`` rows and the driver's plan merges those."""
-    keyed = with_order_key(df, id_col, seed)
-    return keyed.orderBy(ORDER_COL, id_col).limit(n).drop(ORDER_COL)
+    (key,) = unused(df.columns, ORDER_COL)
+    return df.withColumn(key, order_key(id_col, seed)).orderBy(key, id_col).limit(n).drop(key)
 
 
 def with_batch(df: DataFrame, id_col: str, size: int, seed: int = SHUFFLE_SEED) -> DataFrame:

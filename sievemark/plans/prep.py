@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from sievemark.constants import SHUFFLE_SEED
 from sievemark.functions.markup import clean_description
+from sievemark.functions.names import unused
 from sievemark.operators.dedup import keep_first, key_hash
 from sievemark.operators.filters import drop_blank
 from sievemark.operators.joins import broadcast_if_bounded
-from sievemark.operators.ordering import ORDER_COL, with_order_key
+from sievemark.operators.ordering import order_key
 
 
 def prep_postings(
@@ -29,22 +30,25 @@ def prep_postings(
     and keeps the dropped ones out of the exchange. With ``n`` the dedup and the order
     see (key hash, order key, id) only; the ``n`` rows that are left are then fetched.
     """
-    keyed = with_order_key(drop_blank(df, "description"), id_col, seed)
+    filled = drop_blank(df, "description")
+    place = order_key(id_col, seed)
     if n is None:
-        return keep_first(keyed, keys, [ORDER_COL, id_col]).drop(ORDER_COL)
-    hashed = keyed.withColumn("key_hash", key_hash(keys))
-    first = (
-        hashed.groupBy("key_hash")
-        .agg(F.min(F.struct(ORDER_COL, id_col)).alias("first"))
-        .select("key_hash", "first.*")
-        .orderBy(ORDER_COL, id_col)
+        return keep_first(filled, keys, [place, id_col])
+    order, hashed, first = unused(df.columns, "order_key", "key_hash", "first")
+    keyed = filled.withColumn(order, place).withColumn(hashed, key_hash(keys))
+    wanted = (
+        keyed.groupBy(hashed)
+        .agg(F.min(F.struct(order, id_col)).alias(first))
+        .select(hashed, f"{first}.*")
+        .orderBy(order, id_col)
         .limit(n)
     )
-    wanted = broadcast_if_bounded(first.drop(ORDER_COL), n)
-    same = (hashed["key_hash"] == wanted["key_hash"]) & hashed[id_col].eqNullSafe(wanted[id_col])
-    rows = hashed.join(wanted, same, "left_semi")
+    wanted = broadcast_if_bounded(wanted.drop(order), n)
+    same = (keyed[hashed] == wanted[hashed]) & keyed[id_col].eqNullSafe(wanted[id_col])
+    rows = keyed.join(wanted, same, "left_semi")
     # Of rows that repeat both id and key one stays; there are n keys at most.
-    return keep_first(rows, ["key_hash"], [ORDER_COL, id_col]).orderBy(ORDER_COL, id_col).select(*df.columns)
+    kept = keep_first(rows, [hashed], [order, id_col]).orderBy(order, id_col)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def clean_postings(
