@@ -390,6 +390,24 @@ def _sql() -> dict[str, str]:
         "coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) "
         "UNION ALL SELECT NULL, min(quality), max(toxic) FROM labels",
     }
+    merged = (
+        "SELECT d.doc_id AS job_posting_id, CAST(CASE WHEN l.doc_id % 3 = 0 THEN l.quality + 10 "
+        "ELSE coalesce(l.quality, -1) END AS {0}) AS quality, CAST(coalesce(l.toxic, -1) AS {0}) AS toxic "
+        "FROM documents d FULL JOIN labels l USING (doc_id)"
+    )
+    out["upsert_bucketed"] = merged.format("INTEGER")
+    out["streaming_upsert"] = merged.format("BIGINT")
+    out["lifecycle_diff"] = (
+        "WITH o AS (SELECT doc_id, text, lang FROM documents), n AS ("
+        "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text, lang "
+        "FROM o WHERE doc_id % 7 <> 0 UNION ALL "
+        "SELECT -1 - doc_id, text, lang FROM o WHERE doc_id % 11 = 0) "
+        "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' "
+        "WHEN n.doc_id IS NULL THEN 'inactive' WHEN o.text IS NOT DISTINCT FROM n.text "
+        "AND o.lang IS NOT DISTINCT FROM n.lang THEN 'same' ELSE 'changed' END AS outcome, "
+        "count(o.doc_id) AS old_rows, count(n.doc_id) AS new_rows "
+        "FROM o FULL JOIN n ON o.doc_id = n.doc_id GROUP BY ALL"
+    )
     out["prep_postings_limited"] = (
         out["prep_postings"] + f" ORDER BY {ORDER_KEY}, job_posting_id LIMIT 100"
     )

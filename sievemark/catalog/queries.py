@@ -21,12 +21,13 @@ from sievemark.jobs.labeller import (
     with_prompt,
 )
 from sievemark.jobs.summary import fill_summaries
-from sievemark.operators import dedup, filters, joins, labels, metrics, ordering, sets, topk
+from sievemark.operators import dedup, filters, joins, labels, metrics, ordering, sets, snapshots, topk
 from sievemark.plans.evaluation import compare_models, search_models
 from sievemark.plans.prep import clean_postings, prep_postings
 from sievemark.plans.retrieval import retrieve_by_text
 from sievemark.session import materialize, scratch_path
-from sievemark.sources import readers, sinks
+from sievemark.sources import buckets, readers, sinks
+from sievemark.streaming.upserts import upsert_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,6 +420,47 @@ def upsert_by_id(spark, sf):
     return sets.upsert(once, nameless, [ID])
 
 
+@register
+def upsert_bucketed(spark, sf):
+    """Labels merged into the stored document table, then a third of them again."""
+    path = scratch_path(spark, "bucketed")
+    old = T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias(ID), F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")
+    )
+    buckets.write_bucketed(old, path, [ID], 32)
+    new = T.label_matrix(spark, sf)
+    buckets.merge_bucketed(spark, path, new, [ID], 32)
+    again = new.where(F.col(ID) % 3 == 0).withColumn("quality", F.col("quality") + 10)
+    buckets.merge_bucketed(spark, path, again, [ID], 32)
+    return buckets.read_bucketed(spark, path)
+
+
+@register
+def lifecycle_diff(spark, sf):
+    """Documents against a copy in which some are gone, some changed and some new."""
+    old = T.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    later = old.where(F.col("doc_id") % 11 == 0).withColumn("doc_id", -1 - F.col("doc_id"))
+    new = old.where(F.col("doc_id") % 7 != 0).withColumn("text", text).unionByName(later)
+    return snapshots.lifecycle_diff(old, new, ["doc_id"])
+
+
+@register
+def streaming_upsert(spark, sf):
+    """Documents, then labels, then a third of the labels again arrive as files."""
+    base = scratch_path(spark, "stream")
+    docs = T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias(ID), F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")
+    )
+    new = T.label_matrix(spark, sf)
+    again = new.where(F.col(ID) % 3 == 0).withColumn("quality", F.col("quality") + 10)
+    for arrived in (docs, new, again):
+        arrived.select(*[F.col(c).cast("long") for c in docs.columns]).write.mode("append").parquet(f"{base}/in")
+        schema = spark.read.parquet(f"{base}/in").schema
+        upsert_new_files(spark, f"{base}/in", schema, f"{base}/table", f"{base}/seen", [ID], 16).awaitTermination()
+    return buckets.read_bucketed(spark, f"{base}/table")
+
+
 def _summary_master(spark, sf):
     return T.postings(spark, sf).withColumn(
         "summary",

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.operators.joins import pending_rows
@@ -125,11 +125,14 @@ def _append(spark: SparkSession, result: DataFrame, path: str) -> None:
         result.write.mode("append").parquet(path)
         return
     stage = scratch_path(spark, "answers")  # so that the model runs once
-    result.write.parquet(stage)
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(ERROR).alias("failed")]
+    result.observe(seen, *counts).write.parquet(stage)
     answers = spark.read.schema(result.schema).parquet(stage)
     failed = answers.where(F.col(ERROR).isNotNull())
     good = answers.where(F.col(ERROR).isNull())
-    n_failed, n_good = failed.count(), good.count()
+    n_failed = seen.get["failed"]
+    n_good = seen.get["rows"] - n_failed
     if n_failed:
         failed.select(answers.columns[0], ERROR).write.mode("append").parquet(errors_path(path))
     if n_failed and not n_good:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievemark.constants import POSTING_COLUMNS
@@ -94,23 +94,30 @@ def write_manifest(records: DataFrame, path: str) -> None:
 
 
 def write_vectors(
-    df: DataFrame, path: str, vector_col: str | None = None, dim: int | None = None
+    df: DataFrame,
+    path: str,
+    vector_col: str | None = None,
+    dim: int | None = None,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Write ``df`` to the new folder ``path``, read it back and check it.
 
     The folder must not exist. Row count, and with ``vector_col`` the number of vectors and
-    their width ``dim``, must be those of ``df``; both sides are counted in one pass each.
+    their width ``dim``, must be those of ``df``, and with ``id_col`` the rows' ids and vectors too:
+    a sum of hashes of both sides tells them apart. What is written is counted while it is
+    written, so ``df`` is computed once; what is stored is read once.
     """
-    def counted(rows: DataFrame):
-        vectors = [] if vector_col is None else [
-            F.count(vector_col).alias("vectors"),
-            F.sum((F.size(vector_col) != dim).cast("int")).alias("wrong"),
-        ]
-        return rows.agg(F.count("*").alias("rows"), *vectors).first().asDict()
-
-    df.write.parquet(path)
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if vector_col is not None:
+        wrong = F.sum((F.size(vector_col) != dim).cast("int"))
+        counts += [F.count(vector_col).alias("vectors"), F.coalesce(wrong, F.lit(0)).alias("wrong")]
+    if id_col is not None:
+        row = F.xxhash64(id_col, *([] if vector_col is None else [vector_col]))
+        counts.append(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("checksum"))
+    written = Observation()
+    df.observe(written, *counts).write.parquet(path)
     stored = df.sparkSession.read.parquet(path)
-    expected, found = counted(df), counted(stored)
+    expected, found = written.get, stored.agg(*counts).first().asDict()
     if expected != found or found.get("wrong"):
         raise ValueError(f"{path}: expected {expected} with width {dim}, found {found}")
     return stored

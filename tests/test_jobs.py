@@ -1,6 +1,8 @@
 """Resumable jobs, sources, sinks and the streaming run."""
 
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +301,34 @@ def test_stream_labels_each_posting_once(spark, posts):
     arrived.where("id between 5 and 29").write.mode("append").parquet(f"{inbox}")
     assert run().count() == 30
     assert run().count() == 30
+
+
+def test_written_vectors_are_computed_once(spark, tmp_path):
+    """A counting function sees every row once, whatever is checked."""
+    calls = f"{tmp_path}/calls"
+    os.makedirs(calls)
+
+    def run(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                with open(f"{calls}/{uuid.uuid4().hex}", "w") as file:
+                    file.write(str(i))
+            yield pdf.assign(v=[[float(i), 1.0] for i in pdf["id"]])
+
+    rows = spark.range(10).repartition(3).mapInPandas(run, "id long, v array<double>")
+    stored = sinks.write_vectors(rows, f"{tmp_path}/v", "v", 2, "id")
+    assert sorted(r.id for r in stored.collect()) == list(range(10)) and len(os.listdir(calls)) == 10
+
+
+def test_writing_checks_rows(spark, tmp_path, monkeypatch):
+    """Other vectors under the same ids are noticed, though their number and width are right."""
+    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id long, v array<double>")
+    other = rows.withColumn("v", F.array(F.lit(9.0), F.lit(0.0)))
+    other.write.parquet(f"{tmp_path}/other")
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: read(self, f"{tmp_path}/other"))
+    assert sinks.write_vectors(rows, f"{tmp_path}/a", "v", 2).count() == 5
+    with pytest.raises(ValueError, match="checksum"):
+        sinks.write_vectors(rows, f"{tmp_path}/b", "v", 2, "id")
+    with pytest.raises(ValueError):
+        sinks.write_vectors(rows.where("false"), f"{tmp_path}/c", "v", 2, "id")
