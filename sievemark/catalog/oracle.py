@@ -493,6 +493,13 @@ def _sql() -> dict[str, str]:
         f"WITH {hits(10)} SELECT category, rank, job_posting_id, {score} FROM hits {full}"
     )
     out["cosine_topk_blocks"] = out["cosine_topk"]
+    out["cosine_topk_grid"] = (
+        f"WITH {VECTORS}, pairs AS (SELECT a.job_posting_id AS query_id, c.job_posting_id, "
+        "list_inner_product(a.u64, c.u64)::FLOAT AS score FROM units a, units c), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "
+        "job_posting_id) AS rank FROM pairs) "
+        "SELECT query_id, rank, job_posting_id, round(score::DOUBLE, 6) AS score FROM best WHERE rank <= 5"
+    )
     out["rank_hits"] = f"WITH {hits(100)} SELECT category, rank, job_posting_id FROM hits {full}"
     out["hit_flag"] = (
         f"WITH {hits(100)} SELECT category, rank, job_posting_id, rel AS correct_output "
@@ -610,6 +617,7 @@ INT_COLUMNS = {
     "truncate_dim": ["position"],
     "cosine_topk": ["rank"],
     "cosine_topk_blocks": ["rank"],
+    "cosine_topk_grid": ["rank"],
     "model_label_resume": ["internship"],
     "rank_hits": ["rank"],
     "hit_flag": ["rank"],

@@ -648,6 +648,15 @@ def cosine_topk_blocks(spark, sf):
     return hits.select("category", "rank", ID, r6("score"))
 
 
+@register
+def cosine_topk_grid(spark, sf):
+    """The five vectors nearest to every vector, 64 queries in a block."""
+    corpus = T.vectors(spark, sf)
+    queries = corpus.select(F.col(ID).alias("query_id"), "embedding")
+    hits = topk.cosine_topk(corpus, queries, 5, id_col=ID, query_cols=["query_id"], block_queries=64)
+    return hits.select("query_id", "rank", ID, r6("score"))
+
+
 @register
 def rank_hits(spark, sf):
     hits, _ = _hits(spark, sf)

@@ -1,9 +1,15 @@
-"""Exact cosine top-k of a few queries over many vectors.
+"""Exact cosine top-k of stated queries over many vectors.
 
 The corpus is scanned once. Each task multiplies its Arrow batches with the query
 matrix and keeps only its own best k per query, so what leaves a task is k narrow
 rows per query and never a (query, vector) pair table. Two grouped limits then merge
 the task results.
+
+A few queries travel with the task's function. Many are written in blocks, one row each,
+and paired with chunks of the corpus, which is a grid of blocks and corpus partitions: every
+task reads its part of the corpus once and the blocks from their files, so no query vector
+is on the driver. A pair carries the chunk only at the first block and the block only at the
+first chunk; the task remembers both.
 """
 
 from __future__ import annotations
@@ -20,10 +26,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sievemark.session import materialize
 
-# What one pass over the corpus may carry: bytes of query vectors and queries.
-# More queries mean more passes, each with its own checked block.
-BLOCK_BYTES = 64 << 20
-BLOCK_QUERIES = 4096
+# What travels with a function: bytes of query vectors and queries. Beyond that it is blocks
+# of this size that the tasks read.
+BLOCK_BYTES = 8 << 20
+BLOCK_QUERIES = 1024
+# Bytes of query vectors and hits that one task holds. More queries mean more passes.
+PASS_BYTES = 512 << 20
+# Bytes of corpus vectors in a chunk.
+CHUNK_BYTES = 4 << 20
 # Queries multiplied at once inside a task, to bound the score matrix.
 STRIPE = 256
 # Number of salted groups in the first merge.
@@ -96,6 +106,21 @@ class _Best:
         order = np.lexsort((ids, -exact))[: self.k]
         self.scores[q], self.ids[q] = exact[order], ids[order]
 
+    def hits(self, keys: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Rows (columns of ``keys``, id, score) of the hits so far."""
+        for start in range(0, len(self.queries), STRIPE):
+            stripe = [q for q in range(start, len(self.queries))[:STRIPE] if self.ids[q] is not None]
+            if stripe:
+                owner = np.repeat(stripe, [len(self.ids[q]) for q in stripe])
+                ids = np.concatenate([self.ids[q] for q in stripe]).tolist()
+                scores = np.concatenate([self.scores[q] for q in stripe])
+                columns = [
+                    *keys.take(pa.array(owner)).columns,
+                    pa.array(ids, type=schema.field(keys.num_columns).type),
+                    pa.array(scores),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
 
 def _scanner(keys: pa.RecordBatch, queries: np.ndarray, k: int, schema: pa.Schema):
     """Function for ``mapInArrow``: (id, vector) batches to the task's best hits."""
@@ -108,18 +133,7 @@ def _scanner(keys: pa.RecordBatch, queries: np.ndarray, k: int, schema: pa.Schem
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 best.add(ids, flat.reshape(-1, dim))
-        for start in range(0, len(queries), STRIPE):
-            stripe = [q for q in range(start, len(queries))[:STRIPE] if best.ids[q] is not None]
-            if stripe:
-                owner = np.repeat(stripe, [len(best.ids[q]) for q in stripe])
-                ids = np.concatenate([best.ids[q] for q in stripe]).tolist()
-                scores = np.concatenate([best.scores[q] for q in stripe])
-                columns = [
-                    *keys.take(pa.array(owner)).columns,
-                    pa.array(ids, type=schema.field(keys.num_columns).type),
-                    pa.array(scores),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        yield from best.hits(keys, schema)
 
     return scan
 
@@ -153,6 +167,7 @@ def cosine_topk(
     vector_col: str = "embedding",
     block_bytes: int = BLOCK_BYTES,
     block_queries: int = BLOCK_QUERIES,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """Hits (query_cols, rank, id, score) of every query, at most ``k`` each.
 
@@ -160,9 +175,10 @@ def cosine_topk(
     queries' stops the job, as ``filters.rejected_vectors`` shows beforehand. A zero vector
     scores 0. Fewer than ``k`` rows in the corpus give fewer hits.
 
-    Query vectors are read now, in blocks of at most ``block_bytes`` and ``block_queries``. One
-    block gives a lazy plan. With more, the hits of each block are stored before the next
-    one is read, so the driver holds one block at a time.
+    Up to ``block_bytes`` and ``block_queries``, query vectors are read now and the plan is lazy.
+    More are written in blocks of that size, which the tasks read while they scan the corpus; if
+    all blocks with their hits exceed ``pass_bytes``, the corpus is scanned once for each
+    share of them, and the hits of a pass are stored before the next one starts.
     """
     query_cols = list(query_cols)
     fields = [queries.schema[c] for c in query_cols] + [corpus.schema[id_col]]
@@ -186,34 +202,111 @@ def cosine_topk(
     narrow = corpus.where(usable).select(id_col, vector_col)
     schema = to_arrow_schema(out_type)
     per_block = max(1, min(block_queries, block_bytes // (high * 8)))
-    stored = []
-    for rows, last in _blocks(asked, n, per_block):
+    if n <= per_block:
+        rows = asked.toArrow()
         keys = rows.select(query_cols).cast(pa.schema([schema.field(c) for c in query_cols]))
         matrix = _unit_rows(_to_matrix(rows.column(vector_col).combine_chunks(), high))
         scan = _scanner(keys.combine_chunks().to_batches()[0], matrix, k, schema)
-        best = merge_topk(narrow.mapInArrow(scan, out_type), query_cols, id_col, k)
-        if last and not stored:
+        return merge_topk(narrow.mapInArrow(scan, out_type), query_cols, id_col, k)
+
+    blocks = _blocks(asked, query_cols, vector_col, per_block)
+    # A query takes its vector twice, as 64 and 32 bits, and its hits.
+    per_pass = max(1, pass_bytes // (per_block * (high * 12 + k * 16)))
+    n_blocks = -(-n // per_block)
+    chunks = _chunks(narrow, id_col, vector_col, high)
+    stored = []
+    for first in range(0, n_blocks, per_pass):
+        share = blocks.where(F.col("block").between(first, first + per_pass - 1))
+        found = _grid(chunks, share).mapInArrow(_grid_scanner(k, high, schema), out_type)
+        best = merge_topk(found, query_cols, id_col, k)
+        if n_blocks <= per_pass:
             return best
-        stored.append(materialize(best, "block-hits"))
-        del scan, matrix, best
+        stored.append(materialize(best, "pass-hits"))
     return reduce(DataFrame.unionAll, stored)
 
 
-def _blocks(asked: DataFrame, n: int, per_block: int) -> Iterator[tuple[pa.Table, bool]]:
-    """(at most ``per_block`` rows, whether they are the last) of the ``n`` rows of ``asked``."""
-    if n <= per_block:
-        yield asked.toArrow(), True
-        return
-    # Numbered once and written, so that a block is a range of numbers and never larger.
-    parts = asked.withColumn("place", F.monotonically_increasing_id())
+def _blocks(asked: DataFrame, query_cols: Sequence[str], vector_col: str, per_block: int) -> DataFrame:
+    """(block, queries): at most ``per_block`` queries as an array in one row. Queries are
+    numbered over all partitions, so only the last block may be short."""
+    query = F.struct(*[F.col(c).alias(f"key{i}") for i, c in enumerate(query_cols)], F.col(vector_col).alias("vector"))
+    parts = asked.select(query.alias("query"), F.monotonically_increasing_id().alias("place"))
     parts = materialize(parts, "queries")
-    part = F.shiftright("place", 33).alias("part")
-    sizes = {r.part: r.n for r in parts.groupBy(part).agg(F.count("*").alias("n")).collect()}
-    ranges = [
-        ((p << 33) + first, (p << 33) + min(first + per_block, size))
-        for p, size in sorted(sizes.items())
-        for first in range(0, size, per_block)
-    ]
-    for i, (first, end) in enumerate(ranges):
-        inside = (F.col("place") >= first) & (F.col("place") < end)
-        yield parts.where(inside).drop("place").toArrow(), i == len(ranges) - 1
+    part = F.shiftright("place", 33)
+    # As many rows as the table of queries has partitions.
+    sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    before, offsets = 0, []
+    for row in sizes:
+        offsets.append((row.part, before))
+        before += row.n
+    offsets = asked.sparkSession.createDataFrame(offsets, "part long, before long")
+    number = F.col("before") + F.col("place").bitwiseAND(2**33 - 1)
+    numbered = parts.withColumn("part", part).join(F.broadcast(offsets), "part")
+    block = F.floor(number / per_block).cast("int").alias("block")
+    return materialize(numbered.groupBy(block).agg(F.collect_list("query").alias("queries")), "blocks")
+
+
+def _chunks(narrow: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
+    """(first, ids, vectors): the corpus with many vectors in a row, end to end; ``first`` marks the
+    first row of each partition."""
+    rows = max(1, CHUNK_BYTES // (dim * 8))
+    fields = [narrow.schema[id_col].dataType.simpleString(), narrow.schema[vector_col].dataType.elementType.simpleString()]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                ids, vectors = batch.slice(start, rows).columns
+                flat = vectors.flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([first]),
+                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
+                    ],
+                    names=["first", "ids", "vectors"],
+                )
+                first = False
+
+    return narrow.mapInArrow(pack, f"first boolean, ids array<{fields[0]}>, vectors array<{fields[1]}>")
+
+
+def _grid(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every chunk with every block, chunk by chunk. The blocks are one partition, which each task
+    reads from its files and then goes through in that order for every chunk."""
+    placed = blocks.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    pairs = chunks.crossJoin(placed.hint("shuffle_replicate_nl"))
+    at_first = F.col("place") == 0
+    return pairs.select(
+        "block",
+        F.when(F.col("first"), F.col("queries")).alias("queries"),
+        F.when(at_first, F.col("ids")).alias("ids"),
+        F.when(at_first, F.col("vectors")).alias("vectors"),
+    )
+
+
+def _grid_scanner(k: int, dim: int, schema: pa.Schema):
+    """Function for ``mapInArrow``: pairs of the grid to the task's best hits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[pa.RecordBatch, _Best]] = {}
+        ids = vectors = None
+        for batch in batches:
+            block_col, query_col, id_col, vector_col = batch.columns
+            for i, block in enumerate(block_col.to_pylist()):
+                if query_col[i].is_valid:
+                    queries = query_col[i].values
+                    fields = queries.flatten()
+                    names = schema.names[:-2]
+                    keys = [f.cast(schema.field(c).type) for f, c in zip(fields, names)]
+                    matrix = _unit_rows(_to_matrix(fields[-1], dim))
+                    owner = pa.RecordBatch.from_arrays(keys, names=names)
+                    found[block] = owner, _Best(matrix, k)
+                if id_col[i].is_valid:
+                    ids = id_col[i].values.to_numpy(zero_copy_only=False)
+                    flat = vector_col[i].values.to_numpy(zero_copy_only=False)
+                    vectors = flat.reshape(-1, dim)
+                found[block][1].add(ids, vectors)
+        for owner, best in found.values():
+            yield from best.hits(owner, schema)
+
+    return scan

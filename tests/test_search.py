@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievemark.operators import metrics
+from sievemark.operators import metrics, topk
 from sievemark.operators.topk import _Best, _unit_rows, cosine_topk
 from sievemark.plans.evaluation import compare_models
 
@@ -77,21 +77,47 @@ def test_topk_string_ids_short_corpus_and_bad_vectors(spark):
         cosine_topk(other, queries(spark, [[1.0, 0.0]]), 10, id_col="id", query_cols=["category"]).collect()
 
 
-def test_one_block_of_queries_at_a_time(spark, monkeypatch):
-    """The next block is read only when the hits of the last one are stored."""
-    from sievemark.operators import topk
-
-    events = []
-    store, read = topk.materialize, topk._to_matrix
-    monkeypatch.setattr(topk, "materialize", lambda df, name: events.append(name) or store(df, name))
-    monkeypatch.setattr(topk, "_to_matrix", lambda lists, dim: events.append(len(lists)) or read(lists, dim))
-    vectors = RNG.normal(size=(50, 4)).astype(np.float32)
-    df = corpus(spark, range(50), vectors)
-    asked = queries(spark, vectors[:7]).coalesce(1)
-    found = cosine_topk(df, asked, 3, id_col="id", query_cols=["category"], block_queries=3)
-    assert events == ["queries", 3, "block-hits", 3, "block-hits", 1, "block-hits"]
-    whole = cosine_topk(df, asked, 3, id_col="id", query_cols=["category"])
-    assert hits_of(found) == hits_of(whole)
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_scan_the_corpus_once(spark, tmp_path, monkeypatch):
+    """Blocks are even whatever partitions the queries have, read by tasks, and one pass does all."""
+    vectors = RNG.normal(size=(400, 6)).astype(np.float32)
+    vectors[::3] = vectors[0]
+    corpus(spark, range(400), vectors).repartition(5).write.parquet(f"{tmp_path}/corpus")
+    df = spark.read.parquet(f"{tmp_path}/corpus")
+    asked = queries(spark, vectors[:100]).repartition(20)
+    monkeypatch.setattr(type(asked), "toArrow", None)  # no vector reaches the driver
+    args = {"id_col": "id", "query_cols": ["category"], "block_queries": 30}
+    found = cosine_topk(df, asked, 7, **args)
+    plan = plan_of(found)
+    assert plan.count(f"{tmp_path}/corpus") == 1 and "CartesianProduct" in plan
+    assert "BroadcastExchange" not in plan.split("CartesianProduct")[1]
+    got = hits_of(found)
+    assert got == {f"q{i}": brute_force(range(400), vectors, vectors[i], 7) for i in range(100)}
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 6 * 8 * 17)
+    assert hits_of(cosine_topk(df, asked, 7, pass_bytes=1, **args)) == got
+    assert hits_of(cosine_topk(df.where("false"), asked, 7, **args)) == {}
+
+
+def test_blocks_are_cut_over_all_partitions(spark):
+    asked = queries(spark, RNG.normal(size=(100, 2))).repartition(20)
+    blocks = topk._blocks(asked, ["category"], "embedding", 90)
+    assert sorted(len(r.queries) for r in blocks.collect()) == [10, 90]
+
+
+def test_many_queries_take_any_column_names(spark):
+    """Key columns called as the grid's own, several keys, string ids, vectors with holes."""
+    rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("zero", [0.0, 0.0]), ("hole", [None, 1.0]), ("null", None), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "ids string, vectors array<float>")
+    asked = [(1, "x", [1.0, 0.0]), (1, None, [0.0, 1.0]), (None, "x", [3.0, 0.0]), (2, "x", None)]
+    q = spark.createDataFrame(asked, "block int, first string, vectors array<double>")
+    found = cosine_topk(df, q, 2, id_col="ids", query_cols=["block", "first"], vector_col="vectors", block_queries=1)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    want = [(1, "x", 1, "a", 1.0), (1, "x", 2, "b", 1.0), (None, "x", 1, "a", 1.0), (None, "x", 2, "b", 1.0),
+            (1, None, 1, "a", 0.0), (1, None, 2, "b", 0.0)]
+    assert got == sorted(want, key=str)
 
 
 def test_topk_prefix_and_no_queries(spark):
