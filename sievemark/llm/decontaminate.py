@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
 from sievemark.llm.common import small_side, text_digest, text_or_empty
 from sievemark.session import materialize
 
@@ -157,8 +158,11 @@ def _verified(
 
 
 def reject(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without rows that hold a benchmark passage. Rows are told apart by their text."""
+    """``docs`` without rows that hold a benchmark passage. Rows are told apart by their text, so
+    repeated rows go or stay together; null and empty texts hold none, very long ones are searched
+    whole. Columns of any name stay; an empty table on either side removes nothing."""
+    (gone,) = unused(docs.columns, "gone")
     texts = docs.select(text_digest().alias("doc_id"), "text")
-    found = overlaps(texts, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    found = overlaps(texts, benchmark).select(F.col("doc_id").alias(gone)).distinct()
     found = small_side(materialize(found, "leaked-texts"))
-    return docs.join(found, text_digest() == F.col("leaked"), "left_anti")
+    return docs.join(found, text_digest() == F.col(gone), "left_anti")

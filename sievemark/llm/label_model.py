@@ -40,7 +40,9 @@ class LabelModel:
 
     @staticmethod
     def _weights(counts: np.ndarray, known: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        return known + counts[:, None] * np.stack([1 - posterior, posterior], axis=1)
+        # Rows of known label count as much as all others together, however few they are.
+        share = max(1.0, counts.sum() / known.sum()) if known.sum() else 0.0
+        return share * known + counts[:, None] * np.stack([1 - posterior, posterior], axis=1)
 
     def _maximise(self, votes, counts, known, posterior) -> None:
         w = self._weights(counts, known, posterior)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
 from sievemark.llm.common import small_side, text_or_empty
 from sievemark.session import materialize
 
@@ -208,12 +209,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes words from, with size, source_size, target, taken.
 
     Rows that repeat an id are kept if the mix takes words from one of them, with its largest
-    numbers; a document without id goes the same way.
+    numbers; a document without id goes the same way. Texts that are null or empty go, as nothing
+    is taken from them. Columns of any name stay: where one of the four is in use, ``mix_`` and if
+    need be ``_`` tell the new one apart. An empty table stays empty.
     """
-    found = mix(docs).groupBy("doc_id").agg(
-        *[F.max(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken")]
-    )
-    found = materialize(found.where("mix_taken > 0").withColumnRenamed("doc_id", "mix_id"), "mix")
-    joined = docs.join(small_side(found), F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
-    names = {f"mix_{c}": c for c in ("size", "source_size", "target", "taken") if c not in docs.columns}
-    return joined.withColumnsRenamed(names)
+    numbers = ["size", "source_size", "target", "taken"]
+    used = {c.lower() for c in docs.columns}
+    new = unused(docs.columns, *[f"mix_{c}" if c in used else c for c in numbers], "mix_id")
+    found = mix(docs).groupBy("doc_id").agg(*[F.max(c).alias(n) for c, n in zip(numbers, new)])
+    found = found.where(F.col(new[3]) > 0).withColumnRenamed("doc_id", new[4])
+    found = small_side(materialize(found, "mix"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(new[4]))).drop(new[4])

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
 from sievemark.llm.common import small_side, text_digest
 from sievemark.llm.components import components
 from sievemark.session import materialize
@@ -161,22 +162,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every component: the smallest doc_id, then text digest.
 
     Rows are told apart by id and text. Rows without doc_id come after all others. Of rows with
-    the same id and text one stays.
+    the same id and text one stays. Null and empty texts are a component like others. Columns of
+    any name stay; an empty table stays empty.
     """
+    gone, again, one = unused(docs.columns, "gone", "again", "one")
     row = F.struct(
         F.col("doc_id").isNull().alias("none"),
         F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
         text_digest().alias("digest"),
     )
     found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text")), "components")
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct()
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     lost = small_side(materialize(lost, "duplicate-rows"), 100_000)
-    kept = docs.join(lost, row == F.col("lost"), "left_anti")
+    kept = docs.join(lost, row == F.col(gone), "left_anti")
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    twice = materialize(twice.select(F.col("doc_id").alias("twice")), "repeated-rows")
+    twice = materialize(twice.select(F.col("doc_id").alias(again)), "repeated-rows")
     if twice.isEmpty():
         return kept
-    same = row == F.col("twice")
+    same = row == F.col(again)
     return kept.join(twice, same, "left_anti").unionByName(
-        kept.join(twice, same, "left_semi").withColumn("kept_row", row).dropDuplicates(["kept_row"]).drop("kept_row")
+        kept.join(twice, same, "left_semi").withColumn(one, row).dropDuplicates([one]).drop(one)
     )

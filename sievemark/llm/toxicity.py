@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.names import unused
 from sievemark.llm.common import small_side, text_digest, text_or_empty
 from sievemark.llm.label_model import LabelModel, logistic
 from sievemark.llm.labelled import SAMPLE_ROWS, held_out, joined, training_labels
@@ -30,8 +31,8 @@ ADDRESS = r"(?i)\byou(?: are|'re)?(?: such)?(?: an?)? (?:" + "|".join(INSULTS +
 THREAT = r"(?i)\b(?:kill|hurt|shoot|stab|hang) (?:you|him|her|them|yourself|yourselves)\b"
 
 PREFIXES = (3, 4, 5)
-MINED_LEXICONS, MOST_CUES = 8, 64
-LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 3, 0.02, 0.85
+MINED_LEXICONS = 8
+LEAST_DOCS, LEAST_PRECISION = 5, 0.85
 
 
 def words(name: str = "text") -> Column:
@@ -57,12 +58,11 @@ class Lexicon:
 def mine_lexicons(sample: DataFrame) -> list[Lexicon]:
     """Words and word beginnings of ``sample`` (text, label) that toxic rows share.
 
-    A cue is in at least LEAST_DOCS and LEAST_SHARE of the different toxic texts, and at least
-    LEAST_PRECISION of the texts with it are toxic. The cues with most toxic rows are kept, MOST_CUES at most; of a cue and a longer
-    one that it begins only the shorter stays."""
+    A cue is in at least LEAST_DOCS different toxic texts, however few of all they are, so a small
+    language has its own; and at least LEAST_PRECISION of the texts with it are toxic. Of a cue
+    and a longer one that it begins only the shorter stays. All cues are kept: the sample bounds
+    them."""
     sample = sample.dropDuplicates(["text"])
-    toxic = sample.agg(F.sum("label")).first()[0] or 0
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
     word = F.explode(F.array_distinct(words())).alias("word")
     found = sample.select(F.monotonically_increasing_id().alias("row"), "label", word)
     kinds = [F.struct(F.lit(0).alias("size"), F.col("word").alias("cue"))] + [
@@ -74,15 +74,15 @@ def mine_lexicons(sample: DataFrame) -> list[Lexicon]:
         F.sum("label").alias("toxic"), F.count("*").alias("rows")
     )
     good = counted.where(
-        (F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * F.col("rows"))
+        (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_PRECISION * F.col("rows"))
     )
-    best = good.orderBy(F.col("toxic").desc(), "size", "cue").limit(20 * MOST_CUES).collect()
+    best = good.orderBy(F.col("toxic").desc(), "size", "cue").collect()
     kept: list[tuple[int, str]] = []
     for size, cue in sorted(((r["size"] or 99, r.cue) for r in best), key=lambda c: c[0]):
         if not any(s < 99 and cue.startswith(c) for s, c in kept):
             kept.append((size, cue))
     strength = {(r["size"] or 99, r.cue): r.toxic for r in best}
-    kept = sorted(kept, key=lambda c: (-strength[c], c))[:MOST_CUES]
+    kept = sorted(kept, key=lambda c: (-strength[c], c))
     return [
         Lexicon(
             f"mined_{i}",
@@ -123,8 +123,8 @@ def _votes(docs: DataFrame, lexicons: list[Lexicon], more: list[str]) -> tuple[D
     }
     columns = [F.coalesce(c, F.lit(False)).cast("int").alias(f"v_{k}") for k, c in voters.items()]
     measures = [
-        F.least(F.log1p(n_hits.cast("double")), F.lit(3.0)).alias("m_hits"),
-        F.least(n_hits * 20.0 / F.greatest(F.col("n"), F.lit(1)), F.lit(1.0)).alias("m_share"),
+        F.log1p(n_hits.cast("double")).alias("m_hits"),
+        F.log1p(n_hits * 100.0 / F.greatest(F.col("n"), F.lit(1))).alias("m_share"),
     ]
     return hits.select("doc_id", *more, *columns, *measures), [f"v_{k}" for k in voters]
 
@@ -205,9 +205,11 @@ def _fit(patterns: list, voters: list[str], measures: list[str]) -> np.ndarray:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic. Rows are told apart by their text, which alone
-    decides the score."""
+    decides the score, so repeated rows go or stay together; null and empty texts are scored as
+    empty, very long ones whole. Columns of any name stay; an empty table stays empty."""
+    (gone,) = unused(docs.columns, "gone")
     texts = docs.select("doc_id", "text", text_digest().alias("digest"))
     found = _scored(texts, labels, SAMPLE_ROWS, THRESHOLD, ["digest"])
-    toxic = found.where("predicted = 1").select(F.col("digest").alias("toxic"))
+    toxic = found.where("predicted = 1").select(F.col("digest").alias(gone))
     toxic = small_side(materialize(toxic.distinct(), "toxic-texts"))
-    return docs.join(toxic, text_digest() == F.col("toxic"), "left_anti")
+    return docs.join(toxic, text_digest() == F.col(gone), "left_anti")

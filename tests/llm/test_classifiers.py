@@ -111,3 +111,17 @@ def test_rules_over_the_last_statistic_reach_the_lasso(spark, monkeypatch):
     monkeypatch.setattr(quality, "tree_rules", lambda text: [*noise, tells])
     kept, _ = quality.fit_rules(sample)
     assert dict(kept).get(tells, 0) > 0
+
+
+def test_toxic_rows_are_found_in_every_language(spark):
+    """Held-out rows at the threshold: recall over all and per language, and false alarms."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").join(docs, "doc_id")
+    counted = found.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()
+    hit = {(r.lang, r.toxic): r.hit for r in counted}
+    n = {(r.lang, r.toxic): r.n for r in counted}
+    langs = {lang for lang, _ in n}
+    assert sum(hit[x, 1] for x in langs) >= 0.9 * sum(n[x, 1] for x in langs)
+    assert all(hit[x, 1] >= 0.8 * n[x, 1] for x in langs)
+    assert sum(hit[x, 0] for x in langs) <= 0.01 * sum(n[x, 0] for x in langs)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sievemark.llm import decontaminate, secret_scan, simhash, toxicity
 from sievemark.session import scratch_path
@@ -119,3 +121,33 @@ def test_rows_with_null_and_repeated_ids(spark):
     toxic_rows += [(None, toxic[-1]), (None, other[0]), (900, toxic[-2]), (900, other[1])]
     kept = toxicity.reject(documents(spark, [(i, t, "s") for i, t in toxic_rows]), labels)
     assert texts(kept) == sorted([(i, t) for i, t in enumerate(clean)] + [(-1, other[0]), (900, other[1])])
+
+
+NAMES = [
+    "gone", "again", "one", "lost", "twice", "kept_row", "toxic", "leaked", "digest", "label", "held_out", "score",
+    "size", "mix_size", "source_size", "mix_taken", "target", "taken", "mix_id", "shard", "place", "weight", "group",
+    "fingerprint", "key", "component_id", "least_id", "item_id", "shift", "hits", "n", "doc", "id", "of", "labelled_id",
+]
+
+
+def test_columns_of_any_name(spark):
+    """Documents that already have a column for every name the stages use."""
+    rng = random.Random(10)
+    rows = [r for r in awkward() if r[1] != LONG]
+    rows += [(300 + i, f"{prose(rng, 30)} {INSULT} {prose(rng, 20)}", "s1") for i in range(6)]
+    rows += [(500, f"{prose(rng, 40)} {(item := prose(rng, 20))} {prose(rng, 9)}", "s3")]
+    path = tables(spark, rows, [(1, item)], [(i, 1, int(300 <= i < 306)) for i, _, _ in rows if i is not None])
+    plain = spark.read.parquet(f"{path}/documents.parquet")
+    full = plain.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce("doc_id", F.lit(-1))).alias(n) for n in NAMES])
+    for name, stage in corpus_pipeline.STAGES:
+        want = sorted(map(tuple, stage(spark, plain, path).select(*plain.columns).collect()), key=str)
+        found = stage(spark, full, path)
+        assert found.columns[: len(full.columns)] == full.columns
+        assert len(set(found.columns)) == len(found.columns)
+        if name != "mixing":
+            assert found.columns == full.columns
+        rows = found.collect()
+        assert all(r[n] == f"{n} {-1 if r.doc_id is None else r.doc_id}" for r in rows for n in NAMES)
+        assert sorted((tuple(r[c] for c in plain.columns) for r in rows), key=str) == want
+        empty = stage(spark, full.where("false"), path)
+        assert empty.count() == 0 and empty.columns == found.columns
