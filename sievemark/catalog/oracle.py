@@ -377,11 +377,10 @@ def _sql() -> dict[str, str]:
         + ", ".join(f"({lit(k)}, {lit(v)})" for k, v in LABEL_DESCRIPTIONS.items())
         + ") SELECT d.category, d.description, count(s.category) AS n_rows "
         "FROM dim d LEFT JOIN subsets s USING (category) GROUP BY ALL",
-        "category_ids": f"WITH {SUBSETS}, sizes AS (SELECT category, "
-        "(count(*) + 99) // 100 AS n_chunks FROM subsets GROUP BY category) "
-        "SELECT category, ('0x' || left(md5(job_posting_id::VARCHAR), 15))::BIGINT % n_chunks "
-        "AS chunk, count(*) AS n_ids, string_agg(job_posting_id::VARCHAR, ',' ORDER BY "
-        "job_posting_id) AS ids FROM subsets JOIN sizes USING (category) GROUP BY 1, 2",
+        "category_ids": f"WITH {SUBSETS}, placed AS (SELECT category, job_posting_id, row_number() OVER ("
+        "PARTITION BY category ORDER BY left(md5(job_posting_id::VARCHAR), 3), job_posting_id) - 1 AS place "
+        "FROM subsets) SELECT category, place // 100 AS chunk, count(*) AS n_ids, "
+        "string_agg(job_posting_id::VARCHAR, ',' ORDER BY job_posting_id) AS ids FROM placed GROUP BY 1, 2",
         "pending_anti_join": f"WITH {POSTINGS}, {LABELS} SELECT job_posting_id, title, location "
         "FROM postings WHERE job_posting_id NOT IN (SELECT job_posting_id FROM matrix)",
         "union_append": "SELECT doc_id AS id, length(text) AS n_chars FROM documents "
@@ -552,6 +551,9 @@ def _sql() -> dict[str, str]:
         f"SELECT job_posting_id, ({n_text} + {n_multi}) % 2 AS internship, "
         f"1 - ({n_text} + {n_multi}) % 2 AS entry_level, 1 AS marketing, {zeros} FROM postings"
     )
+    out["model_label_once"] = p + (
+        "SELECT job_posting_id, CAST((7 + length(coalesce(title, ''))) % 2 AS INTEGER) AS label FROM postings"
+    )
     out["model_label_resume"] = p + (
         f"SELECT job_posting_id, ({n_text} + {n_multi}) % 2 AS internship, "
         f"CAST(({n_text} + {n_multi}) % 3 <> 0 AS INTEGER) AS in_first_run FROM postings"

@@ -13,6 +13,7 @@ from sievemark.catalog import tables as T
 from sievemark.catalog.tables import ID, LABEL_CATEGORIES
 from sievemark.functions import markup, names, responses, strings
 from sievemark.functions import vectors as V
+from sievemark.jobs.answers import answer_distinct
 from sievemark.jobs.encode import hashing_encoder, run_encode_job
 from sievemark.jobs.labeller import (
     apply_exclusion,
@@ -788,6 +789,17 @@ def model_label_resume(spark, sf):
     return joined.select(ID, "internship", F.col("first_id").isNotNull().cast("int").alias("in_first_run"))
 
 
+@register
+def model_label_once(spark, sf):
+    """Titles labelled by one call per distinct prompt; the second run finds all answers stored."""
+    path = scratch_path(spark, "answers")
+    prompts = with_prompt(T.postings(spark, sf), "Label: {title}").select(ID, "prompt")
+    some = prompts.where(F.col(ID) % 2 == 0)
+    answer_distinct(some, "prompt", demo_binary_labeller, path, model="demo")
+    answered = answer_distinct(prompts, "prompt", demo_binary_labeller, path, model="demo", n_slices=2)
+    return answered.select(ID, responses.parse_binary(F.col("answer")).alias("label"))
+
+
 @register
 def summary_fill_job(spark, sf):
     filled = fill_summaries(

@@ -6,11 +6,16 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark import constants as C
 from sievemark.operators.filters import include_exclude
+from sievemark.operators.joins import broadcast_if_bounded
+from sievemark.session import materialize
+
+# Hash digits of an id's bucket, so at most 4096 buckets in a category.
+CHUNK_DIGITS = 3
 
 
 def _any_of(phrases: Sequence[str]) -> str:
@@ -98,19 +103,40 @@ def category_counts(subsets: DataFrame, categories: DataFrame) -> DataFrame:
 def category_ids(subsets: DataFrame, id_col: str, ids_per_chunk: int = 10_000) -> DataFrame:
     """Sorted ids per category, in chunks: (category, chunk, n_ids, ids).
 
-    A category with up to ``ids_per_chunk`` ids is one chunk. A larger one is spread
-    over as many hash chunks as it needs, so no task gathers a whole category.
+    No chunk has more than ``ids_per_chunk`` ids, and all but a category's last have as many. Ids
+    are ordered by hash bucket, then id; their place in a category is the number of ids in the
+    buckets before theirs, from one small table of counts, plus the place in the bucket. So no
+    task gathers a category, and ``subsets`` is computed once. Null categories and ids are left
+    out; an id should occur once in a category, repeated ones are listed each time.
     """
-    # One row per configured category, so it is broadcast and no id is shuffled by category.
-    sizes = F.broadcast(
-        subsets.groupBy("category").agg(F.ceil(F.count("*") / ids_per_chunk).alias("n_chunks"))
+    return chunked_ids(stored_ids(subsets, id_col), ids_per_chunk)
+
+
+def stored_ids(subsets: DataFrame, id_col: str) -> DataFrame:
+    """(category, bucket, id) of ``subsets``, computed once and written."""
+    bucket = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, CHUNK_DIGITS)
+    narrow = subsets.where(F.col("category").isNotNull()).select(
+        "category", bucket.alias("bucket"), F.col(id_col).alias("id")
+    )
+    return materialize(narrow, "category-ids")
+
+
+def chunked_ids(stored: DataFrame, ids_per_chunk: int) -> DataFrame:
+    """``category_ids`` of a table from ``stored_ids``."""
+    # At most 16**CHUNK_DIGITS rows per category.
+    stored = stored.where(F.col("id").isNotNull())
+    counts = stored.groupBy("category", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(
+        counts.select("category", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts"
+    )
+    place = F.row_number().over(Window.partitionBy("category", "bucket").orderBy("id")) - 1
+    placed = stored.withColumn("place", place).join(
+        broadcast_if_bounded(starts, starts.count()), ["category", "bucket"]
     )
-    spread = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
+    chunk = F.floor((F.col("start") + F.col("place")) / ids_per_chunk)
     return (
-        subsets.select("category", id_col)
-        .join(sizes, "category")
-        .withColumn("chunk", F.pmod(spread, F.col("n_chunks")))
-        .groupBy("category", "chunk")
-        .agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
-        .withColumn("n_ids", F.size("ids"))
+        placed.groupBy("category", chunk.alias("chunk"))
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").cast("int").alias("n_ids"))
+        .select("category", "chunk", "ids", "n_ids")
     )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sievemark.constants import POSTING_COLUMNS
 from sievemark.operators.filters import select_existing
-from sievemark.operators.labels import category_counts, category_ids
+from sievemark.operators.joins import broadcast_if_bounded
+from sievemark.operators.labels import category_counts, chunked_ids, stored_ids
+from sievemark.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -59,10 +61,11 @@ def manifest(
     ``categories``: category, description. A category without rows has one record
     with count 0 and no ids.
     """
-    # As many rows as configured categories, so it is broadcast and the id chunks stay
-    # where they are.
-    counts = F.broadcast(category_counts(subsets, categories))
-    chunks = category_ids(subsets, id_col, ids_per_chunk).select("category", "chunk", "ids")
+    # Ids are computed once; counts and chunks come from that narrow table.
+    ids = stored_ids(subsets, id_col)
+    counts = materialize(category_counts(ids, categories), "category-counts")
+    chunks = chunked_ids(ids, ids_per_chunk).select("category", "chunk", "ids")
+    counts = broadcast_if_bounded(counts, counts.count())
     empty = counts.where("n_rows = 0").select(
         "category",
         F.lit(0).cast("long").alias("chunk"),

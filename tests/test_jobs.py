@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.jobs import resumable
+from sievemark.jobs.answers import answer_distinct
 from sievemark.jobs.encode import encode_columns, encode_texts, hashing_encoder, run_encode_job
 from sievemark.jobs.labeller import label_multilabel, label_per_category, run_label_job, with_prompt
 from sievemark.jobs.summary import fill_summaries, summarize
@@ -332,3 +333,62 @@ def test_writing_checks_rows(spark, tmp_path, monkeypatch):
         sinks.write_vectors(rows, f"{tmp_path}/b", "v", 2, "id")
     with pytest.raises(ValueError):
         sinks.write_vectors(rows.where("false"), f"{tmp_path}/c", "v", 2, "id")
+
+
+def test_one_call_per_distinct_prompt(spark, tmp_path):
+    """Each prompt is seen once over two runs and two tables; failures are asked again."""
+    calls, path = f"{tmp_path}/calls", f"{tmp_path}/answers"
+    os.makedirs(calls)
+    down = f"{tmp_path}/down"
+    open(down, "w").close()
+
+    def fn(prompts):
+        if "b" in prompts and os.path.exists(down):
+            raise RuntimeError("model down")
+        for p in prompts:
+            with open(f"{calls}/{uuid.uuid4().hex}", "w") as file:
+                file.write(p)
+        return [p.upper() for p in prompts]
+
+    def seen():
+        return sorted(open(f"{calls}/{f}").read() for f in os.listdir(calls))
+
+    def run(rows, **options):
+        df = spark.createDataFrame(rows, "id long, prompt string, prompt_key string, answer string").repartition(4)
+        found = answer_distinct(df, "prompt", fn, path, model="m", retries=0, **options)
+        assert found.columns == ["id", "prompt", "prompt_key", "answer"]
+        assert all(r.prompt_key == f"k{r.id}" for r in found.collect())
+        return sorted(((r.id, r.answer) for r in found.collect()), key=str)
+
+    rows = [(i, p, f"k{i}", "old") for i, p in enumerate(["a"] * 60 + ["b", "", None, "c", "a"])]
+    want = {"a": "A", "b": "B", "": "", None: "", "c": "C"}
+    assert run(rows) == sorted(((i, None if p == "b" else want[p]) for i, p, _, _ in rows), key=str)
+    os.remove(down)
+    more = rows + [(100, "d", "k100", None), (100, "d", "k100", None)]
+    assert run(more, n_slices=2) == sorted(((i, {**want, "d": "D"}[p]) for i, p, _, _ in more), key=str)
+    assert seen() == ["", "a", "b", "c", "d"]
+    df = spark.createDataFrame([("a",)], "prompt string")
+    assert answer_distinct(df, "prompt", fn, path, model="other").first().answer == "A"
+    assert seen() == ["", "a", "a", "b", "c", "d"]
+    assert answer_distinct(df.where("false"), "prompt", fn, f"{path}2", model="m").count() == 0
+
+
+def test_counting_sees_the_subsets_once(spark, tmp_path):
+    """Manifest and id lists compute the join behind them once."""
+    calls = f"{tmp_path}/calls"
+    os.makedirs(calls)
+
+    def run(batches):
+        for pdf in batches:
+            for _ in range(len(pdf)):
+                open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+            yield pdf.assign(category=["x" if i % 4 else "y" for i in pdf["id"]])
+
+    subsets = spark.range(40).repartition(3).mapInPandas(run, "id long, category string")
+    dim = joins.category_dim(spark, {"x": "X", "y": "Y", "z": "Z"})
+    records = sinks.manifest(subsets, dim, "id", source="s", method="m", preprocessing={"a": "b"}, ids_per_chunk=7)
+    rows = records.collect()
+    assert len(os.listdir(calls)) == 40
+    sizes = {c: sorted(len(r.ids) for r in rows if r.category == c) for c in "xyz"}
+    assert sizes == {"x": [2, 7, 7, 7, 7], "y": [3, 7], "z": [0]}
+    assert {r["count"] for r in rows if r.category == "x"} == {30}
