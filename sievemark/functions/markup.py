@@ -29,17 +29,16 @@ SEAM = "\ufdd0"
 # Fixed value: what makes a text HTML.
 HTML_TAG = r"<[a-zA-Z/][^>]*>"
 
-# Elements whose text is not part of the page text, comments and declarations.
+# Comments, scripts, styles and declarations: no part of the page text.
 # A script or style that never ends swallows the rest, as in a browser.
-INVISIBLE = (
-    r"(?is)<(?:!--.*?-->"
-    r"|script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
-    r"|style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
-    r"|template(?:[\s/][^>]*)?>.*?</template\s*>"
-    r"|rt(?:[\s/][^>]*)?>.*?</rt\s*>"
-    r"|rp(?:[\s/][^>]*)?>.*?</rp\s*>"
-    r"|![a-z\[][^>]*>|\?[^>]*>)"
+# Case is ignored for names only: Java finds "<" several times faster where it matters.
+_RAW = (
+    r"!--.*?-->"
+    r"|(?i:script)(?:[\s/][^>]*)?>.*?(?:</(?i:script)\s*>|\z)"
+    r"|(?i:style)(?:[\s/][^>]*)?>.*?(?:</(?i:style)\s*>|\z)"
 )
+_DECLARATION = r"![a-zA-Z\[][^>]*>|\?[^>]*>"
+INVISIBLE = rf"(?s)<(?:{_RAW}|{_DECLARATION})"
 
 # A tag, with quoted attribute values that may hold ">". Possessive groups repeat in a loop,
 # so any number of attributes is fine; the second branch takes tags with an open quote.
@@ -47,9 +46,23 @@ TAG = (
     r"<(?:[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
     r"|[a-zA-Z/][^>]*+>)"
 )
-# The text of a CDATA section is page text.
-CDATA = r"(?is)<!\[CDATA\[(.*?)\]\]>"
-BLOCK_TAG = r"<(?i:br|p|li|h[1-6])(?:[\s/][^>]*)?>"
+# Elements whose text is hidden until they end, and CDATA sections, whose text is page text as it
+# stands. A text with any of these is read token by token.
+HIDDEN = ["template", "rt", "rp"]
+STATEFUL = r"<(?=[!tTrR])(?:!\[(?i:CDATA)\[|(?i:" + "|".join(HIDDEN) + r")[\s/>])"
+TOKEN = rf"(?s)<(?:!\[(?i:CDATA)\[.*?\]\]>|{_RAW}|{_DECLARATION})|{TAG}|[^<]++|<"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*+)"
+BLOCKS = ["br", "p", "li", "h1", "h2", "h3", "h4", "h5", "h6"]
+# Elements that are never open: those without content, and those that are one token.
+NEVER_OPEN = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
+    "wbr", "script", "style",
+]
+# Stands for "&" in the text of a CDATA section until references are decoded; a noncharacter.
+AMPERSAND = "\ufdd1"
+# Bytes of text that the fold over tokens appends to before they are set aside.
+BLOCK_BYTES = 8192
+BLOCK_TAG = r"<(?=[bBpPlLhH])(?i:br|p|li|h[1-6])(?:[\s/][^>]*)?>"
 
 # The markdown marks in the order they are removed, as (texts of which
 # one must occur, pattern, replacement). The cheap text search spares most texts the
@@ -138,17 +151,88 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
+def visible_tokens(c: Column) -> Column:
+    """Like ``strip_tags``, for texts with hidden elements or CDATA sections.
+
+    The text is cut into tokens, and one fold over them carries the path of open elements and how
+    much of it is visible. A hidden element ends with its own end tag or with that of an element
+    around it, at the latest with the text; end tags that close nothing are ignored.
+    """
+
+    def named(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.lower(F.regexp_extract(t, TAG_NAME, 1)).alias("name"))
+
+    def read(token: Column) -> Column:
+        t, name = token["t"], token["name"]
+        is_markup, is_end = t.startswith("<") & (F.length(t) > 1), t.startswith("</")
+        section = F.replace(F.substring(t, F.lit(10), F.length(t) - 12), F.lit("&"), F.lit(AMPERSAND))
+        shown = (
+            F.when(~is_markup, t)
+            .when(F.upper(F.substring(t, 1, 9)) == "<![CDATA[", F.concat(F.lit(SEAM), section, F.lit(SEAM)))
+            .when(~is_end & name.isin(BLOCKS), F.lit(SEAM + "\n" + SEAM))
+            .otherwise(F.lit(SEAM))
+        )
+        opens = (name != "") & ~is_end & ~name.isin(NEVER_OPEN) & ~t.endswith("/>")
+        return F.struct(
+            F.when(opens, F.concat(name, F.lit("|"))).alias("opened"),
+            F.when((name != "") & is_end, F.concat(F.lit("|"), name, F.lit("|"))).alias("closed"),
+            name.isin(HIDDEN).alias("hides"),
+            shown.alias("shown"),
+            F.when(is_markup, F.lit(SEAM)).otherwise("").alias("hidden"),
+        )
+
+    def path_after(path: Column, token: Column) -> Column:
+        behind = F.call_function("substring_index", path, token["closed"], F.lit(-1))
+        cut = F.substring(path, F.lit(1), F.length(path) - F.length(behind) - F.length(token["closed"]) + 1)
+        return (
+            F.when(token["opened"].isNotNull(), F.concat(path, token["opened"]))
+            .when(F.contains(path, token["closed"]), cut)
+            .otherwise(path)
+        )
+
+    def state(path, visible, block, done):
+        return F.struct(path.alias("path"), visible.alias("visible"), block.alias("block"), done.alias("done"))
+
+    def step(s: Column, token: Column) -> Column:
+        """``visible``: length of the path around the outermost hidden element, -1 if there is none."""
+        path = path_after(s["path"], token)
+        inside = s["visible"] >= 0
+        visible = (
+            F.when(inside & (F.length(path) <= s["visible"]), F.lit(-1))
+            .when(~inside & token["hides"] & token["opened"].isNotNull(), F.length(s["path"]))
+            .otherwise(s["visible"])
+        )
+        # Appending copies, so long texts grow in blocks.
+        full = F.octet_length(s["block"]) > BLOCK_BYTES
+        piece = F.when(inside, token["hidden"]).otherwise(token["shown"])
+        return state(
+            path,
+            visible,
+            F.when(full, piece).otherwise(F.concat(s["block"], piece)),
+            F.when(full, F.concat(s["done"], s["block"])).otherwise(s["done"]),
+        )
+
+    tokens = F.transform(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), named), read)
+    start = state(F.lit("|"), F.lit(-1), F.lit(""), F.lit(""))
+    return F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], s["block"]))
+
+
 def strip_tags(c: Column) -> Column:
-    """Text nodes with seams between them, a newline before br, p, li and h1-h6."""
-    out = F.regexp_replace(c, CDATA, SEAM + "$1" + SEAM)
-    out = F.regexp_replace(out, INVISIBLE, SEAM)
+    """Text nodes with seams between them, a newline before br, p, li and h1-h6.
+
+    ``c`` must be a plain column. Only texts with hidden elements or CDATA sections are folded
+    token by token; patterns do for all others.
+    """
+    out = F.regexp_replace(c, INVISIBLE, SEAM)
     out = F.regexp_replace(out, BLOCK_TAG, SEAM + "\n" + "$0")
-    return F.regexp_replace(out, TAG, SEAM)
+    out = F.regexp_replace(out, TAG, SEAM)
+    return F.when(c.rlike(STATEFUL), visible_tokens(c)).otherwise(out)
 
 
 def join_nodes(c: Column) -> Column:
     """One space per seam, none at the ends."""
-    return F.regexp_replace(F.btrim(c, F.lit(SEAM)), SEAM + "+", " ")
+    joined = F.regexp_replace(F.btrim(c, F.lit(SEAM)), SEAM + "+", " ")
+    return F.replace(joined, F.lit(AMPERSAND), F.lit("&"))
 
 
 def flatten_lines(c: Column) -> Column:
