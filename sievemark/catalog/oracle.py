@@ -345,6 +345,11 @@ def _sql() -> dict[str, str]:
         f"coalesce(length({strip('description')}), -1) AS stripped_chars FROM postings",
         "strip_equals": p + "SELECT job_posting_id, 1 AS same_text, "
         f"CAST(NOT {not_blank('description')} AS INT) AS empty_text FROM postings",
+        "rulebook_labels": f"WITH {POSTINGS}, words AS (SELECT DISTINCT job_posting_id, "
+        "unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]+')) AS word FROM postings) "
+        "SELECT job_posting_id, word AS category FROM words a "
+        "WHERE regexp_full_match(word, '[a-z]{2}tion') AND NOT EXISTS (SELECT 1 FROM words b "
+        "WHERE b.job_posting_id = a.job_posting_id AND b.word = a.word[1:2] || 'ing')",
         "regex_multilabel": f"WITH {POSTINGS}, {TITLE_LABELS} SELECT * FROM title_labels",
         "parse_binary_label": "SELECT doc_id AS job_posting_id, CAST(quality = 1 AS INT) AS label, "
         "0 AS odd_label FROM labels",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from sievemark.jobs.labeller import (
     with_prompt,
 )
 from sievemark.jobs.summary import fill_summaries
-from sievemark.operators import dedup, filters, joins, labels, metrics, ordering, sets, snapshots, topk
+from sievemark.operators import dedup, filters, joins, labels, metrics, ordering, rulebook, sets, snapshots, topk
 from sievemark.plans.evaluation import compare_models, search_models
 from sievemark.plans.prep import clean_postings, prep_postings
 from sievemark.plans.retrieval import retrieve_by_text
@@ -296,6 +297,15 @@ def regex_multilabel(spark, sf):
     return labels.label_by_rules(T.postings(spark, sf)).select(ID, "title", "category")
 
 
+@register
+def rulebook_labels(spark, sf):
+    """Whole descriptions under 676 rules: a word "..tion" of six letters, but not its "..ing"."""
+    starts = [a + b for a in ascii_lowercase for b in ascii_lowercase]
+    rules = [labels.Rule(f"{x}tion", rf"\b{x}tion\b", rf"\b{x}ing\b") for x in starts]
+    found = rulebook.label_by_rulebook(T.postings(spark, sf), rules, "description")
+    return found.select(ID, "category")
+
+
 @register
 def parse_binary_label(spark, sf):
     raw = F.concat(F.lit(" "), F.col("quality").cast("string"), F.lit("\n"))
