@@ -88,6 +88,22 @@ def errors_path(path: str) -> str:
     return f"{path.rstrip('/')}/_errors"
 
 
+def open_failures(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """(id, errors) of rows that failed in some run into ``path`` and are still not done.
+
+    One row per id with its distinct reasons, sorted. Empty if nothing ever failed; a row that a
+    later run has answered is listed no more, though its line stays in the files.
+    """
+    failed, done = read_done(spark, errors_path(path)), read_done(spark, path)
+    if failed is None:
+        if done is None:
+            raise ValueError(f"No job has written to {path}")
+        id_type = done.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"`{id_col}` {id_type}, errors array<string>")
+    pending = failed if done is None else pending_rows(failed, done, id_col)
+    return pending.groupBy(id_col).agg(F.sort_array(F.collect_set(ERROR)).alias("errors"))
+
+
 def run_resumable(
     source: DataFrame,
     transform: Callable[[DataFrame], DataFrame],

@@ -14,6 +14,8 @@ from sievemark.functions.vectors import slot_for_dim
 
 # Narrow rows that may be sent to every executor when a caller states an upper bound.
 BROADCAST_ROWS = 100_000
+# Rows with a vector of up to 4096 doubles each, so 64 MB at most.
+BROADCAST_VECTORS = 2_000
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -21,6 +23,15 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
 
 
+def count_single_rows(df: DataFrame, keys: Sequence[str], what: str) -> int:
+    """Rows of ``df`` with all ``keys`` set. Raises if two of them have equal keys."""
+    copies = df.dropna(subset=list(keys)).groupBy(*keys).count()
+    rows, most = copies.agg(F.sum("count"), F.max_by(F.struct(*keys, "count"), "count")).first()
+    if most is not None and most["count"] > 1:
+        raise ValueError(f"{what} occurs {most['count']} times: {[most[k] for k in keys]}")
+    return rows or 0
+
+
 def labels_left_join(postings: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """Every posting, with null labels where there are none."""
     return postings.join(labels, id_col, "left")
@@ -89,8 +100,13 @@ def query_vector_lookup(
     ``requests``: request_id, category, query_text, dim. ``stored_queries``: category,
     query. ``stored_vectors``: category, slot, model_name, vector. A vector is reused
     only if the category is known, the stored query equals the text after strip, the
-    slot of this width is filled by the expected model and the width is right.
+    slot of this width is filled by the expected model and the width is right. A category
+    with two stored queries, or two vectors for a slot, would multiply requests and raises;
+    rows without a category answer none. The stored tables are counted for this, and
+    broadcast if they are small.
     """
+    n_queries = count_single_rows(stored_queries, ["category"], "Stored query")
+    n_vectors = count_single_rows(stored_vectors, ["category", "slot"], "Stored vector")
     slot, model = slot_for_dim(F.col("dim"), slots)
     asked = requests.withColumn("slot", slot).withColumn("expected_model", model)
     known = stored_queries.select(F.col("category").alias("known_category"), "query")
@@ -107,10 +123,13 @@ def query_vector_lookup(
         & (F.size("vector") == F.col("dim"))
         & (F.size("vector") > 0)
     )
-    # Both tables have a row per category (and slot), as configured, so they are broadcast.
+    known = broadcast_if_bounded(known.dropna(subset=["known_category"]), n_queries)
+    vectors = vectors.dropna(subset=["vector_category", "vector_slot"])
+    if n_vectors <= BROADCAST_VECTORS:
+        vectors = F.broadcast(vectors)
     return (
-        asked.join(F.broadcast(known), same_text, "left")
-        .join(F.broadcast(vectors), usable, "left")
+        asked.join(known, same_text, "left")
+        .join(vectors, usable, "left")
         .select(*asked.columns, "vector")
         .withColumn("needs_encoding", F.col("vector").isNull())
     )

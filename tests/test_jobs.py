@@ -72,6 +72,8 @@ def test_label_job_resumes_without_repeating(spark, posts):
     assert first.count() == 24 and first.columns == ["id", *CATEGORIES]
     failed = spark.read.parquet(resumable.errors_path(path)).collect()
     assert [(r.id, r.error) for r in failed] == [(7, "RuntimeError: model down")]
+    still = resumable.open_failures(spark, path, "id").collect()
+    assert [(r.id, r.errors) for r in still] == [(7, ["RuntimeError: model down"])]
     marker = {r.id for r in first.collect()}
 
     def other(prompts):
@@ -80,6 +82,7 @@ def test_label_job_resumes_without_repeating(spark, posts):
     second = run_label_job(posts, other, path, "id", CATEGORIES, n_slices=3).collect()
     assert len(second) == 40 == len({r.id for r in second})
     assert all((r.marketing == 0) == (r.id in marker) for r in second)
+    assert resumable.open_failures(spark, path, "id").count() == 0
     assert run_label_job(posts, other, path, "id", CATEGORIES).count() == 40
     with pytest.raises(ValueError, match="mode"):
         run_label_job(posts, other, path, "id", mode="nope")
@@ -128,6 +131,29 @@ def test_fill_summaries_writes_only_the_slice(spark, posts):
     assert fill_summaries(posts, model, "id", 0, 1).columns[-1] == "summary"
 
 
+def test_failed_summaries_are_listed_with_reasons(spark, posts):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return ["s" for _ in prompts]
+
+    path = scratch_path(spark, "failed-summaries")
+    rows = fill_summaries(posts, model, "id", 0, 40, retries=0, errors_to=path)
+    assert rows.columns == [*posts.columns, "summary"]
+    assert [r.id for r in rows.where("summary is null").collect()] == [7]
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(7, "RuntimeError: no")]
+    fill_summaries(posts, lambda prompts: ["s" for _ in prompts], "id", 0, 40, errors_to=path)
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_open_failures_of_a_job_without_any(spark, posts):
+    path = scratch_path(spark, "no-failures")
+    with pytest.raises(ValueError, match="No job"):
+        resumable.open_failures(spark, path, "id")
+    run_label_job(posts.where("id < 3"), answer, path, "id", CATEGORIES)
+    assert resumable.open_failures(spark, path, "id").collect() == []
+
+
 def test_encode_job_is_resumable_and_unit_length(spark, posts):
     path = scratch_path(spark, "vectors")
     columns = ["title", "description"]

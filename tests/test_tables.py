@@ -216,6 +216,21 @@ def test_query_vector_lookup(spark, stored):
     assert found[0].vector == [1.0, 2.0]
 
 
+def test_query_vector_lookup_takes_one_row_per_category(spark, stored):
+    queries, vectors = stored
+    asked = spark.createDataFrame([(1, "a", "find a", 2), (2, None, None, 2)],
+                                  "request_id int, category string, query_text string, dim int")
+    none = spark.createDataFrame([(None, "x"), (None, "x")], queries.schema)
+    found = joins.query_vector_lookup(asked, queries.unionAll(none), vectors, SLOTS).collect()
+    assert sorted((r.request_id, r.needs_encoding) for r in found) == [(1, False), (2, True)]
+    empty = joins.query_vector_lookup(asked, queries.limit(0), vectors.limit(0), SLOTS).collect()
+    assert [r.needs_encoding for r in empty] == [True, True]
+    with pytest.raises(ValueError, match="Stored query occurs 2 times: .'a'"):
+        joins.query_vector_lookup(asked, queries.unionAll(queries.limit(1)), vectors, SLOTS)
+    with pytest.raises(ValueError, match="Stored vector occurs 2 times"):
+        joins.query_vector_lookup(asked, queries, vectors.unionAll(vectors), SLOTS)
+
+
 def test_query_cache_upsert(spark, stored):
     encoded = spark.createDataFrame(
         [
