@@ -35,7 +35,7 @@ TOP = 2_000
 SCALE = 1_000_000
 
 # Words that a task counts at once.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 # Bits of the map of pairs that may be frequent; 16 MB.
 MAP_BITS = 27
 BATCH_ROWS = 50_000
