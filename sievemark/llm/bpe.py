@@ -6,8 +6,9 @@ looked up anew, until no rank is left. Words of equal length are the rows of one
 them loses one boundary per step. Scanning is quadratic, so it serves words of up to ``SHORT``
 bytes; longer ones keep the same ranks in a heap and give the same parts.
 
-The vocabulary file is read once, by the driver, and sent with the tasks; its size is checked. Every
-task remembers the ids of about ``KNOWN_WORDS`` words, whatever the size of the input.
+The vocabulary file is read once, by the driver, and its size is checked; tasks get arrays of ranks or
+of tokens and never parse it. Every task remembers the ids of about ``KNOWN_WORDS`` words, packed, and
+takes and gives texts in slices of bounded size, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import heapq
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -31,8 +34,9 @@ KNOWN_WORDS = 300_000
 # Largest vocabulary file that is sent with tasks.
 MOST_BYTES = 64_000_000
 
-# Rows that are encoded or decoded at once.
+# Rows and bytes that are encoded or decoded at once; a larger row is alone.
 ROWS = 500
+BYTES = 1 << 20
 # Bits of an id in the key of a pair.
 PAIR_BITS = 24
 
@@ -157,18 +161,22 @@ class WordBpe:
         if not known:
             raise ValueError("This vocabulary asks for steps that are not built here")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.vocab = vocab
         self.inner = np.array([vocab[c] for c in LETTERS], np.int64)
         self.last = np.array([vocab[c + end] for c in LETTERS], np.int64)
         merges = [(vocab[a] << PAIR_BITS | vocab[b], vocab[a + b]) for a, b in model["merges"]]
-        self.ranks = {pair: rank for rank, (pair, _) in enumerate(merges)}
+        ranks = {pair: rank for rank, (pair, _) in enumerate(merges)}
         self.merged = np.array([m for _, m in merges], np.int64)
-        self.pairs = np.array(sorted(self.ranks), np.int64)
-        self.by_pair = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
+        self.pairs = np.array(sorted(ranks), np.int64)
+        self.by_pair = np.array([ranks[p] for p in self.pairs.tolist()], np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        """Rank by pair; only long words need it."""
+        return dict(zip(self.pairs.tolist(), self.by_pair.tolist()))
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pairs = left << PAIR_BITS | right
@@ -188,7 +196,7 @@ class WordBpe:
                 ids = merged_by_scan(parts, self.ranks_of, self.merged)
             else:
                 ids = [merged_by_heap(p, self.ranks, self.merged) for p in parts.tolist()]
-            self.known.update(zip([w for w, _ in group], ids))
+            self.known.update((w, array("i", x).tobytes()) for (w, _), x in zip(group, ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; the strings of added tokens are those tokens."""
@@ -202,17 +210,19 @@ class WordBpe:
         ids = self.known.__getitem__
         out = []
         for pieces in words:
-            runs = ([self.added[p]] if isinstance(p, str) else chain.from_iterable(map(ids, p)) for p in pieces)
-            out.append(np.fromiter(chain.from_iterable(runs), np.int32))
+            runs = (array("i", [self.added[p]]).tobytes() if isinstance(p, str) else b"".join(map(ids, p)) for p in pieces)
+            out.append(np.frombuffer(b"".join(runs), np.int32))
         for word in new:
             if len(word) > SHORT:
                 del self.known[word]
         return out
 
-    def tokens(self) -> list[str | None]:
-        """The string of every id; null for ids that are not in use."""
-        by_id = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
-        return [by_id.get(i) for i in range(max(by_id) + 1)]
+
+def tokens_of(content: bytes) -> list[str | None]:
+    """The string of every id of a vocabulary; null for ids that are not in use."""
+    spec = json.loads(content)
+    by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [by_id.get(i) for i in range(max(by_id) + 1)]
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -230,19 +240,35 @@ def encode(text: Column, vocabulary: bytes) -> Column:
     """Ids of every whole text, ``array<int>``. Null and empty texts, and texts of white space
     alone, have none. Equal texts have equal ids; texts of any length are taken whole."""
 
+    words = WordBpe(vocabulary)
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordBpe(vocabulary)
         for batch in batches:
-            found = []
-            for i in range(0, len(batch), ROWS):
-                found += words.encode(batch.slice(i, ROWS).to_pylist())
-            ends = np.cumsum([0, *map(len, found)])
-            ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield from _encoded(words, batch)
 
     return F.arrow_udf(run, "array<int>")(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _encoded(words: WordBpe, batch: pa.Array) -> Iterator[pa.Array]:
+    """Lists of ids of a batch of texts, slice by slice."""
+    for texts in _slices(batch, pc.binary_length(batch)):
+        found = words.encode(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, found)])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
+def _slices(batch: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """``batch`` in slices of at most ``ROWS`` rows and about ``BYTES`` bytes, given the bytes of its rows."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        end = int(np.searchsorted(ends, before + BYTES, "right"))
+        end = min(max(end, start + 1), start + ROWS)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _joined(lists: pa.Array, tokens: pa.Array) -> pa.Array:
     """The tokens of each list of ids, with spaces between."""
     flat = pc.list_flatten(lists)
@@ -261,10 +287,11 @@ def decode(ids: Column, vocabulary: bytes) -> Column:
     decoder gives them. Ids that are null or not in the vocabulary are left out; no ids give the
     empty text, a null list null."""
 
+    tokens = pa.array(tokens_of(vocabulary), pa.large_string())
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(WordBpe(vocabulary).tokens(), pa.large_string())
         for batch in batches:
-            pieces = [_joined(batch.slice(i, ROWS), tokens) for i in range(0, len(batch), ROWS)]
-            yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
+            for ids_of_rows in _slices(batch, pc.multiply(pc.list_value_length(batch), 8)):
+                yield _joined(ids_of_rows, tokens)
 
     return F.arrow_udf(run, "string")(ids)

@@ -1,9 +1,11 @@
 import hashlib
 import json
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,27 @@ def test_other_vocabularies_are_refused(tmp_path):
     (tmp_path / "v.json").write_bytes(b"x")
     with pytest.raises(ValueError):
         bpe.read_vocabulary(str(tmp_path / "v.json"))
+
+
+def test_large_texts_are_taken_in_slices(library):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("etaoin", k=2)) for _ in range(20_000)) for _ in range(200)]
+    texts[3] = ""
+    words = bpe.WordBpe(bpe.read_vocabulary(PATH))
+    tracemalloc.start()
+    found = list(bpe._encoded(words, pa.array(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # the words of all 200 texts take 200 MB
+    ids = pa.concat_arrays(found).to_pylist()
+    assert len(ids) == 200 and ids[3] == [] and ids[9] == expected(library, texts[9])[0]
+    assert max(map(len, found)) < 100 and all(type(x) is bytes for x in words.known.values())
+
+
+def test_slices_cover_every_row_once(monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 3)
+    monkeypatch.setattr(bpe, "BYTES", 10)
+    sizes = [0, 4, 6, 1, 30, 2, 2, 2, 2, None, 0, 11]
+    rows = pa.array(range(12))
+    assert [x.to_pylist() for x in bpe._slices(rows, pa.array(sizes))] == [[0, 1, 2], [3], [4], [5, 6, 7], [8, 9, 10], [11]]
+    assert not list(bpe._slices(rows[:0], pa.array([], pa.int32())))
