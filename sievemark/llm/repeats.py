@@ -37,6 +37,7 @@ GRAMS = LENGTH - GRAM + 1  # in a window
 SIDE = (LENGTH - GRAM + 1) // 2  # bytes that a shared window has on one side of the trigger
 CHUNK = 250_000  # bytes that are hashed at a time
 FLUSH = 250_000  # phrases that a task collects before it sends them
+SEND = 20_000  # phrases or windows in a batch that leaves a task, if no single bucket has more
 BUCKETS = 4  # per shuffle partition
 LAST_ID = 2**63 - 1
 
@@ -164,32 +165,29 @@ DONE = {"done_doc": pa.int64(), "done_variant": pa.int16(), "done_at": pa.int32(
 
 def _dealt(
     rows: dict[str, np.ndarray], key: list[str], buckets: int, fields: dict[str, pa.DataType]
-) -> pa.RecordBatch:
-    """One row of lists per bucket of the first key column. Rows of a key after its smallest
-    document are decided here and sent as done."""
+) -> Iterator[pa.RecordBatch]:
+    """One row of lists per bucket of the first key column, in batches of about ``SEND`` entries. Rows
+    of a key after its smallest document are decided here and sent as done."""
     order = np.lexsort((rows["doc"], *[rows[k] for k in reversed(key)]))
-    rows = {k: v[order] for k, v in rows.items()}
-    first, _ = _firsts(rows, key)
-    keep = rows["doc"] == rows["doc"][first]
-    place = (rows[key[0]].view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
-    bucket = place.astype(np.int32)
-    lists: dict[str, list] = {k: [] for k in [*fields, *DONE]}
-    found = np.unique(bucket)
+    first, _ = _firsts({k: rows[k][order] for k in key}, key)
+    keep = rows["doc"][order] == rows["doc"][order[first]]
+    bucket = ((rows[key[0]][order].view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
     by_bucket = np.argsort(bucket, kind="stable")
-    low = np.searchsorted(bucket[by_bucket], found, "left")
-    high = np.searchsorted(bucket[by_bucket], found, "right")
-    for a, b in zip(low, high):
-        mine = by_bucket[a:b]
-        sent, done = mine[keep[mine]], mine[~keep[mine]]
-        for k in fields:
-            lists[k].append(rows[k][sent])
-        for k in DONE:
-            lists[k].append(rows[k.removeprefix("done_")][done])
-    kinds = {**fields, **DONE}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(found, pa.int32()), *[pa.array(lists[k], pa.list_(t)) for k, t in kinds.items()]],
-        names=["bucket", *kinds],
-    )
+    order, keep, bucket = order[by_bucket], keep[by_bucket], bucket[by_bucket]
+    begins = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    a = 0
+    while a < len(begins) - 1:
+        b = max(a + 1, int(np.searchsorted(begins, begins[a] + SEND, "right")) - 1)
+        low, high = begins[a], begins[b]
+        here, kept = order[low:high], keep[low:high]
+        columns = [pa.array(bucket[begins[a:b]], pa.int32())]
+        for names, chosen in ((fields, kept), (DONE, ~kept)):
+            ends = np.append(0, np.cumsum(chosen))[begins[a : b + 1] - low]
+            for k, t in names.items():
+                values = rows[k.removeprefix("done_")][here[chosen]]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, t)))
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *fields, *DONE])
+        a = b
 
 
 def _firsts(rows: dict[str, np.ndarray], key: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +295,8 @@ def _decide_windows(table: pa.Table) -> pa.Table:
 
 
 def _collected(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    """The columns of all ``parts``, which are emptied on the way."""
+    return {k: np.concatenate([p.pop(k) for p in parts]) for k in list(parts[0])}
 
 
 def _send_phrases(buckets: int):
@@ -309,10 +308,10 @@ def _send_phrases(buckets: int):
         def parse() -> dict[str, np.ndarray]:
             found = phrases([p[3] for p in pieces], [p[4] for p in pieces])
             which = found.pop("piece")
-            for k, i in (("doc", 0), ("variant", 1), ("low", 2)):
-                found[k] = np.array([p[i] for p in pieces], np.int64)[which]
-            found["at"] = found["at"] + found.pop("low")
-            return found
+            for k, i, kind in (("doc", 0, np.int64), ("variant", 1, np.int16), ("low", 2, np.int64)):
+                found[k] = np.array([p[i] for p in pieces], kind)[which]
+            found["at"] = (found["at"] + found.pop("low")).astype(np.int32)
+            return found | {"n": found["n"].astype(np.int32)}
 
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
@@ -325,12 +324,12 @@ def _send_phrases(buckets: int):
                         count += len(parts[-1]["g"])
                         pieces, size = [], 0
                     if count >= FLUSH:
-                        yield _dealt(_collected(parts), ["g", "e"], buckets, FIELDS)
+                        yield from _dealt(_collected(parts), ["g", "e"], buckets, FIELDS)
                         parts, count = [], 0
         if pieces:
             parts.append(parse())
         if parts:
-            yield _dealt(_collected(parts), ["g", "e"], buckets, FIELDS)
+            yield from _dealt(_collected(parts), ["g", "e"], buckets, FIELDS)
 
     return run
 
@@ -347,11 +346,12 @@ def _send_windows(buckets: int):
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = base[which] + inside
         second = Hashes(data, _BASE_2, _BYTES_2).of(start, start + LENGTH, 5)
-        column = lambda i: np.array([p[i] for p in pieces], np.int64)[which]
+        column = lambda i, kind: np.array([p[i] for p in pieces], kind)[which]
         return {
             "h": Hashes(data).of(start, start + LENGTH, 4).view(np.int64),
             "h2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32),
-            "doc": column(0), "variant": column(1), "at": column(2) + inside,
+            "doc": column(0, np.int64), "variant": column(1, np.int16),
+            "at": (column(2, np.int64) + inside).astype(np.int32),
             "n": np.ones(len(which), np.int32),
         }
 
@@ -369,10 +369,10 @@ def _send_windows(buckets: int):
                         pieces.append((doc, variant, at, data[at : at + n + LENGTH - 1]))
                         size += n
                         if size >= CHUNK:
-                            yield _dealt(hashed(pieces), ["h", "h2"], buckets, WINDOWS)
+                            yield from _dealt(hashed(pieces), ["h", "h2"], buckets, WINDOWS)
                             pieces, size = [], 0
         if pieces:
-            yield _dealt(hashed(pieces), ["h", "h2"], buckets, WINDOWS)
+            yield from _dealt(hashed(pieces), ["h", "h2"], buckets, WINDOWS)
 
     return run
 

@@ -98,3 +98,20 @@ def test_second_window_hash_has_its_own_base(monkeypatch):
     rows = repeats._flat(table, list(repeats.WINDOWS))
     assert len(set(rows["h"].tolist())) == 1 and len(rows["h2"]) == 2
     assert not repeats._decide_windows(table).num_rows
+
+
+def test_tasks_send_small_batches(monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 300) for _ in range(20)]
+    texts += texts[:5]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(25)), pa.array([0] * 25, pa.int16()), pa.array(texts)], ["doc", "variant", "text"]
+    )
+    whole = list(repeats._send_phrases(500)([batch]))
+    monkeypatch.setattr(repeats, "SEND", 40)
+    small = list(repeats._send_phrases(500)([batch]))
+    assert len(whole) == 1 and len(small) > 20
+    assert pa.Table.from_batches(small).equals(pa.Table.from_batches(whole).combine_chunks())
+    sizes = [len(b.column("g").flatten()) + len(b.column("done_n").flatten()) for b in small]
+    assert all(size <= 40 or b.num_rows == 1 for size, b in zip(sizes, small))
+    assert sum(len(b.column("done_n").flatten()) for b in small) > 100
