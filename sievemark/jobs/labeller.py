@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from sievemark.constants import MODEL_CATEGORIES
 from sievemark.functions.responses import exclude_when, parse_binary, parse_multilabel
 from sievemark.functions.strings import render_format, truncate_chars
-from sievemark.jobs.resumable import ERROR, ModelFunction, call_in_batches, map_texts, run_resumable
+from sievemark.jobs.resumable import ERROR, ModelFunction, map_columns, map_texts, run_resumable
 
 # Label that is switched off where the other one is set.
 EXCLUSIVE = ("internship", "entry_level")
@@ -100,19 +101,8 @@ def label_per_category(
         )
         prompts = asked.drop("category")
 
-    def run(batches):
-        for pdf in batches:
-            out, errors = pdf[[id_col]].copy(), [None] * len(pdf)
-            for i in range(len(names)):
-                answers = call_in_batches(fn, pdf[f"prompt_{i}"].tolist(), retries, batch_size)
-                out[f"answer_{i}"] = [a for a, _ in answers]
-                errors = [old or new for old, (_, new) in zip(errors, answers)]
-            yield out.assign(error=errors)
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    fields = ", ".join(f"answer_{i} string" for i in range(len(names)))
-    asked = prompts.select(id_col, *[f"prompt_{i}" for i in range(len(names))])
-    answers = asked.mapInPandas(run, f"{id_col} {id_type}, {fields}, {ERROR} string")
+    fields = [StructField(f"answer_{i}", StringType()) for i in range(len(names))]
+    answers = map_columns(prompts, id_col, [f"prompt_{i}" for i in range(len(names))], fn, fields, retries, batch_size)
     labels = [
         F.coalesce(parse_binary(F.col(f"answer_{i}")), F.lit(0)).alias(n) for i, n in enumerate(names)
     ]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sievemark.operators.joins import pending_rows
 from sievemark.session import scratch_path
@@ -18,6 +24,9 @@ Answer = tuple[Any, str | None]
 # Why a row has no value; null where it has one.
 ERROR = "error"
 
+# Bytes of text that a task takes out of an Arrow batch at once; a longer text is alone.
+CALL_BYTES = 2 << 20
+
 
 def call_model(fn: ModelFunction, texts: list[str], retries: int = 2) -> list[Answer]:
     """(answer, error) of each text in order; the error is None where ``fn`` answered.
@@ -49,6 +58,49 @@ def call_in_batches(
     return [a for i in range(0, len(texts), step) for a in call_model(fn, texts[i : i + step], retries)]
 
 
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` (id, then texts) in slices of rows with about ``CALL_BYTES`` of text."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns[1:]:
+        sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + CALL_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_columns(
+    df: DataFrame,
+    id_col: str,
+    text_cols: Sequence[str],
+    fn: ModelFunction,
+    fields: Sequence[StructField],
+    retries: int = 2,
+    batch_size: int | None = None,
+) -> DataFrame:
+    """(id, one field per text column, error) with ``fn`` applied to every text column; only id and
+    texts travel to Python. Without ``batch_size`` a call gets at most one Arrow batch and about
+    ``CALL_BYTES`` of text. A row is in error if one of its calls failed."""
+    out = StructType([df.schema[id_col], *fields, StructField(ERROR, StringType())])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch):
+                columns, errors = [rows.column(0).cast(schema.field(0).type)], [None] * rows.num_rows
+                for i, texts in enumerate(rows.columns[1:], 1):
+                    answers = call_in_batches(fn, texts.to_pylist(), retries, batch_size)
+                    values = pd.Series([a for a, _ in answers])
+                    columns.append(pa.Array.from_pandas(values, type=schema.field(i).type))
+                    errors = [old or new for old, (_, new) in zip(errors, answers)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], schema=schema)
+
+    return df.select(id_col, *[F.col(c).cast("string") for c in text_cols]).mapInArrow(run, out)
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,
@@ -58,19 +110,9 @@ def map_texts(
     retries: int = 2,
     batch_size: int | None = None,
 ) -> DataFrame:
-    """(id, value, error) with ``fn`` applied to batches of texts; only these two columns
-    travel to Python. Without ``batch_size`` a call gets one Arrow batch."""
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            answers = call_in_batches(fn, pdf[text_col].tolist(), retries, batch_size)
-            values, errors = [a for a, _ in answers], [e for _, e in answers]
-            yield pdf[[id_col]].assign(value=values, error=errors)
-
-    return df.select(id_col, text_col).mapInPandas(
-        run, f"{id_col} {id_type}, value {out_type}, {ERROR} string"
-    )
+    """(id, value, error) with ``fn`` applied to batches of texts, as ``map_columns`` does."""
+    value = StructType.fromDDL(f"value {out_type}")["value"]
+    return map_columns(df, id_col, [text_col], fn, [value], retries, batch_size)
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame | None:

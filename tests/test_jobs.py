@@ -418,3 +418,22 @@ def test_counting_sees_the_subsets_once(spark, tmp_path):
     sizes = {c: sorted(len(r.ids) for r in rows if r.category == c) for c in "xyz"}
     assert sizes == {"x": [2, 7, 7, 7, 7], "y": [3, 7], "z": [0]}
     assert {r["count"] for r in rows if r.category == "x"} == {30}
+
+
+def test_calls_get_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(resumable, "CALL_BYTES", 100)
+    rows = [(i, "title", "x" * (i % 7) * 9) for i in range(60)] + [(60, None, None), (61, "long", "y" * 500)]
+    df = spark.createDataFrame(rows, "id long, title string, description string").coalesce(1)
+
+    def size(texts):
+        return [str(sum(map(len, texts)) if len(texts) > 1 else 0) for _ in texts]
+
+    got = resumable.map_texts(df.select("id", "description").na.fill(""), "id", "description", size, "string").collect()
+    assert sorted(r.id for r in got) == list(range(62)) and max(int(r.value) for r in got) <= 100
+    assert {r.error for r in got} == {None}
+
+    def many(texts):
+        return ["1" if len(texts) == 1 else "0" for _ in texts]
+
+    labels = label_per_category(df, many, "id", CATEGORIES).collect()  # three prompts pass 100 bytes in every row
+    assert len(labels) == 62 and {tuple(r)[1:] for r in labels} == {(1, 1, 1, None)}
