@@ -6,16 +6,16 @@ rows per query and never a (query, vector) pair table. Two grouped limits then m
 the task results.
 
 A few queries travel with the task's function. Many are written in blocks, one row each,
-and paired with chunks of the corpus, which is a grid of blocks and corpus partitions: every
-task reads its part of the corpus once and the blocks from their files, so no query vector
-is on the driver. A pair carries the chunk only at the first block and the block only at the
-first chunk; the task remembers both.
+and paired with chunks of the corpus, which is a grid of shares of blocks and corpus partitions:
+every task reads its part of the corpus and one share of the blocks from their files, so no query
+vector is on the driver and no task holds more than a share, however many queries there are. A
+pair carries the chunk only at the first block and the block only at the first chunk; the task
+remembers both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,11 @@ from sievemark.session import materialize
 # of this size that the tasks read.
 BLOCK_BYTES = 8 << 20
 BLOCK_QUERIES = 1024
-# Bytes of query vectors and hits that one task holds. More queries mean more passes.
-PASS_BYTES = 512 << 20
+# Bytes of query vectors and hits that one task holds. More queries mean more shares, each of which
+# goes over the corpus in tasks of its own.
+PASS_BYTES = 64 << 20
+# What a query takes beside its vectors and hits.
+QUERY_BYTES = 512
 # Bytes of corpus vectors in a chunk.
 CHUNK_BYTES = 4 << 20
 # Queries multiplied at once inside a task, to bound the score matrix.
@@ -177,8 +180,8 @@ def cosine_topk(
 
     Up to ``block_bytes`` and ``block_queries``, query vectors are read now and the plan is lazy.
     More are written in blocks of that size, which the tasks read while they scan the corpus; if
-    all blocks with their hits exceed ``pass_bytes``, the corpus is scanned once for each
-    share of them, and the hits of a pass are stored before the next one starts.
+    all blocks with their hits exceed ``pass_bytes``, they are dealt into shares of that size, and
+    tasks for every share and corpus partition scan the corpus once for each share.
     """
     query_cols = list(query_cols)
     fields = [queries.schema[c] for c in query_cols] + [corpus.schema[id_col]]
@@ -211,18 +214,10 @@ def cosine_topk(
 
     blocks = _blocks(asked, query_cols, vector_col, per_block)
     # A query takes its vector twice, as 64 and 32 bits, and its hits.
-    per_pass = max(1, pass_bytes // (per_block * (high * 12 + k * 16)))
-    n_blocks = -(-n // per_block)
+    per_share = max(1, pass_bytes // (per_block * (high * 12 + k * 16 + QUERY_BYTES)))
     chunks = _chunks(narrow, id_col, vector_col, high)
-    stored = []
-    for first in range(0, n_blocks, per_pass):
-        share = blocks.where(F.col("block").between(first, first + per_pass - 1))
-        found = _grid(chunks, share).mapInArrow(_grid_scanner(k, high, schema), out_type)
-        best = merge_topk(found, query_cols, id_col, k)
-        if n_blocks <= per_pass:
-            return best
-        stored.append(materialize(best, "pass-hits"))
-    return reduce(DataFrame.unionAll, stored)
+    found = _grid(chunks, _shares(blocks, -(-n // per_block), per_share))
+    return merge_topk(found.mapInArrow(_grid_scanner(k, high, schema), out_type), query_cols, id_col, k)
 
 
 def _blocks(asked: DataFrame, query_cols: Sequence[str], vector_col: str, per_block: int) -> DataFrame:
@@ -270,10 +265,17 @@ def _chunks(narrow: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFr
     return narrow.mapInArrow(pack, f"first boolean, ids array<{fields[0]}>, vectors array<{fields[1]}>")
 
 
-def _grid(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every chunk with every block, chunk by chunk. The blocks are one partition, which each task
-    reads from its files and then goes through in that order for every chunk."""
-    placed = blocks.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+def _shares(blocks: DataFrame, n_blocks: int, per_share: int) -> DataFrame:
+    """The blocks in partitions of exactly ``per_share`` of them, but for the last one."""
+    if n_blocks <= per_share:
+        return blocks.coalesce(1)
+    return blocks.repartitionById(-(-n_blocks // per_share), F.floor(F.col("block") / per_share).cast("int"))
+
+
+def _grid(chunks: DataFrame, shares: DataFrame) -> DataFrame:
+    """Every chunk with every block, chunk by chunk. Each task reads one partition of blocks from
+    its files and then goes through it in that order for every chunk of one corpus partition."""
+    placed = shares.withColumn("place", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
     pairs = chunks.crossJoin(placed.hint("shuffle_replicate_nl"))
     at_first = F.col("place") == 0
     return pairs.select(
@@ -297,7 +299,9 @@ def _grid_scanner(k: int, dim: int, schema: pa.Schema):
                     queries = query_col[i].values
                     fields = queries.flatten()
                     names = schema.names[:-2]
-                    keys = [f.cast(schema.field(c).type) for f, c in zip(fields, names)]
+                    # Copies, as a view would keep the whole batch.
+                    every = pa.array(range(len(queries)))
+                    keys = [f.cast(schema.field(c).type).take(every) for f, c in zip(fields, names)]
                     matrix = _unit_rows(_to_matrix(fields[-1], dim))
                     owner = pa.RecordBatch.from_arrays(keys, names=names)
                     found[block] = owner, _Best(matrix, k)

@@ -107,6 +107,33 @@ def test_blocks_are_cut_over_all_partitions(spark):
     assert sorted(len(r.queries) for r in blocks.collect()) == [10, 90]
 
 
+def test_tasks_hold_one_share_of_the_queries(spark):
+    """However many queries there are, a task meets only its share, and shares are even."""
+    vectors = RNG.normal(size=(120, 4)).astype(np.float32)
+    blocks = topk._blocks(queries(spark, vectors), ["category"], "embedding", 10)
+    shares = topk._shares(blocks, 12, 5)
+    chunks = topk._chunks(corpus(spark, range(30), vectors[:30]).repartition(3), "id", "embedding", 4)
+    pairs = topk._grid(chunks, shares).select("block", "queries", "ids", F.spark_partition_id().alias("task")).collect()
+    met = {}
+    for r in pairs:
+        met.setdefault(r.task, []).append(r)
+    assert sorted(sorted({r.block for r in rows}) for rows in met.values()) == sorted(
+        [[*range(5)], [*range(5, 10)], [10, 11]] * 3
+    )
+    for rows in met.values():
+        assert {r.block for r in rows if r.queries} == {r.block for r in rows} and any(r.ids for r in rows)
+        assert max(map(len, (r.queries for r in rows if r.queries))) <= 10
+
+
+def test_shares_give_the_hits_of_one_pass(spark):
+    vectors = RNG.normal(size=(150, 5)).astype(np.float32)
+    df = corpus(spark, range(150), vectors).repartition(4)
+    args = {"id_col": "id", "query_cols": ["category"], "block_queries": 8}
+    per_query = 5 * 12 + 6 * 16 + topk.QUERY_BYTES
+    found = cosine_topk(df, queries(spark, vectors), 6, pass_bytes=3 * 8 * per_query, **args)
+    assert hits_of(found) == {f"q{i}": brute_force(range(150), vectors, v, 6) for i, v in enumerate(vectors)}
+
+
 def test_many_queries_take_any_column_names(spark):
     """Key columns called as the grid's own, several keys, string ids, vectors with holes."""
     rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("zero", [0.0, 0.0]), ("hole", [None, 1.0]), ("null", None), (None, [1.0, 1.0])]
