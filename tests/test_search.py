@@ -134,6 +134,58 @@ def test_shares_give_the_hits_of_one_pass(spark):
     assert hits_of(found) == {f"q{i}": brute_force(range(150), vectors, v, 6) for i, v in enumerate(vectors)}
 
 
+def test_a_share_meets_a_chunk_once(spark, monkeypatch):
+    """A task gets each block once and each chunk once, and not a row for each pair of them."""
+    vectors = RNG.normal(size=(120, 4)).astype(np.float32)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 4 * 8 * 5)
+    blocks = topk._blocks(queries(spark, vectors), ["category"], "embedding", 10)
+    chunks = topk._chunks(corpus(spark, range(100), vectors[:100]).coalesce(1), "id", "embedding", 4)
+    pairs = topk._grid(chunks, topk._shares(blocks, 12, 12)).collect()
+    assert sum(r.queries is not None for r in pairs) == 12 and len(pairs) == 12 + 20
+    assert sorted(i for r in pairs for i in r.ids) == list(range(100))
+
+
+def test_corpus_is_cut_for_the_cores(spark):
+    """Each part of the corpus returns hits of every query, so there are no more parts than tasks need."""
+    vectors = RNG.normal(size=(200, 3)).astype(np.float32)
+    df = corpus(spark, range(200), vectors).repartition(100)
+    args = {"id_col": "id", "query_cols": ["category"], "block_queries": 8}
+    found = cosine_topk(df, queries(spark, vectors), 2, **args)
+    assert f"Coalesce {topk.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}" in plan_of(found)
+    assert hits_of(found) == {f"q{i}": brute_force(range(200), vectors, v, 2) for i, v in enumerate(vectors)}
+
+
+def test_work_goes_by_stripe_and_not_by_query(monkeypatch):
+    """Queries are merged together, and of a vector that fills a chunk only k copies are rescored."""
+    vectors = RNG.normal(size=(900, 8)).astype(np.float32)
+    vectors[::2] = vectors[0]
+    ids = RNG.permutation(900)
+    merged = []
+    plain = _Best._merge
+    monkeypatch.setattr(_Best, "_merge", lambda self, owner, *a: (merged.append(len(owner)), plain(self, owner, *a)))
+    best = _Best(_unit_rows(vectors.astype(np.float64)), 3)
+    for part in np.array_split(np.arange(900), 3):
+        best.add(ids[part], vectors[part])
+    assert len(merged) <= 3 * -(-900 // topk.STRIPE) and sum(merged) <= 3 * 900 * (2 * 3 + 32)
+    for q in range(0, 900, 7):
+        assert list(zip(best.ids[q], best.scores[q])) == brute_force(list(ids), vectors, vectors[q], 3)
+
+
+@pytest.mark.parametrize("block_queries", [4, 4096])
+def test_copies_zero_huge_and_tiny_vectors(spark, block_queries):
+    """Far more copies than k, in any block and chunk; lengths that 32 bits cannot square."""
+    vectors = RNG.normal(size=(90, 4)).astype(np.float32)
+    vectors[::3], vectors[1::9] = vectors[0], 0
+    vectors[2::9] *= np.float32(1e30)
+    vectors[5::9] *= np.float32(1e-30)
+    df = corpus(spark, range(90), vectors).repartition(3)
+    asked = queries(spark, vectors[:30])
+    args = {"id_col": "id", "query_cols": ["category"], "block_queries": block_queries}
+    for k in (4, 200):
+        found = hits_of(cosine_topk(df, asked, k, **args))
+        assert found == {f"q{i}": brute_force(range(90), vectors, vectors[i], k) for i in range(30)}
+
+
 def test_many_queries_take_any_column_names(spark):
     """Key columns called as the grid's own, several keys, string ids, vectors with holes."""
     rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("zero", [0.0, 0.0]), ("hole", [None, 1.0]), ("null", None), (None, [1.0, 1.0])]
